@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..vocab import KEYWORD_STOPWORDS, TOPIC_STOPWORDS
 
@@ -24,6 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def explode_once(df: DataFrame, keep: list[str | Column], array: Column, name: str) -> DataFrame:
+    """`keep` plus one row per non-null element of `array`.
+
+    A plain explode makes Spark add a filter on the array below it, which computes a costly array
+    expression again; the outer form plus a filter on the element does not.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -50,8 +59,7 @@ def join_text(title: Column, body: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Maximal runs of word characters, in order; an empty array for wordless text."""
-    parts = F.split(F.regexp_replace(text_or_empty(c), _NON_WORD, " "), " ")
-    return F.filter(parts, lambda w: w != "")
+    return F.array_remove(F.split(F.regexp_replace(text_or_empty(c), _NON_WORD, " "), " "), "")
 
 
 def content_words(tokens: Column, min_length: int, stopwords: Iterable[str]) -> Column:
@@ -64,15 +72,19 @@ def content_words(tokens: Column, min_length: int, stopwords: Iterable[str]) ->
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams of `low`..`high` tokens, shorter ones first, each size in text order."""
 
-    def of_size(ws: Column, n: int) -> Column:
-        # Element access is constant-time; slice() would copy the whole array for every n-gram.
-        starts = F.sequence(F.lit(0), F.size(ws) - F.lit(n))
-        grams = F.transform(
-            starts, lambda i: F.concat_ws(" ", *[F.get(ws, i + F.lit(k)) for k in range(n)])
+    def longer(ws: Column, previous: Column, n: int, done: list[Column]) -> Column:
+        # An n-gram is the (n-1)-gram at its place plus one word. Indexing with slice() inside
+        # the lambda instead would copy the whole array for every n-gram.
+        if n > high:
+            return F.concat(*done)
+        count = F.greatest(F.size(ws) - F.lit(n - 1), F.lit(0))
+        grams = F.zip_with(
+            F.slice(previous, F.lit(1), count), F.slice(ws, F.lit(n), count),
+            lambda head, word: F.concat(head, F.lit(" "), word),
         )
-        return F.when(F.size(ws) >= n, grams).otherwise(F.array().cast("array<string>"))
+        return let(grams, lambda g: longer(ws, g, n + 1, done + [g] if n >= low else done))
 
-    return let(tokens, lambda ws: F.concat(*[of_size(ws, n) for n in range(low, high + 1)]))
+    return let(tokens, lambda ws: longer(ws, ws, 2, [ws] if low == 1 else []))
 
 
 def word_count(phrase: Column) -> Column:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.lookup import MAX_CONSTANT_ROWS, constant_lookup
+from ..functions.lookup import MAX_CONSTANT_ROWS, ConstantLookup, constant_lookup
 from ..functions.scoring import sentiment_label
-from ..functions.text import join_text, ngrams, text_or_empty, words
+from ..functions.text import explode_once, join_text, let, ngrams, text_or_empty, words
 from ..schema import DEFAULT_CATEGORY, VALID_CATEGORIES, WHOLE_TEXT, TextCaps, capped
 from ..vocab import KEYWORD_STOPWORDS
 from .clean import KEY
@@ -75,7 +75,7 @@ def classify_posts(
 
 
 def _token_counts(tokens: DataFrame, key: str) -> DataFrame:
-    return tokens.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(
+    return explode_once(tokens, [key], F.col("tokens"), "term").groupBy(key, "term").agg(
         F.count("*").alias("n")
     )
 
@@ -118,9 +118,26 @@ def ensure_sentiment(posts: DataFrame, lexicon: DataFrame, **options) -> DataFra
     return add_sentiment(posts, lexicon, **options)
 
 
-def _entity_candidates(text: Column, caps: TextCaps) -> Column:
-    tokens = _lower_words(capped(text, caps.phrases))
-    return F.array_distinct(ngrams(tokens, 1, ENTITY_WORDS))
+def _known_ngrams(tokens: Column, first: ConstantLookup, names: ConstantLookup) -> Column:
+    """Distinct 1-4-grams that are names. N-grams are only built where a name's first word is."""
+
+    def of_size(ws: Column, starts: Column, n: int) -> Column:
+        grams = F.transform(
+            F.filter(starts, lambda i: i + F.lit(n) <= F.size(ws)),
+            lambda i: F.concat_ws(" ", *[F.get(ws, i + F.lit(k)) for k in range(n)]),
+        )
+        return F.filter(grams, lambda g: names.get(g).isNotNull())
+
+    def found(ws: Column) -> Column:
+        places = F.transform(ws, lambda w, i: F.when(first.get(w).isNotNull(), i))
+        return let(
+            F.array_compact(places),
+            lambda starts: F.array_distinct(
+                F.concat(*[of_size(ws, starts, n) for n in range(1, ENTITY_WORDS + 1)])
+            ),
+        )
+
+    return let(tokens, found)
 
 
 def add_entities(
@@ -133,13 +150,16 @@ def add_entities(
     names = gazetteer.select(F.lower("entity").alias("term")).where(
         (F.length("term") > 1) & ~F.col("term").isin(KEYWORD_STOPWORDS)
     ).distinct()
-    candidates = _entity_candidates(text, caps)
+    tokens = _lower_words(capped(text, caps.phrases))
     known = constant_lookup(names, "term", F.lit(1), "int", max_constant_rows)
     if known is not None:
-        return posts.withColumn(
-            "entities", F.filter(candidates, lambda g: known.get(g).isNotNull())
-        )
-    spread = posts.select(key, F.posexplode(candidates).alias("pos", "term"))
+        heads = names.select(F.split("term", " ")[0].alias("term")).distinct()
+        first = constant_lookup(heads, "term", F.lit(1), "int", max_constant_rows)
+        return posts.withColumn("entities", _known_ngrams(tokens, first, known))
+    candidates = F.array_distinct(ngrams(tokens, 1, ENTITY_WORDS))
+    spread = posts.select(key, F.posexplode_outer(candidates).alias("pos", "term")).where(
+        "term is not null"
+    )
     found = salted_lookup(
         spread, names.withColumn("hit", F.lit(1)), "term", F.col(key), how="inner"
     ).groupBy(key).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import (
-    content_words, is_valid_phrase, join_text, ngrams, text_or_empty, words, word_count,
+    content_words, explode_once, is_valid_phrase, join_text, ngrams, text_or_empty, words, word_count,
 )
 from ..schema import WHOLE_TEXT, TextCaps, capped
 from ..vocab import KEYWORD_STOPWORDS, RAKE_STOPWORDS, TOPIC_STOPWORDS
@@ -43,7 +43,9 @@ def rake_phrases(posts: DataFrame, text: Column, top: int = RAKE_PHRASES, key: s
     A word scores (summed length of its runs) / (number of occurrences), a phrase the sum of its
     words. All steps cluster by `key`: a batch partitioned by it is not shuffled again.
     """
-    runs = posts.select(key, F.posexplode(rake_candidates(text)).alias("pos", "run"))
+    runs = posts.select(key, F.posexplode_outer(rake_candidates(text)).alias("pos", "run")).where(
+        "run is not null"
+    )
     each = runs.select(
         key, "pos", F.array_join("run", " ").alias("phrase"), F.size("run").alias("n"),
         F.explode("run").alias("word"),
@@ -116,4 +118,4 @@ def valid_phrases(phrases: Column | str, block_substrings: bool = True) -> Colum
 
 def post_terms(posts: DataFrame, *carry: str, block_substrings: bool = True) -> DataFrame:
     """One row per valid phrase occurrence: (carry columns..., term)."""
-    return posts.select(*carry, F.explode(valid_phrases("phrases", block_substrings)).alias("term"))
+    return explode_once(posts, list(carry), valid_phrases("phrases", block_substrings), "term")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import rising_weight, topic_score
-from ..functions.text import jaccard, word_count
+from ..functions.text import explode_once, jaccard, word_count
 from ..schema import (
     ENTITY_BOOST, MMR_LAMBDA, RISING_THRESHOLD, TOPICS_OVERALL, TOPICS_PER_CATEGORY,
     TOPICS_PER_SOURCE, VALID_CATEGORIES, VALID_SOURCES,
@@ -67,21 +67,20 @@ def term_statistics(posts: DataFrame, options: TopicOptions = TopicOptions()) ->
     rising = trend >= options.threshold
     weight = rising_weight(trend, options.threshold) if options.trend_weight else F.lit(1.0)
     # A rising post's entities ride along as rows that count nowhere but mark their term.
-    seen = posts.select(
-        "category", "source", F.when(rising, weight).otherwise(F.lit(0.0)).alias("_rise"),
-        F.explode(
-            F.concat(
-                F.transform(
-                    valid_phrases("phrases", options.block_substrings),
-                    lambda p: F.struct(p.alias("term"), F.lit(0).alias("entity")),
-                ),
-                F.when(
-                    rising,
-                    F.transform("entities", lambda e: F.struct(e.alias("term"), F.lit(1).alias("entity"))),
-                ).otherwise(F.array().cast("array<struct<term:string,entity:int>>")),
-            )
-        ).alias("s"),
-    ).select("category", "source", "_rise", "s.term", "s.entity")
+    occurrences = F.concat(
+        F.transform(
+            valid_phrases("phrases", options.block_substrings),
+            lambda p: F.struct(p.alias("term"), F.lit(0).alias("entity")),
+        ),
+        F.when(
+            rising,
+            F.transform("entities", lambda e: F.struct(e.alias("term"), F.lit(1).alias("entity"))),
+        ).otherwise(F.array().cast("array<struct<term:string,entity:int>>")),
+    )
+    rise = F.when(rising, weight).otherwise(F.lit(0.0)).alias("_rise")
+    seen = explode_once(posts, ["category", "source", rise], occurrences, "s").select(
+        "category", "source", "_rise", "s.term", "s.entity"
+    )
     grouped = seen.groupingSets(
         [["term"], ["category", "term"], ["source", "term"]], "category", "source", "term"
     ).agg(
