@@ -8,6 +8,9 @@ needs no explode, join or shuffle. A lexicon that does not pass goes through
 from __future__ import annotations
 
 import json
+import zlib
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,38 +21,32 @@ _TERMS_PER_SLOT = 2
 class ConstantLookup:
     """term -> value, stored as an array of tiny maps addressed by a hash of the term."""
 
-    def __init__(self, pairs: dict[str, object], value_type: str):
-        slots = max(1, len(pairs) // _TERMS_PER_SLOT)
-        buckets: list[dict[str, object]] = [{} for _ in range(slots)]
-        for (term, slot), value in pairs.items():
-            buckets[slot][term] = value
-        self._slots = slots
+    def __init__(self, pairs: dict[str, Any], value_type: str):
+        self._slots = max(1, len(pairs) // _TERMS_PER_SLOT)
+        buckets: list[dict[str, Any]] = [{} for _ in range(self._slots)]
+        for term, value in pairs.items():
+            buckets[zlib.crc32(term.encode()) % self._slots][term] = value
+        # The optimizer folds this into one literal.
         self._table = F.from_json(
             F.lit(json.dumps(buckets)), f"array<map<string,{value_type}>>"
         )
 
-    @staticmethod
-    def slot_of(term: Column, slots: int) -> Column:
-        return F.pmod(F.crc32(F.encode(term, "utf-8")), F.lit(slots)).cast("int")
-
     def get(self, term: Column) -> Column:
-        return F.try_element_at(F.get(self._table, self.slot_of(term, self._slots)), term)
-
-
-def constant_lookup(
-    table: DataFrame, term: str, value: Column, value_type: str, max_rows: int = MAX_CONSTANT_ROWS
-) -> ConstantLookup | None:
-    """A constant lookup over `table`, or None when it holds more than `max_rows` rows.
-
-    `term` must be unique in `table`. At most `max_rows` + 1 rows reach the driver.
-    """
-    rows = table.where(F.col(term).isNotNull()).limit(max_rows + 1)
-    n = rows.count()
-    if n > max_rows:
+        slot = F.pmod(F.crc32(F.encode(term, "utf-8")), F.lit(self._slots)).cast("int")
+        return F.try_element_at(F.get(self._table, slot), term)
+
+
+def small_table(
+    table: DataFrame, term: str, value: str, combine: Callable[[Any, Any], Any],
+    max_rows: int = MAX_CONSTANT_ROWS,
+) -> dict[str, Any] | None:
+    """{term: value} of a table of at most `max_rows` rows, else None. Values of a repeated term
+    are combined. At most `max_rows` + 1 rows reach the driver."""
+    rows = table.select(term, value).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         return None
-    slots = max(1, n // _TERMS_PER_SLOT)
-    found = rows.select(
-        F.col(term).alias("t"), ConstantLookup.slot_of(F.col(term), slots).alias("s"),
-        value.alias("v"),
-    ).collect()
-    return ConstantLookup({(r.t, r.s): r.v for r in found}, value_type)
+    found: dict[str, Any] = {}
+    for key, item in rows:
+        if key is not None:
+            found[key] = combine(found[key], item) if key in found else item
+    return found

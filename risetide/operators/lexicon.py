@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.lookup import MAX_CONSTANT_ROWS, ConstantLookup, constant_lookup
+from ..functions.lookup import MAX_CONSTANT_ROWS, ConstantLookup, small_table
 from ..functions.scoring import sentiment_label
 from ..functions.text import explode_once, join_text, let, ngrams, text_or_empty, words
 from ..schema import DEFAULT_CATEGORY, VALID_CATEGORIES, WHOLE_TEXT, TextCaps, capped
@@ -46,22 +46,27 @@ def classify_posts(
     categories = categories or VALID_CATEGORIES
     text = F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in text_cols])
     tokens = _lower_words(capped(text, caps.classify))
-    per_category = lexicon.where(F.col("category").isin(categories)).groupBy("term").agg(
-        *[
-            F.sum(F.when(F.col("category") == c, F.col("weight")).otherwise(0.0)).alias(f"w{i}")
-            for i, c in enumerate(categories)
-        ]
+    parts = [
+        F.when(F.col("category") == c, F.col("weight")).otherwise(0.0) for c in categories
+    ]
+    vectors = lexicon.where(F.col("category").isin(categories)).select(
+        "term", F.array(*parts).alias("vector")
+    )
+    small = small_table(
+        vectors, "term", "vector", lambda a, b: [x + y for x, y in zip(a, b)], max_constant_rows
     )
-    vector = F.array(*[f"w{i}" for i in range(len(categories))])
-    known = constant_lookup(per_category, "term", vector, "array<double>", max_constant_rows)
     zero = F.array(*[F.lit(0.0) for _ in categories])
-    if known is not None:
+    if small is not None:
+        known = ConstantLookup(small, "array<double>")
         hits = F.filter(F.transform(tokens, known.get), lambda v: v.isNotNull())
         total = F.aggregate(hits, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
         return posts.withColumn("_weights", total).withColumn(
             "category", _argmax_category(F.col("_weights"), categories)
         ).drop("_weights")
     counted = _token_counts(posts.select(key, tokens.alias("tokens")), key)
+    per_category = vectors.groupBy("term").agg(
+        *[F.sum(F.col("vector")[i]).alias(f"w{i}") for i in range(len(categories))]
+    )
     joined = salted_lookup(counted, per_category, "term", F.col(key), how="inner")
     sums = joined.groupBy(key).agg(
         F.array(
@@ -92,14 +97,15 @@ def add_sentiment(
     """Add `sentiment_score` in [-1, 1] and `sentiment_label` from `lexicon` (term, valence)."""
     body = capped(text_or_empty(F.col(body_col)), caps.body) if body_col in posts.columns else F.lit("")
     tokens = _lower_words(join_text(F.col(title_col), body))
-    valence = lexicon.groupBy("term").agg(F.sum("valence").alias("valence"))
-    known = constant_lookup(valence, "term", F.col("valence"), "double", max_constant_rows)
-    if known is not None:
+    small = small_table(lexicon, "term", "valence", lambda a, b: a + b, max_constant_rows)
+    if small is not None:
+        known = ConstantLookup(small, "double")
         hits = F.filter(F.transform(tokens, known.get), lambda v: v.isNotNull())
         total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
         scored = posts.withColumn("_valence", total)
     else:
         counted = _token_counts(posts.select(key, tokens.alias("tokens")), key)
+        valence = lexicon.groupBy("term").agg(F.sum("valence").alias("valence"))
         sums = salted_lookup(counted, valence, "term", F.col(key), how="inner").groupBy(key).agg(
             F.sum(F.col("valence") * F.col("n")).alias("_valence")
         )
@@ -147,21 +153,23 @@ def add_entities(
     """Add `entities`: the distinct 1-4-word n-grams of the text found in `gazetteer`
     (entity, type), lower-cased; order is by n-gram length, then text position."""
     text = join_text(F.col(title_col), capped(text_or_empty(F.col(body_col)), caps.body))
-    names = gazetteer.select(F.lower("entity").alias("term")).where(
+    names = gazetteer.select(F.lower("entity").alias("term"), F.lit(1).alias("hit")).where(
         (F.length("term") > 1) & ~F.col("term").isin(KEYWORD_STOPWORDS)
-    ).distinct()
+    )
     tokens = _lower_words(capped(text, caps.phrases))
-    known = constant_lookup(names, "term", F.lit(1), "int", max_constant_rows)
-    if known is not None:
-        heads = names.select(F.split("term", " ")[0].alias("term")).distinct()
-        first = constant_lookup(heads, "term", F.lit(1), "int", max_constant_rows)
-        return posts.withColumn("entities", _known_ngrams(tokens, first, known))
+    small = small_table(names, "term", "hit", max, max_constant_rows)
+    if small is not None:
+        heads = {term.split(" ")[0]: 1 for term in small}
+        return posts.withColumn(
+            "entities",
+            _known_ngrams(tokens, ConstantLookup(heads, "int"), ConstantLookup(small, "int")),
+        )
     candidates = F.array_distinct(ngrams(tokens, 1, ENTITY_WORDS))
     spread = posts.select(key, F.posexplode_outer(candidates).alias("pos", "term")).where(
         "term is not null"
     )
     found = salted_lookup(
-        spread, names.withColumn("hit", F.lit(1)), "term", F.col(key), how="inner"
+        spread, names.distinct(), "term", F.col(key), how="inner"
     ).groupBy(key).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]

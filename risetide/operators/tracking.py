@@ -33,8 +33,7 @@ def prune_tracked(
     stale: int = STALE_DAYS_REMOVE,
 ) -> DataFrame:
     """Drop urls losing for `losing` or stale for `stale` days; urls without history stay."""
-    watched = history.join(tracked.select("url"), "url", "left_semi")
-    gone = score_runs(watched).where(
+    gone = score_runs(history).where(
         (F.col("days_losing") >= losing) | (F.col("days_stale") >= stale)
     )
     return tracked.join(gone.select("url"), "url", "left_anti")

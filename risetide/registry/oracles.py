@@ -124,10 +124,6 @@ _CTES: dict[str, str] = {
 
 
 def _trend(growth: str, news: str) -> str:
-    velocity = (
-        f"CASE WHEN created IS NULL THEN 50.0 ELSE score / greatest(epoch_us({_NOW}::TIMESTAMP) "
-        "/ 3.6e9 - epoch_us(created) / 3.6e9, 0.5) END"
-    )
     velocity = (
         f"CASE WHEN created IS NULL THEN 50.0 ELSE score / greatest((epoch_us({_NOW}) "
         "- epoch_us(created)) / 3.6e9, 0.5) END"
@@ -327,8 +323,8 @@ _MMR = """WITH RECURSIVE walk AS (
             / len(list_distinct(string_split(p, ' ') || string_split(t.term, ' '))))), 0), 12) DESC, t.rank) AS pick
       FROM walk k JOIN topics t ON k.scope = t.scope AND k.scope_key = t.scope_key
       WHERE k.step < 20 AND NOT list_contains(k.acc, t.term)) WHERE pick = 1)
-SELECT scope, scope_key, step AS rank, term, score FROM walk WHERE step > 0
-UNION ALL SELECT scope, scope_key, rank, term, score FROM topics
+SELECT scope, scope_key, CAST(step AS INTEGER) AS rank, term, score FROM walk WHERE step > 0
+UNION ALL SELECT scope, scope_key, CAST(rank AS INTEGER), term, score FROM topics
 QUALIFY max(rank) OVER (PARTITION BY scope, scope_key) <= 20"""
 
 _BURST = f"""SELECT term, today AS today_count, (today - base) / base * 100 AS pct FROM (
@@ -366,9 +362,9 @@ _QUERIES: dict[str, str] = {
     "growth_trend": "SELECT url, round(growth_score, 6) AS growth_score FROM growth",
     "interest_trend": "SELECT keyword, round(interest, 6) AS interest FROM interest",
     "trend_score": "SELECT url, source, keywords, round(trend_score, 6) AS trend_score FROM scored_interest",
-    "buckets_per_category": """SELECT category, bucket, rank, url, round(trend_score, 6) AS trend_score
+    "buckets_per_category": """SELECT category, bucket, CAST(rank AS INTEGER) AS rank, url, round(trend_score, 6) AS trend_score
         FROM top_category WHERE rank <= 50""",
-    "buckets_overall": """SELECT bucket, rank, url, CASE WHEN length(title) > 80 THEN substring(title, 1, 80) || '...'
+    "buckets_overall": """SELECT bucket, CAST(rank AS INTEGER) AS rank, url, CASE WHEN length(title) > 80 THEN substring(title, 1, 80) || '...'
         ELSE title END AS headline, CAST(round_even(trend_score, 0) AS BIGINT) AS trend
         FROM top_overall WHERE rank <= 50""",
     "history_merge": "SELECT url, CAST(date AS VARCHAR) AS date, score FROM merged",
@@ -416,7 +412,7 @@ _QUERIES: dict[str, str] = {
         FROM posts LEFT JOIN post_phrases USING (seq) GROUP BY url""",
     "ranked_key_phrases": """SELECT '=' || url AS post, CAST(rank AS INTEGER) AS rank, phrase, round(best_phrases.score, 6) AS score
         FROM best_phrases JOIN posts USING (seq)""",
-    "emerging_topics": "SELECT scope, scope_key, rank, term, score FROM topics",
+    "emerging_topics": "SELECT scope, scope_key, CAST(rank AS INTEGER) AS rank, term, score FROM topics",
     "emerging_topics_deduped": _WALK,
     "mmr_topics": _MMR,
     "keyword_history": "SELECT CAST(date AS VARCHAR) AS date, term, cnt FROM keyword_history",

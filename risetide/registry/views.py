@@ -8,7 +8,7 @@ rest its body, exact copies share a url, and some scores, dates and sources are
 from __future__ import annotations
 
 AS_OF = "2024-01-31 00:00:00"
-BURST_DAY = "2024-01-15"
+BURST_DAY = "2024-01-20"
 
 RAW_POSTS = """
 SELECT doc_id AS seq,
