@@ -27,6 +27,7 @@ from ..operators.trend import interest_scores, score_trends
 from ..functions.text import join_text
 from ..schema import SCORE_RETENTION_DAYS
 from ..sources.landing import feed_posts, forum_posts, news_articles, with_fallback
+from ..sources.scratch import Scratch
 from ..sources.tables import (
     keyword_history_from_json, keyword_history_to_json, readiness, tracked_from_json, tracked_to_json,
 )
@@ -436,9 +437,14 @@ def keyword_history_json(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _stored_keyword_history(tables: Tables) -> DataFrame:
+    """The history as the daily run stores it: written once, read by date."""
+    return Scratch(tables.spark).save(_keyword_history(tables))
+
+
 @query
 def burst(spark: SparkSession, folder: str) -> DataFrame:
-    history = _keyword_history(Tables(spark, folder))
+    history = _stored_keyword_history(Tables(spark, folder))
     found = burst_topics(history, as_of_day(views.BURST_DAY))
     return found.select(
         title_case(F.col("term")).alias("topic"), "today_count", *_rounded("pct_change"),
@@ -448,7 +454,7 @@ def burst(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def burst_past_only(spark: SparkSession, folder: str) -> DataFrame:
-    history = _keyword_history(Tables(spark, folder))
+    history = _stored_keyword_history(Tables(spark, folder))
     return burst_topics(history, as_of_day(views.BURST_DAY), top_n=None, past_only=True).select(
         "term", "today_count", *_rounded("pct_change")
     )
