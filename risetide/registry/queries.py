@@ -152,7 +152,7 @@ def post_id_and_ref(spark: SparkSession, folder: str) -> DataFrame:
 def land_submissions(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     submissions = tables.sql(views.SUBMISSIONS, documents=tables.table("documents"))
-    return forum_posts(submissions, None, None).drop("subreddit")
+    return forum_posts(submissions).drop("subreddit")
 
 
 def _responses(tables: Tables, category: str) -> DataFrame:
@@ -167,7 +167,7 @@ def _responses(tables: Tables, category: str) -> DataFrame:
 
 @query
 def land_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return news_articles(_responses(Tables(spark, folder), "science"), _now(), None, None).drop(
+    return news_articles(_responses(Tables(spark, folder), "science"), _now()).drop(
         "score", "subreddit"
     )
 
@@ -178,7 +178,7 @@ def _entries(tables: Tables) -> DataFrame:
 
 @query
 def rss_first_n_per_feed(spark: SparkSession, folder: str) -> DataFrame:
-    return feed_posts(_entries(Tables(spark, folder)), _now(), body_chars=None).select(
+    return feed_posts(_entries(Tables(spark, folder)), _now()).select(
         "id", "title", "url", "created_at", "author", "body"
     )
 

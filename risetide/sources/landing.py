@@ -11,7 +11,7 @@ from ..schema import FEED_ENTRIES, NEWS_CATEGORIES, POST_COLUMNS
 
 # --- fixed values ---
 FORUM_HOST = "https://www.reddit.com"
-TITLE_CHARS = 500
+TITLE_CHARS = 500      # caps of the original collectors; texts stay whole unless they are passed
 BODY_CHARS = 5000
 ARTICLE_SLOTS = 1000   # positions reserved per response in `seq`; pages hold at most 100
 # --------------------
@@ -31,8 +31,8 @@ def _position(df: DataFrame) -> DataFrame:
 
 
 def forum_posts(
-    submissions: DataFrame, title_chars: int | None = TITLE_CHARS,
-    body_chars: int | None = BODY_CHARS,
+    submissions: DataFrame, title_chars: int | None = None,
+    body_chars: int | None = None,
 ) -> DataFrame:
     """Landed forum submissions as posts, first row per url. `seq` (listing order) is kept."""
     url = F.concat(F.lit(FORUM_HOST), F.col("permalink"))
@@ -51,8 +51,8 @@ def forum_posts(
 
 
 def news_articles(
-    responses: DataFrame, as_of: Column, title_chars: int | None = TITLE_CHARS,
-    body_chars: int | None = BODY_CHARS,
+    responses: DataFrame, as_of: Column, title_chars: int | None = None,
+    body_chars: int | None = None,
 ) -> DataFrame:
     """Landed news responses (category, articles) as posts: known categories only, a url required,
     first row per url in (response, position) order."""
@@ -88,7 +88,7 @@ def _news_columns(url, title, created_at, author, body, title_chars, body_chars)
 
 def feed_posts(
     entries: DataFrame, as_of: Column, per_feed: int | None = FEED_ENTRIES,
-    title_chars: int | None = TITLE_CHARS, body_chars: int | None = BODY_CHARS,
+    title_chars: int | None = None, body_chars: int | None = None,
 ) -> DataFrame:
     """Landed feed entries as posts: the first `per_feed` entries of each feed, those with a link,
     first row per url in (feed, position) order.

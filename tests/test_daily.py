@@ -51,7 +51,9 @@ def inputs(spark):
 
 
 def test_forum_mapping(spark):
-    row = landing.forum_posts(submissions(spark, [(1, "T" * 600, None, 5)])).first()
+    landed = submissions(spark, [(1, "T" * 600, None, 5)])
+    assert len(landing.forum_posts(landed).first().title) == 600
+    row = landing.forum_posts(landed, landing.TITLE_CHARS, landing.BODY_CHARS).first()
     assert (row.url, len(row.title), row.created_at, row.author, row.body) == (
         "https://www.reddit.com/r/t/comments/1/", 500, "2024-01-31 00:00:00", "", "")
     assert row.id.startswith("reddit_") and len(row.id) == 19
