@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import collapse_space, text_or_empty
+from .text import text_or_empty
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -64,8 +64,3 @@ def epoch_text(seconds: Column) -> Column:
         F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd HH:mm:ss"
     )
 
-
-__all__ = [
-    "stable_id", "submission_id", "lenient_bigint", "time_text", "parse_time",
-    "published_text", "epoch_text", "collapse_space",
-]
