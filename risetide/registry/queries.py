@@ -98,7 +98,7 @@ class Tables:
         return self.sql(views.GAZETTEER)
 
     def tracked(self) -> DataFrame:
-        return self.sql(views.TRACKED, raw_posts=self.raw_posts().select("url", "seq", "source"))
+        return self.sql(views.TRACKED, raw_posts=self.raw_posts().select("url", "subreddit", "source"))
 
     def snapshots(self) -> DataFrame:
         return self.sql(views.SNAPSHOTS, documents=self.table("documents"))

@@ -46,10 +46,10 @@ SELECT concat('https://www.reddit.com/r/', lang, '/comments/', md5(text), '/x/')
 FROM {documents}
 """
 
-# Half of the forum posts are tracked already, so that both the insert and the keep path run.
+# English forum posts are tracked already, the others not: both the insert and the keep path run.
 TRACKED = """
 SELECT url, 'general' AS category, 'reddit' AS source, CAST('2024-01-02' AS DATE) AS added_date
-FROM (SELECT DISTINCT url FROM {raw_posts} WHERE source = 'reddit' AND seq % 4 = 1) t
+FROM (SELECT DISTINCT url FROM {raw_posts} WHERE source = 'reddit' AND subreddit = 'en') t
 """
 
 SUBMISSIONS = """
