@@ -69,7 +69,7 @@ class Index:
     def __init__(self, items: list[tuple[int | None, str]]):
         self.ids: list[int | None] = []
         self.questions: list[np.ndarray] = []
-        self.answers: list[np.ndarray] = []
+        self.answers: list[tuple[int, np.ndarray]] = []
         bags, self.longest = [], 1
         self.sizes: set[int] = set()
         for item, text in items:
@@ -82,7 +82,7 @@ class Index:
             self.ids.append(item)
             bags.append(Counter(grams.tolist()))
             self.questions.append(np.unique(grams))
-            self.answers.append(np.unique(answer))
+            self.answers.append((min(WORDS, len(answer)), np.unique(runs(answer, min(WORDS, len(answer))))))
             self.longest = max(self.longest, len(word_hashes(text)))
         self._build(bags)
 
@@ -188,13 +188,15 @@ class Index:
             terms = np.unique(hits[1][inside])
             if not len(terms):
                 continue
-            own = None
+            own: dict[int, np.ndarray] = {}
             for number, score in self.retrieve(terms.tolist()):
                 question = np.isin(self.questions[number], terms).mean()
                 if question < OVERLAP - _SLACK:
                     continue
-                own = np.unique(words[first:first + length]) if own is None else own
-                answer = np.isin(self.answers[number], own).mean()
+                size, wanted = self.answers[number]
+                if size not in own:
+                    own[size] = runs(words[first:first + length], size)
+                answer = np.isin(wanted, own[size]).mean()
                 if answer >= OVERLAP - _SLACK:
                     best[number] = max(best.get(number, (0.0, 0.0, 0.0)), (score * self.least[number], float(question), float(answer)))
         return best
@@ -218,8 +220,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): texts of docs that hold an item.
 
     An item is held if, in one passage, OVERLAP or more of its question's distinct runs of WORDS words
-    occur, and OVERLAP or more of its answer's distinct words. The last sentence of an item is its answer;
-    an item of one sentence is both. Shorter questions are one run. Words are lower-cased, ASCII
+    occur, and OVERLAP or more of its answer's. The last sentence of an item is its answer; an item of one
+    sentence is both. A shorter question or answer is one run. Words are lower-cased, ASCII
     punctuation parts them. score is the BM25 score of the best passage. Items without words match
     nothing; null and empty texts hold nothing. Rows with equal doc_id and item_id are one, with the best
     figures; a null id stays null. Either table empty: no rows. Other columns are ignored.
