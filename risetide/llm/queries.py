@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risetide.llm import bpe, decontaminate, embeddings, lines, secrets, simhash
+from risetide.llm import bpe, decontaminate, embeddings, lines, quality, secrets, simhash
+from risetide.llm.work import importable
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -25,6 +27,10 @@ def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_table(spark, folder, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
