@@ -44,12 +44,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def delete_table(df: DataFrame) -> None:
     """Remove a table made by saved() that nothing reads any more."""
-    spark = df.sparkSession
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        found = spark._jvm.org.apache.hadoop.fs.Path(path)
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+        delete_path(df.sparkSession, path)
 
 
 def text_bytes(column: Column | str = "text") -> Column:
