@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risetide.llm import archives, bpe, decontaminate, embeddings, lines, quality, secrets, simhash
+from risetide.llm import archives, bpe, decontaminate, embeddings, lines, quality, secrets, simhash, urls
 from risetide.llm.work import importable
 
 
@@ -35,6 +35,10 @@ def op5_archive_converter(spark: SparkSession, folder: str) -> DataFrame:
     return archives.round_trip(_table(spark, folder, "pages"))
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_archive_converter": op5_archive_converter,
+    "op6_url_filter": op6_url_filter,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op10_secret_scan": op10_secret_scan,
