@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risetide.llm import archives, bpe, decontaminate, embeddings, lines, quality, secrets, simhash, urls
+from risetide.llm import archives, bpe, decontaminate, embeddings, lines, pii, quality, secrets, simhash, urls
 from risetide.llm.work import importable
 
 
@@ -47,6 +47,10 @@ def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(_table(spark, folder, "documents"))
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(_table(spark, folder, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.summary(_table(spark, folder, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
 }
 

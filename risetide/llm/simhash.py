@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs with one document of each component: that with the smallest doc_id, once."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    marked = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")))
-    return marked.drop("_kept").dropDuplicates(["doc_id"])
+    """The rows of docs with one document of each component: that with the smallest doc_id. Rows that
+    share a doc_id are one document, of which one row stays; rows without doc_id all stay, as nothing
+    names the ones to drop. Columns stay as they are."""
+    kept = near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
