@@ -46,7 +46,9 @@ CARD_PREFIXES = r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 FOR_WORDS = r"(?i)\b(tel|telephone|phone|call|fax|mobile|cell|mail|email|e-mail|contact|card|visa|credit|ip|address|reach)\b[^\n]{0,20}$"
 AGAINST_WORDS = r"(?i)\b(id|no|nr|number|order|version|isbn|page|pages|section|token|key|hash|line)\b\.?[^\n]{0,6}$"
 YES, NO, ABSTAIN = "y", "n", "-"
+LABELERS = 7
 ACCEPT = 0.5
+PRIOR = 0.1
 _ROUNDS, _STEPS = 200, 400
 
 
@@ -91,7 +93,8 @@ def _check(kind: str):
 
 
 def _failed(kind: str):
-    return lambda span: ~_valid(kind, span["value"]) & (F.length(_digits(span["value"])) >= 7)
+    least = {"card": 12, "phone": 7}.get(kind, 4)
+    return lambda span: ~_valid(kind, span["value"]) & F.length(_digits(span["value"])).between(least, 24)
 
 
 def _of_kind(order: int):
@@ -164,31 +167,34 @@ def spans_of(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    reliability: list[dict[tuple[bool, str], float]]
-    share: float
+    reliability: dict[str, list[dict[tuple[bool, str], float]]]
+    share: dict[str, float]
     accepted: list[str]
 
 
 def posteriors(counts: dict[str, int]) -> tuple[dict[str, float], list[dict[tuple[bool, str], float]], float]:
-    """Expectation-maximisation over vote patterns: P(personal | votes), P(vote | class), share."""
-    belief = {v: (v.count(YES) + 0.5) / (v.count(YES) + v.count(NO) + 1) for v in counts}
-    total, chance, share = sum(counts.values()), [], 0.5
-    for _ in range(_ROUNDS):
-        share = min(max(sum(belief[v] * n for v, n in counts.items()) / total, 1e-3), 1 - 1e-3) if total else 0.5
+    """Expectation-maximisation over the vote patterns of one kind: P(personal | votes), P(vote | class),
+    share. A weak prior, PRIOR of the weight, says that labelers are rather right than wrong."""
+    total = sum(counts.values())
+    prior = PRIOR * total
+    belief = {v: (v.count(YES) + 0.5) / (v.count(YES) + 4 * v.count(NO) + 1) for v in counts}
+    chance, share = [], 0.5
+    for _ in range(_ROUNDS if total else 0):
+        share = (sum(belief[v] * n for v, n in counts.items()) + prior / 2) / (total + prior)
         chance = []
-        for j in range(7):
-            own = {(c, vote): 1.0 for c in (False, True) for vote in (YES, NO)}
+        for j in range(LABELERS):
+            own = {(True, YES): 0.6, (True, NO): 0.1, (False, YES): 0.1, (False, NO): 0.6, (True, ABSTAIN): 0.3, (False, ABSTAIN): 0.3}
+            own = {k: x * prior + 1e-9 for k, x in own.items()}
             for v, n in counts.items():
-                if v[j] != ABSTAIN:
-                    own[True, v[j]] += belief[v] * n
-                    own[False, v[j]] += (1 - belief[v]) * n
-            chance.append({(c, vote): own[c, vote] / (own[c, YES] + own[c, NO]) for c, vote in own})
+                own[True, v[j]] += belief[v] * n
+                own[False, v[j]] += (1 - belief[v]) * n
+            sums = {c: own[c, YES] + own[c, NO] + own[c, ABSTAIN] for c in (False, True)}
+            chance.append({k: x / sums[k[0]] for k, x in own.items()})
         following = {}
         for v in counts:
-            odds = math.log(share / (1 - share))
-            odds += sum(math.log(chance[j][True, x] / chance[j][False, x]) for j, x in enumerate(v) if x != ABSTAIN)
+            odds = math.log(share / (1 - share)) + sum(math.log(chance[j][True, x] / chance[j][False, x]) for j, x in enumerate(v))
             following[v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-        moved = max((abs(following[v] - belief[v]) for v in counts), default=0)
+        moved = max(abs(following[v] - belief[v]) for v in counts)
         belief = following
         if moved < 1e-9:
             break
@@ -220,16 +226,21 @@ def train(patterns: dict[str, tuple[float, float]]) -> dict[str, float]:
 
 def fit(spans: DataFrame) -> Model:
     """Reliabilities and classifier from the patterns of all spans."""
-    rows = spans.select(F.explode("spans").alias("s")).groupBy("s.votes", "s.features").agg(F.count(F.lit(1)).alias("n")).collect()
-    counts: dict[str, int] = {}
-    for r in rows:
-        counts[r.votes] = counts.get(r.votes, 0) + r.n
-    belief, chance, share = posteriors(counts)
+    rows = sorted(spans.select(F.explode("spans").alias("s")).groupBy("s.ord", "s.votes", "s.features")
+                  .agg(F.count(F.lit(1)).alias("n")).collect())
+    reliability, share = {}, {}
     patterns: dict[str, tuple[float, float]] = {}
-    for r in sorted(rows):
-        yes, no = patterns.get(r.features, (0.0, 0.0))
-        patterns[r.features] = (yes + belief[r.votes] * r.n, no + (1 - belief[r.votes]) * r.n)
-    return Model(chance, share, sorted(p for p, x in train(patterns).items() if x >= ACCEPT))
+    for order, kind in enumerate(KINDS):
+        counts: dict[str, int] = {}
+        for r in rows:
+            if r.ord == order:
+                counts[r.votes] = counts.get(r.votes, 0) + r.n
+        belief, reliability[kind], share[kind] = posteriors(counts)
+        for r in rows:
+            if r.ord == order:
+                yes, no = patterns.get(r.features, (0.0, 0.0))
+                patterns[r.features] = (yes + belief[r.votes] * r.n, no + (1 - belief[r.votes]) * r.n)
+    return Model(reliability, share, sorted(p for p, x in train(patterns).items() if x >= ACCEPT))
 
 
 def _joined(spans: Column) -> Column:

@@ -159,6 +159,8 @@ class _Automaton:
                         following.append(to)
                         if last in to:
                             break
+                if matched and search and following and last not in following[0]:
+                    raise ValueError(f"{rule.kind}: a match that is complete may go on to fail")
                 if following and last in following[-1]:
                     # the earliest thread that accepts; earlier ones may still win, so they stay in front
                     if len(following) > 1:
