@@ -6,6 +6,13 @@ from pyspark.sql import Column, functions as F
 
 from .text import text_or_empty
 
+_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+_ISO = (r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2}))?(?::?(\d{2}))?(?:[.,]\d+)?"
+        r"(Z|[+-]\d{2}:?(?:\d{2})?)?)?$")
+_RFC = (r"(?i)^(?:[a-z]{3,9},?\s+)?(\d{1,2})[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s-]+"
+        r"(\d{4}|\d{2})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([a-z]+|[+-]\d{2}:?\d{2})?)?$")
+# fixed values: hours east of UTC of the zone names of mail dates
+ZONE_HOURS = {"EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -42,19 +49,66 @@ def collapse_edges(c: Column) -> Column:
 
 
 def parse_time(c: Column) -> Column:
-    """Timestamp of a normalised time text, date-only allowed, null when unreadable."""
-    return F.coalesce(
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd")),
+    """Timestamp of a normalised time text, without seconds or date-only allowed, null when unreadable."""
+    return F.coalesce(*[
+        F.try_to_timestamp(c, F.lit(f)) for f in (_TIME_FORMAT, "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+    ])
+
+
+def _iso_wall(c: Column) -> Column:
+    """Wall-clock timestamp of an ISO 8601 text (basic or extended, short forms allowed), else null."""
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(c, _ISO, i), F.lit("")), F.lit(default))
+    text = F.concat(
+        part(1, ""), F.lit("-"), part(2, ""), F.lit("-"), part(3, ""), F.lit(" "),
+        part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"),
+    )
+    return F.when(c.rlike(_ISO), F.try_to_timestamp(text, F.lit(_TIME_FORMAT)))
+
+
+def _offset_seconds(zone: Column) -> Column:
+    """Seconds east of UTC of `+0530`, `+05:30` or a zone name; unknown names count as UTC."""
+    hours, minutes = (F.regexp_extract(zone, r"^[+-](\d\d):?(\d\d)?$", i) for i in (1, 2))
+    number = lambda x: F.coalesce(F.nullif(x, F.lit("")), F.lit("0")).cast("int")
+    size = number(hours) * 3600 + number(minutes) * 60
+    named = F.lit(0)
+    for name, east in ZONE_HOURS.items():
+        named = F.when(F.upper(zone) == name, F.lit(east * 3600)).otherwise(named)
+    return F.when(zone.startswith("-"), -size).when(zone.startswith("+"), size).otherwise(named)
+
+
+def _rfc_wall(c: Column) -> Column:
+    """Wall-clock timestamp of an RFC 822 text; the weekday, the time and seconds may be missing."""
+    part = lambda i: F.regexp_extract(c, _RFC, i)
+    filled = lambda i: F.lpad(F.coalesce(F.nullif(part(i), F.lit("")), F.lit("0")), 2, "0")
+    month = ((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(part(2))) + 2) / 3).cast("int")
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) > "68", F.concat(F.lit("19"), part(3))).otherwise(
+        F.concat(F.lit("20"), part(3)))
+    text = F.concat(
+        year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), filled(1), F.lit(" "),
+        filled(4), F.lit(":"), filled(5), F.lit(":"), filled(6),
+    )
+    return F.when(c.rlike(_RFC), F.try_to_timestamp(text, F.lit(_TIME_FORMAT)))
+
+
+def feed_time(c: Column) -> Column:
+    """UTC time text of a feed's publication time, RFC 822 or ISO 8601; null when unreadable."""
+    given = collapse_edges(text_or_empty(c))
+    utc = lambda wall, zone: wall - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), _offset_seconds(zone))
+    found = F.coalesce(
+        utc(_rfc_wall(given), F.regexp_extract(given, _RFC, 7)),
+        utc(_iso_wall(given), F.regexp_extract(given, _ISO, 7)),
     )
+    return F.date_format(found, _TIME_FORMAT)
 
 
 def published_text(c: Column, as_of: Column) -> Column:
-    """Publication time to time text: the offset is dropped, a missing value becomes `as_of`."""
+    """An article's publication time as time text: the offset is dropped, what is no ISO time is cut
+    to 19 characters, a missing value becomes `as_of`."""
     given = F.nullif(text_or_empty(c), F.lit(""))
     return F.coalesce(
+        F.date_format(_iso_wall(given), _TIME_FORMAT),
         F.replace(F.substring(given, 1, 19), F.lit("T"), F.lit(" ")),
-        F.date_format(as_of, "yyyy-MM-dd HH:mm:ss"),
+        F.date_format(as_of, _TIME_FORMAT),
     )
 
 

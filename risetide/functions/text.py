@@ -125,7 +125,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(c)
+    """Each run of letters gets a capital first letter; digits and signs end a run."""
+    runs = F.regexp_extract_all(c, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.initcap(r)), "")
 
 
 def ellipsis(c: Column, limit: int = 80) -> Column:

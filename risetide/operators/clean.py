@@ -9,6 +9,8 @@ from ..functions.text import strip_markup
 from ..schema import VALID_SOURCES, conform
 
 KEY = "post_key"
+# first-seen order: landing order of the batches, micro-batch, place in the batch
+LANDED = ("landing_rank", "batch", "seq", "pos")
 
 
 def url_key(url: Column) -> Column:
@@ -36,18 +38,22 @@ def first_per_key(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
 
 
+def landed_order(posts: DataFrame) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in LANDED if c in posts.columns]
+
+
 def clean_posts(raw: DataFrame) -> DataFrame:
     """Dedup by url (first in landing order), then clean texts, coerce types and drop rows of
     unknown source. Dedup comes first: a row of unknown source hides later rows of its url.
 
-    The result keeps `landing_rank` and `seq` (first-seen order) and `post_key` (non-null url
+    The result keeps the `LANDED` columns (first-seen order) and `post_key` (non-null url
     key); it is hash-partitioned by `post_key`, which later per-post joins reuse.
     """
     if "landing_rank" not in raw.columns:
         raw = union_sources(raw)
     raw = conform(raw)
     unique = first_per_key(
-        raw.withColumn(KEY, url_key(F.col("url"))), KEY, F.col("landing_rank"), F.col("seq")
+        raw.withColumn(KEY, url_key(F.col("url"))), KEY, *landed_order(raw)
     )
     return unique.where(F.coalesce(F.col("source").isin(VALID_SOURCES), F.lit(False))).withColumns(
         {

@@ -1,28 +1,45 @@
 """Lexicon-driven text operators: category, sentiment and entities.
 
-Each takes its lexicon as a table. One that passes the size check turns into a constant lookup
-inside the projection (no shuffle); a larger one is joined to the exploded, pre-counted tokens.
+Each takes its lexicon as a table of any size. Tokens are exploded, counted per post, and joined to the
+lexicon with a salt, as common words are hot keys; Spark broadcasts a lexicon if its measured size is
+small. Lexicon terms are lower-cased like the tokens; weights of a repeated term add up and null
+weights add nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.lookup import MAX_CONSTANT_ROWS, ConstantLookup, small_table
 from ..functions.scoring import sentiment_label
-from ..functions.text import explode_once, join_text, let, ngrams, text_or_empty, words
-from ..schema import DEFAULT_CATEGORY, VALID_CATEGORIES, WHOLE_TEXT, TextCaps, capped
+from ..functions.text import explode_once, join_text, text_or_empty, words
+from ..schema import DEFAULT_CATEGORY, ENTITY_TYPES, VALID_CATEGORIES
 from ..vocab import KEYWORD_STOPWORDS
 from .clean import KEY
 from .joins import salted_lookup
 
-ENTITY_WORDS = 4
+_TEXT_KEY = "_text_key"
 
 
 def _lower_words(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.lower(w))
 
 
+def _keyed(posts: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, str]:
+    """(posts, distinct texts, their common key). Cleaned posts have a key and are partitioned by it;
+    for other batches the text's digest is the key, so rows with equal texts share a result."""
+    if KEY in posts.columns:
+        return posts, posts.select(KEY, text.alias("text")), KEY
+    hashed = posts.withColumn(_TEXT_KEY, F.md5(text))
+    return hashed, hashed.select(_TEXT_KEY, text.alias("text")).dropDuplicates([_TEXT_KEY]), _TEXT_KEY
+
+
+def _token_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, term, n). Texts partitioned by the key need no shuffle for this."""
+    return explode_once(texts, [key], _lower_words(F.col("text")), "term").groupBy(key, "term").agg(
+        F.count("*").alias("n")
+    )
+
+
 def _argmax_category(weights: Column, categories: list[str]) -> Column:
     """The heaviest category (first in list order on ties) of an array of weights."""
     ranked = F.transform(
@@ -38,83 +55,47 @@ def _argmax_category(weights: Column, categories: list[str]) -> Column:
 
 def classify_posts(
     posts: DataFrame, lexicon: DataFrame, text_cols: tuple[str, ...] = ("title",),
-    caps: TextCaps = WHOLE_TEXT, categories: list[str] | None = None,
-    max_constant_rows: int = MAX_CONSTANT_ROWS, key: str = KEY,
+    categories: list[str] | None = None,
 ) -> DataFrame:
     """Add `category`: the category of `lexicon` (term, category, weight) with the largest summed
     weight over the words of the text; "general" when no word is known."""
     categories = categories or VALID_CATEGORIES
-    text = F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in text_cols])
-    tokens = _lower_words(capped(text, caps.classify))
-    parts = [
-        F.when(F.col("category") == c, F.col("weight")).otherwise(0.0) for c in categories
-    ]
-    vectors = lexicon.where(F.col("category").isin(categories)).select(
-        "term", F.array(*parts).alias("vector")
-    )
-    small = small_table(
-        vectors, "term", "vector", lambda a, b: [x + y for x, y in zip(a, b)], max_constant_rows
-    )
-    zero = F.array(*[F.lit(0.0) for _ in categories])
-    if small is not None:
-        known = ConstantLookup(small, "array<double>")
-        hits = F.filter(F.transform(tokens, known.get), lambda v: v.isNotNull())
-        total = F.aggregate(hits, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        return posts.withColumn("_weights", total).withColumn(
-            "category", _argmax_category(F.col("_weights"), categories)
-        ).drop("_weights")
-    counted = _token_counts(posts.select(key, tokens.alias("tokens")), key)
-    per_category = vectors.groupBy("term").agg(
-        *[F.sum(F.col("vector")[i]).alias(f"w{i}") for i in range(len(categories))]
+    posts, texts, key = _keyed(posts, F.concat_ws(" ", *[text_or_empty(F.col(c)) for c in text_cols]))
+    per_term = lexicon.where(F.col("category").isin(categories)).groupBy(F.lower("term").alias("term")).agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("category") == c, F.col("weight"))), F.lit(0.0)).alias(f"w{i}")
+            for i, c in enumerate(categories)
+        ]
     )
-    joined = salted_lookup(counted, per_category, "term", F.col(key), how="inner")
+    joined = salted_lookup(_token_counts(texts, key), per_term, "term", F.col(key), how="inner")
     sums = joined.groupBy(key).agg(
-        F.array(
-            *[F.sum(F.col(f"w{i}") * F.col("n")) for i in range(len(categories))]
-        ).alias("_weights")
+        F.array(*[F.sum(F.col(f"w{i}") * F.col("n")) for i in range(len(categories))]).alias("_weights")
     )
     labelled = sums.select(key, _argmax_category(F.col("_weights"), categories).alias("category"))
     return posts.drop("category").join(labelled, key, "left").withColumn(
         "category", F.coalesce("category", F.lit(DEFAULT_CATEGORY))
-    )
-
-
-def _token_counts(tokens: DataFrame, key: str) -> DataFrame:
-    return explode_once(tokens, [key], F.col("tokens"), "term").groupBy(key, "term").agg(
-        F.count("*").alias("n")
-    )
+    ).drop(_TEXT_KEY)
 
 
 def compound(total: Column) -> Column:
     """Squash a summed valence into [-1, 1]."""
-    return F.round(total / F.sqrt(total * total + F.lit(15.0)), 4)
+    return F.round(total / F.sqrt(total * total + F.lit(15.0)), 4) + F.lit(0.0)   # no negative zero
 
 
 def add_sentiment(
     posts: DataFrame, lexicon: DataFrame, title_col: str = "title", body_col: str = "body",
-    caps: TextCaps = WHOLE_TEXT, max_constant_rows: int = MAX_CONSTANT_ROWS, key: str = KEY,
 ) -> DataFrame:
     """Add `sentiment_score` in [-1, 1] and `sentiment_label` from `lexicon` (term, valence)."""
-    body = capped(text_or_empty(F.col(body_col)), caps.body) if body_col in posts.columns else F.lit("")
-    tokens = _lower_words(join_text(F.col(title_col), body))
-    small = small_table(lexicon, "term", "valence", lambda a, b: a + b, max_constant_rows)
-    if small is not None:
-        known = ConstantLookup(small, "double")
-        hits = F.filter(F.transform(tokens, known.get), lambda v: v.isNotNull())
-        total = F.aggregate(hits, F.lit(0.0), lambda acc, v: acc + v)
-        scored = posts.withColumn("_valence", total)
-    else:
-        counted = _token_counts(posts.select(key, tokens.alias("tokens")), key)
-        valence = lexicon.groupBy("term").agg(F.sum("valence").alias("valence"))
-        sums = salted_lookup(counted, valence, "term", F.col(key), how="inner").groupBy(key).agg(
-            F.sum(F.col("valence") * F.col("n")).alias("_valence")
-        )
-        scored = posts.join(sums, key, "left").withColumn(
-            "_valence", F.coalesce("_valence", F.lit(0.0))
-        )
-    return scored.withColumn("sentiment_score", compound(F.col("_valence"))).withColumn(
+    body = F.col(body_col) if body_col in posts.columns else F.lit("")
+    posts, texts, key = _keyed(posts, join_text(F.col(title_col), body))
+    valence = lexicon.groupBy(F.lower("term").alias("term")).agg(F.sum("valence").alias("valence"))
+    sums = salted_lookup(_token_counts(texts, key), valence, "term", F.col(key), how="inner").groupBy(key).agg(
+        F.sum(F.col("valence") * F.col("n")).alias("_valence")
+    )
+    score = compound(F.coalesce("_valence", F.lit(0.0)))
+    return posts.join(sums, key, "left").withColumn("sentiment_score", score).withColumn(
         "sentiment_label", sentiment_label(F.col("sentiment_score"))
-    ).drop("_valence")
+    ).drop("_valence", _TEXT_KEY)
 
 
 def ensure_sentiment(posts: DataFrame, lexicon: DataFrame, **options) -> DataFrame:
@@ -124,60 +105,42 @@ def ensure_sentiment(posts: DataFrame, lexicon: DataFrame, **options) -> DataFra
     return add_sentiment(posts, lexicon, **options)
 
 
-def _known_ngrams(tokens: Column, first: ConstantLookup, names: ConstantLookup) -> Column:
-    """Distinct 1-4-grams that are names. N-grams are only built where a name's first word is."""
-
-    def of_size(ws: Column, starts: Column, n: int) -> Column:
-        grams = F.transform(
-            F.filter(starts, lambda i: i + F.lit(n) <= F.size(ws)),
-            lambda i: F.concat_ws(" ", *[F.get(ws, i + F.lit(k)) for k in range(n)]),
-        )
-        return F.filter(grams, lambda g: names.get(g).isNotNull())
-
-    def found(ws: Column) -> Column:
-        places = F.transform(ws, lambda w, i: F.when(first.get(w).isNotNull(), i))
-        return let(
-            F.array_compact(places),
-            lambda starts: F.array_distinct(
-                F.concat(*[of_size(ws, starts, n) for n in range(1, ENTITY_WORDS + 1)])
-            ),
-        )
-
-    return let(tokens, found)
+def _names(gazetteer: DataFrame) -> DataFrame:
+    """(term, ws): the names of the wanted types as the words a text would show."""
+    ws = _lower_words(F.col("entity"))
+    named = gazetteer.where(F.col("type").isin(ENTITY_TYPES)).select(
+        F.array_join(ws, " ").alias("term"), ws.alias("ws")
+    )
+    return named.where((F.length("term") > 1) & ~F.col("term").isin(KEYWORD_STOPWORDS)).distinct()
 
 
 def add_entities(
     posts: DataFrame, gazetteer: DataFrame, title_col: str = "title", body_col: str = "body",
-    caps: TextCaps = WHOLE_TEXT, max_constant_rows: int = MAX_CONSTANT_ROWS, key: str = KEY,
 ) -> DataFrame:
-    """Add `entities`: the distinct 1-4-word n-grams of the text found in `gazetteer`
-    (entity, type), lower-cased; order is by n-gram length, then text position."""
-    text = join_text(F.col(title_col), capped(text_or_empty(F.col(body_col)), caps.body))
-    names = gazetteer.select(F.lower("entity").alias("term"), F.lit(1).alias("hit")).where(
-        (F.length("term") > 1) & ~F.col("term").isin(KEYWORD_STOPWORDS)
+    """Add `entities`: the distinct word sequences of the text that are names of the wanted types in
+    `gazetteer` (entity, type), lower-cased, of any length; ordered by length, then text position.
+
+    Places where a name's first word stands are joined to that name; the rest of the name is then
+    compared in the text. One row per first word carries all its names."""
+    text = join_text(F.col(title_col), F.col(body_col) if body_col in posts.columns else F.lit(""))
+    posts, texts, key = _keyed(posts, text)
+    heads = _names(gazetteer).groupBy(F.get("ws", F.lit(0)).alias("term")).agg(
+        F.collect_list("ws").alias("names")
     )
-    tokens = _lower_words(capped(text, caps.phrases))
-    small = small_table(names, "term", "hit", max, max_constant_rows)
-    if small is not None:
-        heads = {term.split(" ")[0]: 1 for term in small}
-        return posts.withColumn(
-            "entities",
-            _known_ngrams(tokens, ConstantLookup(heads, "int"), ConstantLookup(small, "int")),
-        )
-    candidates = F.array_distinct(ngrams(tokens, 1, ENTITY_WORDS))
-    spread = posts.select(key, F.posexplode_outer(candidates).alias("pos", "term")).where(
-        "term is not null"
+    tokens = texts.select(key, _lower_words(F.col("text")).alias("ws"))
+    placed = tokens.select(key, F.posexplode_outer("ws").alias("pos", "term")).where("term is not null")
+    hits = salted_lookup(placed, heads, "term", F.col(key), how="inner").groupBy(key).agg(
+        F.collect_list(F.struct("pos", "names")).alias("hits")
     )
-    found = salted_lookup(
-        spread, names.distinct(), "term", F.col(key), how="inner"
-    ).groupBy(key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]
-        ).alias("entities")
+    candidates = F.flatten(F.transform("hits", lambda h: F.transform(
+        h["names"], lambda name: F.struct(F.size(name).alias("n"), h["pos"].alias("pos"), name.alias("name")))))
+    true = F.filter(candidates, lambda c: F.slice(F.col("ws"), c["pos"] + 1, c["n"]) == c["name"])
+    found = tokens.join(hits, key).select(
+        key, F.array_distinct(F.transform(F.array_sort(true), lambda c: F.array_join(c["name"], " "))).alias("entities")
     )
     return posts.drop("entities").join(found, key, "left").withColumn(
         "entities", F.coalesce("entities", F.array().cast("array<string>"))
-    )
+    ).drop(_TEXT_KEY)
 
 
 def no_entities(posts: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import (
     content_words, explode_once, is_valid_phrase, join_text, ngrams, text_or_empty, words, word_count,
 )
-from ..schema import WHOLE_TEXT, TextCaps, capped
 from ..vocab import KEYWORD_STOPWORDS, RAKE_STOPWORDS, TOPIC_STOPWORDS
 from .clean import KEY
 from .keywords import simple_keywords
@@ -66,7 +65,7 @@ def keyword_ngrams(keywords: Column, limit: int = KEYWORD_NGRAMS) -> Column:
 
 
 def add_phrases(
-    posts: DataFrame, caps: TextCaps = WHOLE_TEXT, use_rake: bool = True, key: str = KEY,
+    posts: DataFrame, use_rake: bool = True, key: str = KEY,
 ) -> DataFrame:
     """Add `phrases` (and `entities`, empty if the batch has none).
 
@@ -77,7 +76,7 @@ def add_phrases(
         posts = posts.withColumn("entities", F.array().cast("array<string>"))
     title = text_or_empty(F.col("title"))
     body = text_or_empty(F.col("body"))
-    text = join_text(title, capped(body, caps.body))
+    text = join_text(title, body)
     known = F.trim(text_or_empty(F.col("keywords"))) if "keywords" in posts.columns else F.lit("")
     recomputed = simple_keywords(title, body)
     source = (
@@ -88,7 +87,7 @@ def add_phrases(
     multi = F.filter("entities", lambda e: word_count(e).between(2, 4))
     rake = F.array().cast("array<string>")
     if use_rake:
-        ranked = rake_phrases(posts, capped(text, caps.rake), key=key).where(
+        ranked = rake_phrases(posts, text, key=key).where(
             word_count(F.col("phrase")).between(2, 5) & (F.length("phrase") > 4)
         ).groupBy(key).agg(
             F.transform(
@@ -98,7 +97,7 @@ def add_phrases(
         posts = posts.join(ranked, key, "left")
         rake = F.coalesce("_rake", rake)
     found = F.array_distinct(
-        F.concat(multi, text_phrases(capped(text, caps.phrases)), rake, keyword_ngrams(source))
+        F.concat(multi, text_phrases(text), rake, keyword_ngrams(source))
     )
     single = content_words(words(title), 4, TOPIC_STOPWORDS)
     posts = posts.withColumn("_found", found).withColumn(

@@ -70,24 +70,13 @@ def share_of_voice(posts: DataFrame) -> DataFrame:
 
 
 def daily_rollup(posts: DataFrame, days: int = ROLLUP_DAYS) -> DataFrame:
-    """Posts, rising and falling per day for the latest `days` days.
-
-    The oldest wanted day is a scalar subquery over the date column alone; on a date-partitioned
-    table it prunes the scan to those days.
-    """
-    latest = posts.select("date").where("date is not null").distinct().orderBy(
-        F.col("date").desc()
-    ).limit(days)
-    oldest = latest.agg(F.min("date")).scalar()
-    return posts.where(F.col("date") >= oldest).groupBy("date").agg(
+    """Posts, rising and falling per day for the latest `days` days: one pass over narrow columns, then
+    the newest of the few result rows."""
+    per_day = posts.where("date is not null").groupBy("date").agg(
         F.count("*").alias("posts"), _rising().alias("rising"), _falling().alias("falling")
     )
+    return per_day.orderBy(F.col("date").desc()).limit(days)
 
 
 def categories(posts: DataFrame) -> DataFrame:
     return posts.select("category").where("category is not null").distinct().orderBy("category")
-
-
-def days(posts: DataFrame) -> DataFrame:
-    """Available days, newest first."""
-    return posts.select("date").distinct().orderBy(F.col("date").desc())

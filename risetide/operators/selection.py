@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scoring import trend_bucket
 from ..schema import DISPLAY_COLUMNS, POSTS_PER_BUCKET, TABLE_ROWS, only_columns
+from .clean import landed_order
 
 ALL_CATEGORIES = "All"
 
@@ -44,17 +45,22 @@ def top_per_bucket(
 
 
 def _first_seen(posts: DataFrame) -> list[Column]:
-    return [F.col(c).asc() for c in ("landing_rank", "seq", "url") if c in posts.columns]
+    return landed_order(posts) + ([F.col("url").asc()] if "url" in posts.columns else [])
 
 
 def filter_posts(
     posts: DataFrame, category: str | None = None, source: str | None = None,
     sentiment: str | None = None,
 ) -> DataFrame:
-    """Conjunction of the given filters; None or "All" leaves a column unfiltered."""
+    """Conjunction of the given filters; None or "All" leaves a column unfiltered. Only a batch without
+    sentiment may be asked for one: it is then not filtered by it."""
     for column, value in (("category", category), ("source", source), ("sentiment_label", sentiment)):
-        if value is not None and value != ALL_CATEGORIES and column in posts.columns:
+        if value is None or value == ALL_CATEGORIES:
+            continue
+        if column in posts.columns:
             posts = posts.where(F.col(column) == value)
+        elif column != "sentiment_label":
+            raise ValueError(f"the posts have no column {column} to filter by")
     return posts
 
 

@@ -10,8 +10,9 @@ from ..functions.scoring import rising_weight, topic_score
 from ..functions.text import explode_once, jaccard, word_count
 from ..schema import (
     ENTITY_BOOST, MMR_LAMBDA, RISING_THRESHOLD, TOPICS_OVERALL, TOPICS_PER_CATEGORY,
-    TOPICS_PER_SOURCE, VALID_CATEGORIES, VALID_SOURCES,
+    TOPICS_PER_SOURCE,
 )
+from .joins import salted_lookup
 from .phrases import valid_phrases
 
 ALL, CATEGORY, SOURCE = "all", "category", "source"
@@ -44,18 +45,13 @@ def _per_scope(options: TopicOptions, name: str) -> Column:
     )
 
 
-def rising_totals(
-    posts: DataFrame, threshold: float = RISING_THRESHOLD,
-    categories: list[str] | None = None, sources: list[str] | None = None,
-) -> DataFrame:
-    """One row, one map column: rising posts per scope key. Categories and sources are closed
-    domains, so this is a plain conditional count with a fixed number of entries."""
-    rising = F.col("trend_score") >= threshold
-    entries = [F.lit(f"{ALL}:"), F.count_if(rising)]
-    for kind, values in ((CATEGORY, categories or VALID_CATEGORIES), (SOURCE, sources or VALID_SOURCES)):
-        for value in values:
-            entries += [F.lit(f"{kind}:{value}"), F.count_if(rising & (F.col(kind) == value))]
-    return posts.agg(F.create_map(*entries).alias("rising_totals"))
+def rising_totals(posts: DataFrame, threshold: float = RISING_THRESHOLD) -> DataFrame:
+    """(scope, scope_key, n_rising) for the scopes the posts have, whatever their categories are."""
+    scope = lambda kind, key: F.struct(F.lit(kind).alias("scope"), key.alias("scope_key"))
+    scopes = F.array(scope(ALL, F.lit("")), scope(CATEGORY, F.col("category")), scope(SOURCE, F.col("source")))
+    return posts.where(F.col("trend_score") >= threshold).select(F.explode(scopes).alias("s")).groupBy(
+        "s.scope", "s.scope_key"
+    ).agg(F.count("*").alias("n_rising"))
 
 
 def term_statistics(posts: DataFrame, options: TopicOptions = TopicOptions()) -> DataFrame:
@@ -111,19 +107,19 @@ def length_preference(term: Column) -> Column:
 
 def ranked_topics(
     posts: DataFrame, options: TopicOptions = TopicOptions(),
-    categories: list[str] | None = None, sources: list[str] | None = None,
 ) -> DataFrame:
     """(scope, scope_key, rank, term, score): the top 3 x N candidate topics of each scope.
 
     The rank filter is applied in each task before rows of one scope meet.
     """
-    totals = rising_totals(posts, options.threshold, categories, sources).scalar()
-    n_rising = F.coalesce(
-        F.try_element_at(totals, F.concat("scope", F.lit(":"), "scope_key")), F.lit(0)
-    )
+    n_rising = F.coalesce("n_rising", F.lit(0))
     stats = term_statistics(posts, options).where(
         (F.col("rise") > 0) & (F.col("rise") >= _per_scope(options, "min_count"))
     )
+    # few totals, each for very many terms
+    where = F.concat_ws(":", "scope", "scope_key").alias("_where")
+    totals = rising_totals(posts, options.threshold).select(where, "n_rising")
+    stats = salted_lookup(stats.withColumn("_where", where), totals, "_where", F.col("term")).drop("_where")
     scored = stats.withColumn(
         "score",
         F.round(
@@ -217,7 +213,6 @@ def diversify(ranked: DataFrame, top_n: int = TOPICS_OVERALL, weight: float = MM
 
 def emerging_topics(
     posts: DataFrame, options: TopicOptions = TopicOptions(),
-    categories: list[str] | None = None, sources: list[str] | None = None,
 ) -> DataFrame:
     """(scope, scope_key, rank, term, score) for posts carrying `phrases` and `trend_score`."""
-    return drop_supersets(ranked_topics(posts, options, categories, sources), options)
+    return drop_supersets(ranked_topics(posts, options), options)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import LOSING_DAYS_REMOVE, POSTS_PER_BUCKET, STALE_DAYS_REMOVE
+from .clean import LANDED
 from .history import score_runs
 from .selection import top_per_bucket
 
@@ -15,7 +16,7 @@ def curated_posts(posts: DataFrame, n: int = POSTS_PER_BUCKET) -> DataFrame:
     return top_per_bucket(
         posts.select(
             "url", "category", "source", "trend_score", "created_at",
-            *[c for c in ("landing_rank", "seq") if c in posts.columns],
+            *[c for c in LANDED if c in posts.columns],
         ), n,
     ).where((F.col("source") == "reddit") & (F.col("url") != "")).select("url", "category", "source")
 
@@ -45,7 +46,3 @@ def update_tracked(
 ) -> DataFrame:
     """Add the day's curated posts, then prune."""
     return prune_tracked(add_tracked(tracked, curated_posts(posts, n), day), history)
-
-
-def forum_urls(tracked: DataFrame) -> DataFrame:
-    return tracked.where(F.col("source") == "reddit").select("url")

@@ -12,9 +12,6 @@ from .history import growth_by_url
 from .joins import salted_lookup
 from .keywords import add_keywords
 
-KEYWORD_QUERY_CHARS = 50   # fixed value: the longest query a search-interest series is keyed by
-
-
 def interest_scores(series: DataFrame) -> DataFrame:
     """(keyword, interest) from search-interest rows (keyword, ts, value).
 
@@ -39,8 +36,7 @@ def interest_scores(series: DataFrame) -> DataFrame:
 
 
 def interest_key(keywords: Column) -> Column:
-    key = F.substring(F.trim(text_or_empty(keywords)), 1, KEYWORD_QUERY_CHARS)
-    return F.when(key != "", key)
+    return F.nullif(F.trim(text_or_empty(keywords)), F.lit(""))
 
 
 def forum_trend(posts: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scoring import as_of_day, as_of_timestamp
 from ..operators.burst import keyword_counts
-from ..operators.clean import clean_posts, url_key, KEY
+from ..operators.clean import KEY, LANDED, clean_posts, url_key
 from ..operators.history import day_scores, merge_history, refetched_scores, retain
 from ..operators.lexicon import add_entities, add_sentiment, classify_posts, no_entities
 from ..operators.phrases import add_phrases
@@ -17,7 +17,6 @@ from ..operators.tracking import update_tracked
 from ..operators.trend import interest_scores, score_trends
 from ..schema import (
     DEFAULT_CATEGORY, KEYWORD_RETENTION_DAYS, POST_TYPES, RISING_THRESHOLD, SCORE_RETENTION_DAYS,
-    WHOLE_TEXT, TextCaps,
 )
 from ..sources.landing import feed_posts, forum_posts, news_articles, with_fallback
 from ..sources.tables import KEYWORDS, POSTS, SCORES, TRACKED, Lake, day_ready, is_stale, land_raw
@@ -42,11 +41,13 @@ def collect_day(
     articles: DataFrame | None = None, entries: DataFrame | None = None,
 ) -> int:
     """Land a day's payloads: forum submissions, then news (feed entries only if the articles are
-    empty). Fails only when no source has a row."""
+    empty). A source that is given replaces what it landed before, also with nothing. Fails only when
+    none of the given sources has a row."""
     now = as_of_timestamp(as_of)
-    batches = []
+    batches, sources = [], []
     if submissions is not None:
         batches.append(forum_posts(submissions))
+        sources.append("reddit")
     news = [
         mapped for mapped in (
             None if articles is None else news_articles(articles, now),
@@ -55,36 +56,37 @@ def collect_day(
     ]
     if news:
         batches.append(news[0] if len(news) == 1 else with_fallback(*news))
+        sources.append("news")
     if not batches:
         return FAILED
-    land_raw(lake, batches, as_of)
-    return OK if day_ready(lake.raw(), as_of_day(as_of), require_all=False) else FAILED
+    land_raw(lake, batches, as_of, sources)
+    landed = lake.raw().where(F.col("source").isin(sources) & (F.col("batch") == 0))
+    return OK if day_ready(landed, as_of_day(as_of), require_all=False) else FAILED
 
 
 def enrich(
     raw: DataFrame, history: DataFrame, inputs: Inputs, as_of: datetime,
-    caps: TextCaps = WHOLE_TEXT,
 ) -> DataFrame:
     """Raw rows to enriched posts in one lazy plan. The posts are shuffled once, by url key; the
     history and interest joins bring narrow rows to that partitioning."""
     posts = clean_posts(raw)
     if inputs.categories is not None:
-        posts = classify_posts(posts, inputs.categories, caps=caps)
+        posts = classify_posts(posts, inputs.categories)
     else:
         posts = posts.withColumn("category", F.lit(DEFAULT_CATEGORY))
     if inputs.gazetteer is not None:
-        posts = add_entities(posts, inputs.gazetteer, caps=caps)
+        posts = add_entities(posts, inputs.gazetteer)
     interest = None if inputs.interest is None else interest_scores(inputs.interest)
     posts = score_trends(posts, history, as_of_timestamp(as_of), interest)
     if inputs.valence is not None:
-        return add_sentiment(posts, inputs.valence, caps=caps)
+        return add_sentiment(posts, inputs.valence)
     return posts.withColumn("sentiment_score", F.lit(0.0)).withColumn(
         "sentiment_label", F.lit("neutral")
     )
 
 
 def process_day(
-    lake: Lake, as_of: datetime, inputs: Inputs = Inputs(), caps: TextCaps = WHOLE_TEXT,
+    lake: Lake, as_of: datetime, inputs: Inputs = Inputs(),
     require_all: bool = False,
 ) -> int:
     """Process one landed day and update all day-keyed state. Running it again for the same day
@@ -101,9 +103,9 @@ def process_day(
     stored = lake.scores().where(F.col("date") < day)
     history = merge_history(stored, day, SCORE_RETENTION_DAYS, refetched=refetched)
 
-    posts = enrich(raw, history, inputs, as_of, caps)
+    posts = enrich(raw, history, inputs, as_of)
     lake.write(
-        posts.select(*POST_TYPES, "landing_rank", "seq", day.alias("date")), POSTS, "date"
+        posts.select(*POST_TYPES, *LANDED, day.alias("date")), POSTS, "date"
     )
     # Everything below starts from the written partition, not from the plan above.
     today = lake.posts().where(F.col("date") == day)
@@ -113,7 +115,7 @@ def process_day(
         SCORES, "date",
     )
     rising = today.where(F.col("trend_score") >= RISING_THRESHOLD)
-    lake.write(keyword_counts(phrase_posts(rising, inputs, caps), day), KEYWORDS, "date")
+    lake.write(keyword_counts(phrase_posts(rising, inputs), day), KEYWORDS, "date")
     window = retain(lake.scores(), day, SCORE_RETENTION_DAYS)
     updated = update_tracked(tracked, today, window, day)
     lake.write(updated.withColumn("version", day), TRACKED, "version")
@@ -121,10 +123,14 @@ def process_day(
     today_utc = (as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc)).date()
     lake.drop_before(SCORES, "date", today_utc - timedelta(days=SCORE_RETENTION_DAYS))
     lake.drop_before(KEYWORDS, "date", today_utc - timedelta(days=KEYWORD_RETENTION_DAYS))
+    # a rerun of this day needs the newest version before it, however old
+    older = [v for v in lake.partitions(TRACKED, "version") if v < today_utc]
+    if older:
+        lake.drop_before(TRACKED, "version", min(max(older), today_utc - timedelta(days=KEYWORD_RETENTION_DAYS)))
     return OK
 
 
-def phrase_posts(posts: DataFrame, inputs: Inputs = Inputs(), caps: TextCaps = WHOLE_TEXT) -> DataFrame:
+def phrase_posts(posts: DataFrame, inputs: Inputs = Inputs()) -> DataFrame:
     """Posts of a stored day with `phrases` and `entities`, partitioned by url key once so that the
     key-phrase steps need no further shuffle of the texts."""
     narrow = posts.select(
@@ -132,14 +138,14 @@ def phrase_posts(posts: DataFrame, inputs: Inputs = Inputs(), caps: TextCaps = W
         "trend_score",
     ).repartition(F.col(KEY))
     if inputs.gazetteer is not None:
-        narrow = add_entities(narrow, inputs.gazetteer, caps=caps)
+        narrow = add_entities(narrow, inputs.gazetteer)
     else:
         narrow = no_entities(narrow)
-    return add_phrases(narrow, caps)
+    return add_phrases(narrow)
 
 
 def refresh_day(
-    lake: Lake, as_of: datetime, inputs: Inputs = Inputs(), caps: TextCaps = WHOLE_TEXT,
+    lake: Lake, as_of: datetime, inputs: Inputs = Inputs(),
     require_all: bool = True,
 ) -> bool:
     """Make the day's posts current: False when raw rows are missing, nothing to do when the posts
@@ -149,4 +155,4 @@ def refresh_day(
         return False
     if not is_stale(lake.raw(), lake.posts(), day):
         return True
-    return process_day(lake, as_of, inputs, caps) == OK
+    return process_day(lake, as_of, inputs) == OK

@@ -10,8 +10,8 @@ from ..operators.graph import topic_clusters
 from ..operators.lexicon import ensure_sentiment
 from ..operators.selection import filter_posts, post_table, sort_posts, top_per_bucket
 from ..operators.topics import TopicOptions, diversify, emerging_topics
-from ..schema import WHOLE_TEXT, TextCaps
-from ..sources.tables import Lake, write_csv
+from ..sources.scratch import Scratch
+from ..sources.tables import POSTS, Lake, write_csv
 from .daily import Inputs, phrase_posts
 
 
@@ -22,11 +22,11 @@ def day_posts(
     sentiment columns guaranteed."""
     posts = lake.posts()
     if day is None:
-        day = posts.agg(F.max("date")).scalar()
+        day = F.lit(max(lake.partitions(POSTS, "date"), default=None))
     chosen = filter_posts(posts.where(F.col("date") == day), category=category)
     chosen = report.ensure_trend(chosen)
     if inputs.valence is not None:
-        chosen = ensure_sentiment(chosen, inputs.valence, key="url")
+        chosen = ensure_sentiment(chosen, inputs.valence)
     return chosen
 
 
@@ -43,9 +43,11 @@ def overview(posts: DataFrame) -> dict[str, DataFrame]:
 
 def topics(
     posts: DataFrame, history: DataFrame, day: Column, inputs: Inputs = Inputs(),
-    options: TopicOptions = TopicOptions(), caps: TextCaps = WHOLE_TEXT,
+    options: TopicOptions = TopicOptions(),
 ) -> dict[str, DataFrame]:
-    phrased = phrase_posts(posts, inputs, caps)
+    phrased = Scratch(posts.sparkSession).save(
+        phrase_posts(posts, inputs).select("category", "source", "trend_score", "phrases", "entities")
+    )
     found = emerging_topics(phrased, options)
     overall = found.where(F.col("scope") == "all")
     return {
@@ -56,8 +58,8 @@ def topics(
     }
 
 
-def clusters(posts: DataFrame, inputs: Inputs = Inputs(), caps: TextCaps = WHOLE_TEXT) -> DataFrame:
-    return topic_clusters(phrase_posts(posts, inputs, caps))
+def clusters(posts: DataFrame, inputs: Inputs = Inputs()) -> DataFrame:
+    return topic_clusters(phrase_posts(posts, inputs))
 
 
 def trend_lists(posts: DataFrame) -> dict[str, DataFrame]:

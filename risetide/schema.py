@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # --- fixed values -----------------------------------------------------------------
 VALID_SOURCES = ["reddit", "news"]
@@ -17,6 +15,7 @@ NEWS_CATEGORIES = [
 ]
 SENTIMENT_LABELS = ["positive", "negative", "neutral"]
 DEFAULT_CATEGORY = "general"
+ENTITY_TYPES = ["PERSON", "ORG", "GPE", "EVENT", "PRODUCT"]
 
 RISING_THRESHOLD = 70.0
 FALLING_THRESHOLD = 30.0
@@ -40,7 +39,6 @@ STALE_DAYS_REMOVE = 5
 TABLE_ROWS = 100
 ROLLUP_DAYS = 14
 FEED_ENTRIES = 50
-# ----------------------------------------------------------------------------------
 
 POST_COLUMNS = [
     "id", "source", "title", "url", "created_at", "score", "subreddit", "author", "body",
@@ -49,9 +47,6 @@ DISPLAY_COLUMNS = [
     "title", "source", "category", "trend_score", "sentiment_label", "score", "keywords",
 ]
 
-# Schemas are DDL strings, as `spark.read.schema` and `createDataFrame` take them.
-RAW_SCHEMA = ", ".join(f"{c} string" for c in POST_COLUMNS)
-
 POST_TYPES = {
     "id": "string", "source": "string", "title": "string", "url": "string",
     "created_at": "string", "score": "bigint", "subreddit": "string", "author": "string",
@@ -59,16 +54,19 @@ POST_TYPES = {
     "sentiment_score": "double", "sentiment_label": "string",
 }
 REQUIRED_COLUMNS = ["id", "source", "title", "url", "created_at"]
+# ----------------------------------------------------------------------------------
+
 OPTIONAL_COLUMNS = [c for c in POST_TYPES if c not in REQUIRED_COLUMNS]
 
+# Schemas are DDL strings, as `spark.read.schema` and `createDataFrame` take them.
+RAW_SCHEMA = ", ".join(f"{c} string" for c in POST_COLUMNS)
 POSTS_SCHEMA = (
     ", ".join(f"{name} {kind}" for name, kind in POST_TYPES.items())
-    + ", landing_rank int, seq bigint, date date"
+    + ", landing_rank int, batch int, seq bigint, pos bigint, date date"
 )
 SCORES_SCHEMA = "url string, date date, score bigint"
 KEYWORDS_SCHEMA = "date date, term string, cnt bigint"
 TRACKED_SCHEMA = "url string, category string, source string, added_date date"
-INTEREST_SCHEMA = "keyword string, ts timestamp, value double"
 SUBMISSION_SCHEMA = (
     "permalink string, created_utc double, selftext string, title string, score bigint, "
     "subreddit string, author string"
@@ -83,25 +81,6 @@ RSS_SCHEMA = (
 )
 
 
-@dataclass(frozen=True)
-class TextCaps:
-    """Character caps on the text an operator reads; None reads the whole text."""
-
-    body: int | None = None       # body characters joined to the title
-    phrases: int | None = None    # characters scanned for n-grams and entities
-    rake: int | None = None       # characters scanned for ranked key phrases
-    classify: int | None = None   # characters the classifier reads
-
-
-WHOLE_TEXT = TextCaps()
-# The short-headline caps of the original daily run.
-SHORT_TEXT = TextCaps(body=200, phrases=500, rake=1000, classify=512)
-
-
-def capped(text: Column, limit: int | None) -> Column:
-    return text if limit is None else F.substring(text, 1, limit)
-
-
 def conform(df: DataFrame) -> DataFrame:
     """Give a post batch every column of the post schema: "" for missing required columns, 0 for
     a missing score and typed nulls (never "") for the other missing columns."""

@@ -33,7 +33,7 @@ class Lake:
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def raw(self) -> DataFrame:
-        return self.read(RAW, f"{RAW_SCHEMA}, landing_rank int, seq bigint, date date, batch int")
+        return self.read(RAW, f"{RAW_SCHEMA}, landing_rank int, seq bigint, pos bigint, date date, batch int")
 
     def posts(self) -> DataFrame:
         return self.read(POSTS, POSTS_SCHEMA)
@@ -54,9 +54,21 @@ class Lake:
         return older.where(F.col("version") == newest).drop("version")
 
     def tracked(self) -> DataFrame:
-        versions = self.tracked_versions()
-        newest = versions.agg(F.max("version")).scalar()
-        return versions.where(F.col("version") == newest).drop("version")
+        return self._version(max(self.partitions(TRACKED, "version"), default=None))
+
+    def _version(self, version: date | None) -> DataFrame:
+        return self.tracked_versions().where(F.col("version") == F.lit(version)).drop("version")
+
+    def partitions(self, table: str, key: str) -> list[date]:
+        """The days a table has a partition of, newest first; lists one folder, reads no file."""
+        fs, folder = _file_system(self.spark, self.path(table))
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        found = [n.partition("=")[2] for n in names if n.startswith(f"{key}=")]
+        return sorted((date.fromisoformat(v) for v in found if v[:1].isdigit()), reverse=True)
+
+    def drop_partition(self, table: str, *folders: str) -> None:
+        fs, folder = _file_system(self.spark, "/".join([self.path(table), *folders]))
+        fs.delete(folder, True)
 
     def write(self, df: DataFrame, table: str, *partition_by: str) -> None:
         """Replace exactly the partitions present in `df`."""
@@ -152,10 +164,19 @@ def tracked_to_json(tracked: DataFrame) -> DataFrame:
 # --- landing and readiness ------------------------------------------------------------
 
 
-def land_raw(lake: Lake, batches: list[DataFrame], day: str | date | datetime) -> None:
-    """Write the day's raw batches in landing order. They form batch 0 of their source and day;
-    streamed micro-batches are numbered from 1."""
-    rows = union_sources(*batches).select(*POST_COLUMNS, "landing_rank", "seq")
+def land_raw(
+    lake: Lake, batches: list[DataFrame], day: str | date | datetime, sources: list[str] = VALID_SOURCES,
+) -> None:
+    """Write the day's raw batches in landing order. They form batch 0 of their source and day, and
+    replace those of `sources` that are there already, also where the new ones are empty; streamed
+    micro-batches are numbered from 1."""
+    rows = union_sources(*batches)
+    if "pos" not in rows.columns:
+        rows = rows.withColumn("pos", F.lit(0).cast("bigint"))
+    rows = rows.select(*POST_COLUMNS, "landing_rank", "seq", "pos")
+    named = lake.spark.range(1).select(as_of_day(day).cast("string")).first()[0]
+    for source in sources:
+        lake.drop_partition(RAW, f"source={source}", f"date={named}", "batch=0")
     rows = rows.withColumn("score", F.col("score").cast("string")).withColumn("date", as_of_day(day))
     lake.write(rows.withColumn("batch", F.lit(0)), RAW, "source", "date", "batch")
 

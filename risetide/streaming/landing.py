@@ -20,15 +20,14 @@ def stream_submissions(
 
     The file source remembers what it has read, so the query can be run again at any time. Each
     micro-batch writes its own sub-folder, replaced as a whole when a batch is retried: rows land
-    exactly once. Url duplicates between batches are left to `clean_posts`; the batch number leads
-    `seq`, so the first landed row wins.
+    exactly once. Url duplicates between batches are left to `clean_posts`; order is by
+    batch number, then `seq`, so the first landed row wins.
     """
     rows = spark.readStream.schema(SUBMISSION_SCHEMA).json(folder)
 
     def land(batch: DataFrame, number: int) -> None:
-        posts = forum_posts(batch).withColumn("seq", F.col("seq") + F.lit(number) * F.lit(1 << 50))
-        landed = posts.select(
-            *[c for c in POST_COLUMNS if c != "source"], F.lit(0).alias("landing_rank"), "seq",
+        landed = forum_posts(batch).withColumn("pos", F.lit(0).cast("bigint")).select(
+            *[c for c in POST_COLUMNS if c != "source"], F.lit(0).alias("landing_rank"), "seq", "pos",
             F.col("source"), as_of_day(day).alias("date"), F.lit(number + 1).alias("batch"),
         ).withColumn("score", F.col("score").cast("string"))
         landed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
