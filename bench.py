@@ -13,6 +13,7 @@ from risetide.registry.queries import QUERIES
 HEADLINE = [
     "clean_raw_posts", "trend_score", "buckets_per_category", "history_merge", "track_update",
     "kpis", "daily_rollup", "classify", "ranked_key_phrases", "phrases", "emerging_topics",
+    "mmr_topics", "burst", "cooccurrence", "topic_cluster_words",
 ]
 
 

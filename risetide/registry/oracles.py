@@ -432,6 +432,27 @@ _QUERIES: dict[str, str] = {
         format('{:+d}%', CAST(round_even(pct, 0) AS BIGINT)) AS shown FROM ("""
         + _BURST.replace("OTHER", "<>") + ") ORDER BY round(pct, 9) DESC, term LIMIT 10",
     "cooccurrence": "SELECT src, dst, weight FROM edges",
+    "land_day_again": """SELECT 'news' AS source, url, replace(substring(created_at, 1, 19), 'T', ' ') AS created_at,
+        seq, CAST(0 AS BIGINT) AS pos FROM article_rows""",
+    "ensured_sentiment": "SELECT seq, sentiment_score, sentiment_label FROM labels_of",
+    "union_in_landing_order": """SELECT url, title, landing_rank FROM (SELECT * FROM (
+        SELECT url, source, 'first' AS title, 0 AS landing_rank, seq FROM raw_posts WHERE seq % 2 = 0
+        UNION ALL SELECT url, source, 'second', 1, seq FROM raw_posts)
+        QUALIFY row_number() OVER (PARTITION BY url ORDER BY landing_rank, seq) = 1) WHERE source IN ('reddit', 'news')""",
+    "conformed_columns": """SELECT seq, url, '' AS source, '' AS title, CAST(0 AS BIGINT) AS score, CAST(NULL AS VARCHAR) AS body,
+        CAST(NULL AS DOUBLE) AS trend_score, CAST(NULL AS VARCHAR) AS category FROM raw_posts""",
+    "csv_round_trip": """SELECT seq AS id, source, url, score, length(coalesce(title, '')) AS title_length,
+        md5(coalesce(body, '')) AS body_md5 FROM raw_posts""",
+    "cluster_report_given_members": """WITH cluster_nodes AS (SELECT w AS node, substring(w, 1, 1) AS comm FROM
+          (SELECT src AS w FROM edges UNION SELECT dst FROM edges)),
+        cluster_sizes AS (SELECT comm, count(*) AS size FROM cluster_nodes GROUP BY comm),
+        cluster_ranks AS (SELECT *, row_number() OVER (ORDER BY size DESC, comm) AS cluster_rank FROM cluster_sizes),
+        degrees AS (SELECT word AS node, count(*) AS degree FROM (SELECT src AS word FROM edges
+          UNION ALL SELECT dst FROM edges) GROUP BY word),
+        cluster_words AS (SELECT cluster_rank, size, node, row_number() OVER (PARTITION BY cluster_rank ORDER BY degree DESC, node) AS rn
+          FROM cluster_nodes JOIN cluster_ranks USING (comm) JOIN degrees USING (node) WHERE cluster_rank <= 5 AND size >= 2)
+        SELECT CAST(cluster_rank AS INTEGER) AS cluster_rank, size, string_agg(node, ' ' ORDER BY rn) AS words
+        FROM cluster_words WHERE rn <= 10 GROUP BY cluster_rank, size""",
     "cooccurrence_degrees": """SELECT word, count(*) AS degree FROM (SELECT src AS word FROM edges
         UNION ALL SELECT dst FROM edges) GROUP BY word""",
 }

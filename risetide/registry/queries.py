@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -12,24 +13,25 @@ from ..functions.scoring import as_of_day, as_of_timestamp
 from ..functions.text import ellipsis, signed_percent, strip_markup, title_case
 from ..operators import report
 from ..operators.burst import burst_topics, keyword_counts
-from ..operators.clean import KEY, clean_posts
-from ..operators.graph import cooccurrence_edges, node_degrees, topic_clusters
+from ..operators.clean import KEY, clean_posts, union_sources
+from ..operators.graph import cluster_report, cooccurrence_edges, node_degrees, topic_clusters
 from ..operators.history import (
     day_scores, growth_by_url, merge_history, refetched_scores, retain, score_runs, unique_scores,
 )
 from ..operators.keywords import add_keywords
-from ..operators.lexicon import add_entities, add_sentiment, classify_posts
+from ..operators.lexicon import add_entities, add_sentiment, classify_posts, ensure_sentiment
 from ..operators.phrases import add_phrases, rake_phrases
 from ..operators.selection import post_table, top_per_bucket
 from ..operators.topics import diversify, drop_supersets, ranked_topics
 from ..operators.tracking import curated_posts, update_tracked
 from ..operators.trend import interest_scores, score_trends
 from ..functions.text import join_text
-from ..schema import SCORE_RETENTION_DAYS
+from ..plans import daily
+from ..schema import POST_COLUMNS, SCORE_RETENTION_DAYS, conform
 from ..sources.landing import feed_posts, forum_posts, news_articles, with_fallback
-from ..sources.scratch import Scratch
+from ..sources.scratch import Scratch, ensure_checkpoint_dir
 from ..sources.tables import (
-    keyword_history_from_json, keyword_history_to_json, readiness, tracked_from_json, tracked_to_json,
+    Lake, keyword_history_from_json, read_raw_csv, write_csv, keyword_history_to_json, readiness, tracked_from_json, tracked_to_json,
 )
 from . import views
 
@@ -155,8 +157,11 @@ def post_id_and_ref(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def land_submissions(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    submissions = tables.sql(views.SUBMISSIONS, documents=tables.table("documents"))
-    return forum_posts(submissions).drop("subreddit")
+    return forum_posts(_submissions(tables)).drop("subreddit")
+
+
+def _submissions(tables: Tables) -> DataFrame:
+    return tables.sql(views.SUBMISSIONS, documents=tables.table("documents"))
 
 
 def _responses(tables: Tables, category: str) -> DataFrame:
@@ -474,6 +479,60 @@ def cooccurrence_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return node_degrees(cooccurrence_edges(Tables(spark, folder).phrased()))
 
 
+@query
+def cluster_report_given_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster report for a known membership: words with the same first letter."""
+    edges = Scratch(spark).save(cooccurrence_edges(Tables(spark, folder).phrased()))
+    words = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    members = words.withColumn("comm", F.substring("node", 1, 1))
+    return cluster_report(edges, members).select("cluster_rank", "size", F.array_join("words", " ").alias("words"))
+
+
+@query
+def land_day_again(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw rows of a day after a second landing that empties one of its two sources."""
+    tables = Tables(spark, folder)
+    lake = Lake(spark, f"{ensure_checkpoint_dir(spark)}/lake-{uuid.uuid4().hex}")
+    news = _responses(tables, "science")
+    daily.collect_day(lake, NOW, _submissions(tables), news)
+    daily.collect_day(lake, NOW, _submissions(tables).limit(0), news)
+    return lake.raw().select("source", "url", "created_at", "seq", "pos")
+
+
+@query
+def ensured_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentiment for a batch that has none and whose urls are partly null."""
+    tables = Tables(spark, folder)
+    posts = tables.clean().drop("post_key", "sentiment_score", "sentiment_label").withColumn("url", F.when(F.col("seq") % 3 > 0, F.col("url")))
+    return ensure_sentiment(posts, tables.valence_lexicon()).select("seq", "sentiment_score", "sentiment_label")
+
+
+@query
+def union_in_landing_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches of the same urls: the one that landed first wins, though its rows come last."""
+    raw = Tables(spark, folder).raw_posts().drop("landing_rank")
+    first = raw.where("seq % 2 = 0").withColumn("title", F.lit("first"))
+    second = raw.withColumn("title", F.lit("second"))
+    return clean_posts(union_sources(first, second)).select("url", "title", "landing_rank")
+
+
+@query
+def conformed_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch that has only ids and urls, filled up to the post schema."""
+    bare = Tables(spark, folder).raw_posts().select("seq", "url")
+    return conform(bare).select("seq", "url", "source", "title", "score", "body", "trend_score", "category")
+
+
+@query
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw posts written as CSV and read back: quotes and line breaks survive."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    write_csv(Tables(spark, folder).raw_posts().withColumn("id", F.col("seq")).select(*POST_COLUMNS), path)
+    return read_raw_csv(spark, path).select(
+        F.col("id").cast("bigint").alias("id"), "source", "url", "score",
+        F.length(F.coalesce("title", F.lit(""))).cast("bigint").alias("title_length"), F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"))
+
+
 @query
 def topic_cluster_words(spark: SparkSession, folder: str) -> DataFrame:
     found = topic_clusters(Tables(spark, folder).phrased())

@@ -122,7 +122,9 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame | None:
 def write_csv(df: DataFrame, path: str) -> None:
     """Export every row, with header (array columns are left out)."""
     flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, escape='"')
+    df.select(*flat).write.mode("overwrite").csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def read_scores_csv(spark: SparkSession, path: str) -> DataFrame:
