@@ -142,7 +142,16 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 def fit(pages: DataFrame, vocabulary: int = VOCABULARY) -> Model:
     """Word counts and naive Bayes from all pages (url, html)."""
-    common = word_counts(pages).orderBy(F.col("word").isin(*SEEDS).desc(), F.col("n").desc(), "word").limit(vocabulary).collect()
+    counts = saved(word_counts(pages), "url-words")
+    # the frequency from which on words fit the vocabulary, by eighths of a power of two
+    level = F.floor(F.log2("n") * 8).cast("int")
+    held, least = len(SEEDS), 1 << 20
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        held += r.words
+        if held > vocabulary:
+            break
+        least = r.level
+    common = counts.where((level >= least) | F.col("word").isin(*SEEDS)).collect()
     model = Model(Words({r.word: r.n for r in common}))
     held = pages.sparkSession.sparkContext.broadcast(model)
 
