@@ -64,24 +64,28 @@ def text_bytes(column: Column | str = "text") -> Column:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of edges (a, b).
 
-    Alternates large-star and small-star steps until the set of edges stays the same. Minima are
-    combined in the map tasks; the joins are plain inner joins that Spark may split at a hot node.
-    Each round is a written table. No edges: no rows."""
+    Alternates large-star and small-star steps until the edges are stars, which they often are at once.
+    Minima are combined in the map tasks; the joins are plain inner joins that Spark may split at a hot
+    node. Each round is a written table. No edges: no rows."""
     edges = saved(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    seen = None
-    while (now := _digest(edges)) != seen:
+    while not _are_stars(edges):
         following = saved(_small_star(_large_star(edges)), name)
         delete_table(edges)
-        edges, seen = following, now
+        edges = following
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.unionByName(centres)
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node is a centre, or a leaf of one centre."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.leaf").alias("leaf"), F.max("e.centre").alias("centre"))
+    return nodes.agg(F.coalesce(F.max(F.col("leaf") + F.col("centre")), F.lit(0))).first()[0] <= 1
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
