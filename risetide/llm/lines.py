@@ -1,18 +1,21 @@
 """Line dedup: fuzzy lines by SimHash, pigeonhole blocks, and a check of edit similarity.
 
 1. One pass over the texts gives each line the digest of its normalised form and the SimHash of its
-   words; lines equal when normalised become one distinct line, combined in the map tasks.
+   distinct words; lines equal when normalised become one distinct line, combined in the map tasks.
 2. The 64 bits of a SimHash are cut into 5 blocks. At most 3 changed bits leave 2 blocks equal, so
    fingerprints meet under 10 keys of two blocks each. What meets are distinct fingerprints of 8 bytes,
-   never texts or copies; a cell with many is cut again by its free bits instead of comparing all pairs.
-3. Only lines of candidate pairs are read again, and only pairs of edit similarity SIMILARITY or more
-   link. Groups are the connected components; the first occurrence of a group stays.
+   never texts or copies, sorted by key and streamed; each key gives spanning links of its near
+   fingerprints, and these the families: fingerprints that chains of near ones connect.
+3. Only the lines of families with more than one line are read again. A family is cut into tiles of at
+   most two blocks of about TILE lines each, so any two of its lines meet and no task holds more. A tile
+   checks the edit similarity of its near pairs, but of no pair that checked ones already connect, and
+   returns spanning links. Groups are the connected components; a group's first occurrence stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from risetide.llm.roots import roots_of
 from risetide.llm.work import components, saved
 
 SIMILARITY = 0.8
 RADIUS = 3
 #: (first bit, number of bits)
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-_DIRECT = 256
-_PUNCTUATION = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+TILE = 4096
+_BLOCK = 1 << 21
+_PUNCTUATION = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def normalised(line: str) -> bytes:
@@ -36,52 +41,48 @@ def normalised(line: str) -> bytes:
 
 
 def line_prints(text: str) -> tuple[list[int], list[bytes], np.ndarray]:
-    """Number, digest and SimHash of each line that has a word."""
+    """Number, digest and SimHash of each line that has a word. A word counts once, so that a line's
+    print is not that of its most frequent word."""
     words, sizes, numbers, digests = [], [], [], []
-    for i, line in enumerate(text.split("\n")):
-        own = line.lower().encode("utf-8", "replace").translate(_PUNCTUATION).split()
+    for i, line in enumerate(text.lower().encode("utf-8", "replace").translate(_PUNCTUATION).split(b"\n")):
+        own = line.split()
         if own:
-            words += own
-            sizes.append(len(own))
+            kinds = set(own)
+            words += kinds
+            sizes.append(len(kinds))
             numbers.append(i)
             digests.append(xxhash.xxh3_128_digest(b" ".join(own)))
     if not numbers:
         return [], [], np.zeros(0, np.int64)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     hashes = np.array([_word_hash(w) for w in words], "<u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    prints = np.packbits(ones * 2 > np.array(sizes)[:, None], axis=1, bitorder="little").copy().view("<i8")[:, 0]
-    return numbers, digests, prints
+    return numbers, digests, _majorities(hashes, np.array(sizes))
+
+
+def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each run of sizes[i] hashes: the bits that more than half of them have. Eight counters of a
+    byte share a word, so runs are counted in parts of 255 hashes at most."""
+    parts = -(-sizes // 255)
+    line_of = np.repeat(np.arange(len(sizes)), parts)
+    first_part = np.cumsum(parts) - parts
+    starts = (np.cumsum(sizes) - sizes)[line_of] + 255 * (np.arange(len(line_of)) - first_part[line_of])
+    ones = np.empty((len(starts), 64), np.uint8)
+    for shift in range(8):
+        lanes = hashes >> np.uint64(shift) & np.uint64(0x0101010101010101)
+        ones[:, shift::8] = np.add.reduceat(lanes, starts).view(np.uint8).reshape(-1, 8)
+    counts = ones if len(starts) == len(sizes) else np.add.reduceat(ones, first_part, axis=0, dtype=np.int64)
+    return np.packbits(counts > sizes[:, None] // 2, axis=1, bitorder="little").copy().view("<i8")[:, 0]
 
 
 _word_hash = xxhash.xxh3_64_intdigest
 
 
-def near_pairs(prints: np.ndarray, free: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i < j) of unsigned fingerprints within RADIUS bits. Many fingerprints are first
-    parted by the value of each of RADIUS + 1 runs of their free bits: one run is equal in any near pair."""
-    if len(prints) <= _DIRECT or len(free) <= RADIUS:
-        left, right = [], []
-        for at in range(0, len(prints), 256):
-            apart = np.bitwise_count(prints[at:at + 256, None] ^ prints[None, at:])
-            i, j = np.nonzero(np.triu(apart <= RADIUS, 1))
-            left.append(i + at)
-            right.append(j + at)
-        return np.concatenate(left), np.concatenate(right)
-    found = set()
-    for part in np.array_split(np.array(free), RADIUS + 1):
-        mask = np.uint64(sum(1 << int(b) for b in part))
-        rest = [b for b in free if b not in part]
-        order = np.argsort(prints & mask, kind="stable")
-        edges = np.nonzero(np.diff((prints & mask)[order]))[0] + 1
-        for group in np.split(order, edges):
-            if len(group) > 1:
-                group = np.sort(group)
-                i, j = near_pairs(prints[group], rest)
-                found.update(zip(group[i].tolist(), group[j].tolist()))
-    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+def near_pairs(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of unsigned fingerprints within RADIUS bits, in blocks of bounded size."""
+    step = max(1, _BLOCK // max(1, len(prints)))
+    for at in range(0, len(prints), step):
+        near = np.bitwise_count(prints[at:at + step, None] ^ prints[None, at:]) <= RADIUS
+        i, j = np.nonzero(np.triu(near, 1))
+        yield i + at, j + at
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -145,35 +146,54 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """(a, b): pairs of near or equal fingerprints, a <= b; equal ones only where lines share one."""
-    bits = [list(range(a, a + n)) for a, n in BLOCKS]
-    masks = []
-    for i, j in combinations(range(len(BLOCKS)), 2):
-        mask = sum(1 << b for b in bits[i] + bits[j])
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    free = [[b for k, own in enumerate(bits) if k not in chosen for b in own] for chosen in combinations(range(len(BLOCKS)), 2)]
-    shared = distinct.groupBy("sim").agg(F.count(F.lit(1)).alias("n"))
-    fingers = shared.select("sim")
-    cells = (
-        fingers.select("sim", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("mask", "bits"))
-        .groupBy("mask", F.col("sim").bitwiseAND(F.col("bits")).alias("key")).agg(F.collect_list("sim").alias("sims"))
-        .where(F.size("sims") > 1).select("mask", "sims")
-    )
+def _near_in_runs(keys: np.ndarray, sims: np.ndarray) -> list[np.ndarray]:
+    """Near pairs among fingerprints that stand together under one key, enough to connect all of them."""
+    starts = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
+    sizes = np.diff(starts)
+    found = []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= 8)]):
+        at = starts[:-1][sizes == size]
+        for i, j in combinations(range(size), 2):
+            near = np.bitwise_count(sims[at + i] ^ sims[at + j]) <= RADIUS
+            found.append(np.stack([sims[at[near] + i], sims[at[near] + j]]))
+    for at in np.nonzero(sizes > 8)[0]:
+        own = np.unique(sims[starts[at]:starts[at + 1]])
+        root = np.arange(len(own))
+        for i, j in near_pairs(own):
+            root = root[roots_of(len(own), np.concatenate([i, np.arange(len(own))]), np.concatenate([j, root]))]
+        far = np.nonzero(root != np.arange(len(own)))[0]
+        found.append(np.stack([own[far], own[root[far]]]))
+    return found
+
+
+def _families(distinct: DataFrame) -> DataFrame:
+    """(sim, family) of fingerprints that are near another one; family is the smallest of them."""
+    bits = [((1 << n) - 1) << a for a, n in BLOCKS]
+    masks = [bits[i] | bits[j] for i, j in combinations(range(len(BLOCKS)), 2)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keyed = distinct.select("sim").distinct().select("sim", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select(
+        F.xxhash64("mask", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"), "sim")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for mask, sims in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = np.sort(sims.values.to_numpy())
-                i, j = near_pairs(own.view(np.uint64), free[mask])
-                left.append(own[i])
-                right.append(own[j])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-
-    return cells.mapInArrow(near, "a long, b long").distinct().unionByName(
-        shared.where("n > 1").select(F.col("sim").alias("a"), F.col("sim").alias("b")))
+        last_keys, last_sims = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in chain(batches, [None]):
+            keys, sims = last_keys, last_sims
+            if batch is not None:
+                keys = np.concatenate([keys, batch.column(0).to_numpy()])
+                sims = np.concatenate([sims, batch.column(1).to_numpy().view(np.uint64)])
+            if not len(keys):
+                continue
+            # the last key may go on in the next batch
+            end = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)
+            last_keys, last_sims = keys[end:], sims[end:]
+            found = _near_in_runs(keys[:end], sims[:end]) if end else []
+            if found:
+                a, b = np.concatenate(found, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
+    return components(sorted_keys.mapInArrow(near, "a long, b long"), "lines-families").select(
+        F.col("node").alias("sim"), F.col("component").alias("family"))
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -196,30 +216,61 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "h binary, norm string").dropDuplicates(["h"])
 
 
-def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): digests of distinct lines that link."""
-    lines = distinct.select("h", "sim", "first")
-    pairs = (
-        _candidates(distinct)
-        .join(lines.select(F.col("sim").alias("a"), F.col("h").alias("ha"), F.col("first").alias("fa")), "a")
-        .join(lines.select(F.col("sim").alias("b"), F.col("h").alias("hb"), F.col("first").alias("fb")), "b")
-        .where((F.col("a") != F.col("b")) | (F.col("ha") < F.col("hb")))
-    )
-    pairs = saved(pairs.select("ha", "fa", "hb", "fb"), "lines-pairs")
-    wanted = pairs.select(F.col("ha").alias("h"), F.col("fa").alias("first")).unionByName(
-        pairs.select(F.col("hb").alias("h"), F.col("fb").alias("first"))).distinct()
-    texts = saved(_line_texts(docs, wanted), "lines-texts")
-    told = (
-        pairs.join(texts.select(F.col("h").alias("ha"), F.col("norm").alias("na")), "ha")
-        .join(texts.select(F.col("h").alias("hb"), F.col("norm").alias("nb")), "hb").select("ha", "hb", "na", "nb")
-    )
+def tile_links(prints: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of near prints whose texts are similar. Half the difference of two texts' letter
+    counts is a lower bound of their edit distance, and discards pairs without an alignment."""
+    sizes = np.array([len(t) for t in texts])
+    letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for t in texts], np.int32)
+    up = list(range(len(texts)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    linked = []
+    for i, j in near_pairs(prints):
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+            roots = np.array([root(x) for x in range(len(texts))])
+            apart = roots[a] != roots[b]
+            a, b = a[apart], b[apart]
+            allowed = ((1 - SIMILARITY) * np.maximum(sizes[a], sizes[b]) + 1e-9).astype(int)
+            good = (np.abs(sizes[a] - sizes[b]) <= allowed) & (np.abs(letters[a] - letters[b]).sum(axis=1) <= 2 * allowed)
+            for x, y in zip(a[good].tolist(), b[good].tolist()):
+                p, q = root(x), root(y)
+                if p != q and similar(texts[x], texts[y]):
+                    up[max(p, q)] = min(p, q)
+                    linked.append((x, y))
+    pairs = np.array(linked, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["ha", "hb"]).filter(pa.array(good, pa.bool_()))
 
-    return told.mapInArrow(verified, "ha binary, hb binary").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): digests of distinct lines that link, enough of them to connect all that do."""
+    families = _families(distinct)
+    lines = distinct.select("h", "sim", "first").join(families, "sim", "left").select(
+        "h", "sim", "first", F.coalesce("family", "sim").alias("family"))
+    sizes = lines.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wanted = saved(lines.join(sizes, "family").select(
+        "h", "sim", "first", "family", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "lines-wanted")
+    texts = _line_texts(docs, wanted.select("h", "first"))
+    block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    met = wanted.select("h", "sim", "family", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).join(texts, "h")
+    tiles = met.groupBy("family", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(
+        F.collect_list("sim").alias("sims"), F.collect_list("h").alias("hs"), F.collect_list("norm").alias("norms")).select("sims", "hs", "norms")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for sims, hs, norms in zip(*batch.columns):
+                own = hs.as_py()
+                i, j = tile_links(sims.values.to_numpy().view(np.uint64), norms.as_py())
+                a += [own[k] for k in i]
+                b += [own[k] for k in j]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return tiles.mapInArrow(linked, "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def test_pairs_of_many_fingerprints():
     base = draw.integers(0, 1 << 62, 200, dtype=np.uint64)
     near = base[draw.integers(0, 200, 600)] ^ (np.uint64(1) << draw.integers(0, 62, 600).astype(np.uint64))
     prints = np.unique(np.concatenate([base, near]))
-    i, j = lines.near_pairs(prints, list(range(64)))
+    i, j = map(np.concatenate, zip(*lines.near_pairs(prints)))
     want = {(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if int(prints[a] ^ prints[b]).bit_count() <= 3}
     assert set(zip(i.tolist(), j.tolist())) == want
 
