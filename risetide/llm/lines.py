@@ -1,15 +1,17 @@
-"""Line dedup: fuzzy lines by SimHash, pigeonhole blocks, and a check of edit similarity.
-
-1. One pass over the texts gives each line the digest of its normalised form and the SimHash of its
-   distinct words; lines equal when normalised become one distinct line, combined in the map tasks.
-2. The 64 bits of a SimHash are cut into 5 blocks. At most 3 changed bits leave 2 blocks equal, so
-   fingerprints meet under 10 keys of two blocks each. What meets are distinct fingerprints of 8 bytes,
-   never texts or copies, sorted by key and streamed; each key gives spanning links of its near
-   fingerprints, and these the families: fingerprints that chains of near ones connect.
+"""Line dedup: fuzzy lines by bands of minima and SimHash, and a check of edit similarity.
+
+1. One pass over the texts gives each line the digest of its normalised form, the SimHash of its character
+   GRAM-grams and BANDS keys; lines equal when normalised become one distinct line, combined in the map
+   tasks. The k-th occurrence of a gram in a line is an element of its own, so frequency counts.
+2. A key is made of the least values of ROWS hash functions over a line's elements, so lines that share
+   most of their elements meet under one of the keys. What meets are distinct fingerprints of 8 bytes,
+   never texts, sorted by key and streamed; each key gives spanning links of its fingerprints within
+   RADIUS bits, and these the families: fingerprints that chains of near ones connect.
 3. Only the lines of families with more than one line are read again. A family is cut into tiles of at
    most two blocks of about TILE lines each, so any two of its lines meet and no task holds more. A tile
-   checks the edit similarity of its near pairs, but of no pair that checked ones already connect, and
-   returns spanning links. Groups are the connected components; a group's first occurrence stays.
+   checks the edit similarity of its pairs within RADIUS bits, but of no pair that checked ones already
+   connect, and returns spanning links. Groups are the connected components; a group's first occurrence
+   stays.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ from risetide.llm.roots import roots_of
 from risetide.llm.work import components, saved
 
 SIMILARITY = 0.8
-RADIUS = 3
-#: (first bit, number of bits)
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: Set by recall against edit similarity alone, see the README.
+GRAM = 4
+BANDS, ROWS = 12, 5
+RADIUS = 18
 TILE = 4096
 _BLOCK = 1 << 21
+_PART = 1 << 15
 _PUNCTUATION = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -41,21 +45,79 @@ def normalised(line: str) -> bytes:
 
 
 def line_prints(text: str) -> tuple[list[int], list[bytes], np.ndarray]:
-    """Number, digest and SimHash of each line that has a word. A word counts once, so that a line's
-    print is not that of its most frequent word."""
-    words, sizes, numbers, digests = [], [], [], []
+    """Number, digest and SimHash of each line that has a word."""
+    numbers, digests, own = _words(text)
+    return numbers, digests, features(own)[0] if own else np.zeros(0, np.int64)
+
+
+def _words(text: str) -> tuple[list[int], list[bytes], list[bytes]]:
+    """Number, digest and normalised form of each line that has a word."""
+    numbers, digests, own = [], [], []
     for i, line in enumerate(text.lower().encode("utf-8", "replace").translate(_PUNCTUATION).split(b"\n")):
-        own = line.split()
-        if own:
-            kinds = set(own)
-            words += kinds
-            sizes.append(len(kinds))
+        if words := line.split():
+            own.append(b" ".join(words))
             numbers.append(i)
-            digests.append(xxhash.xxh3_128_digest(b" ".join(own)))
-    if not numbers:
-        return [], [], np.zeros(0, np.int64)
-    hashes = np.array([_word_hash(w) for w in words], "<u8")
-    return numbers, digests, _majorities(hashes, np.array(sizes))
+            digests.append(xxhash.xxh3_128_digest(own[-1]))
+    return numbers, digests, own
+
+
+def features(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash, and BANDS keys, of each normalised line."""
+    prints, keys = [], []
+    at, held = 0, 0
+    for end in range(1, len(own) + 1):      # parts that stay in the processor's cache
+        held += len(own[end - 1])
+        if held >= _PART or end == len(own):
+            elements, sizes = _elements(own[at:end])
+            prints.append(_majorities(elements, sizes))
+            keys.append(_band_keys(elements, np.cumsum(sizes) - sizes))
+            at, held = end, 0
+    return np.concatenate(prints), np.concatenate(keys)
+
+
+def _elements(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of (gram, how often it came before in the line), line after line, and their number for each
+    line. A line shorter than a gram is one."""
+    own = [x.ljust(GRAM, b"\0") for x in own]
+    lengths = np.array([len(x) for x in own])
+    sizes = lengths - GRAM + 1
+    data = np.frombuffer(b"".join(own), np.uint8).astype(np.uint64)
+    grams = data[:len(data) - GRAM + 1].copy()
+    for i in range(1, GRAM):
+        grams |= data[i:len(data) - GRAM + 1 + i] << np.uint64(8 * i)
+    inside = np.ones(len(grams), bool)
+    ends = np.cumsum(lengths)[:-1]
+    for i in range(1, GRAM):
+        inside[ends - i] = False
+    grams = grams[inside] | np.repeat(np.arange(len(own), dtype=np.uint64) << np.uint64(8 * GRAM), sizes)
+    grams.sort()
+    first = np.nonzero(np.concatenate(([True], grams[1:] != grams[:-1])))[0]
+    before = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
+    x = grams & np.uint64((1 << 8 * GRAM) - 1) | before.astype(np.uint64) << np.uint64(8 * GRAM)
+    for factor, shift in ((0x9E3779B97F4A7C15, 29), (0xBF58476D1CE4E5B9, 32)):
+        x *= np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+    return x, sizes
+
+
+def _band_keys(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of elements, BANDS keys of 32 bits. A hash function is a lane of 16 bits of a product."""
+    least = []
+    for f in range(-(-BANDS * ROWS // 4)):
+        x = elements * np.uint64((0xD6E8FEB86659FD93 + 2 * f * 0x632BE59BD9B4E019) % (1 << 64))
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xA0761D6478BD642F)
+        x ^= x >> np.uint64(29)
+        lanes = x.view("<u2").reshape(-1, 4)
+        least += [np.minimum.reduceat(np.ascontiguousarray(lanes[:, i]), starts) for i in range(4)]
+    keys = np.empty((len(starts), BANDS), np.uint32)
+    for band in range(BANDS):
+        x = np.zeros(len(starts), np.uint64)
+        for row in least[band * ROWS:(band + 1) * ROWS]:
+            x = (x ^ row) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
+        keys[:, band] = x >> np.uint64(32)
+    return keys
 
 
 def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,14 +135,11 @@ def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(counts > sizes[:, None] // 2, axis=1, bitorder="little").copy().view("<i8")[:, 0]
 
 
-_word_hash = xxhash.xxh3_64_intdigest
-
-
-def near_pairs(prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of unsigned fingerprints within RADIUS bits, in blocks of bounded size."""
+def near_pairs(prints: np.ndarray, radius: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of unsigned fingerprints within radius bits, in blocks of bounded size."""
     step = max(1, _BLOCK // max(1, len(prints)))
     for at in range(0, len(prints), step):
-        near = np.bitwise_count(prints[at:at + step, None] ^ prints[None, at:]) <= RADIUS
+        near = np.bitwise_count(prints[at:at + step, None] ^ prints[None, at:]) <= radius
         i, j = np.nonzero(np.triu(near, 1))
         yield i + at, j + at
 
@@ -122,23 +181,48 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line, h, sim, size): every line with a word; th tells texts of one doc_id apart."""
+    """(doc_id, th, line, h): every line with a word; th tells texts of one doc_id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, numbers, digests, _ = _lines_of(batch)
+            ids = batch.select(["doc_id", "th"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*ids.columns, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "th", "line", "h"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, h binary")
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """The lines of _occurrences() with their sim and the BANDS keys, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, numbers, digests, prints = [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                own, digest, sims = line_prints(text.as_py())
-                at += [i] * len(own)
-                numbers += own
-                digests += digest
-                prints.append(sims)
+            at, numbers, digests, own = _lines_of(batch)
+            # lines equal when normalised are looked at once
+            kinds = {h: x for h, x in zip(digests, own)}
+            place = {h: i for i, h in enumerate(kinds)}
+            sims, keys = features(list(kinds.values())) if own else (np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint32))
+            where = np.array([place[h] for h in digests], np.int64)
             ids = batch.select(["doc_id", "th"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*ids.columns, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(np.concatenate([np.zeros(0, np.int64), *prints]))],
-                ["doc_id", "th", "line", "h", "sim"])
+                [*ids.columns, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(sims[where]),
+                 pa.array([x.tobytes() for x in keys[where].astype(">u4")], pa.binary())],
+                ["doc_id", "th", "line", "h", "sim", "keys"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, sim long, keys binary")
+
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, sim long")
+def _lines_of(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes], list[bytes]]:
+    """Row, number, digest and normalised form of the lines of a batch of _keyed()."""
+    at, numbers, digests, own = [], [], [], []
+    for i, text in enumerate(batch.column(2)):
+        found = _words(text.as_py())
+        at += [i] * len(found[0])
+        numbers += found[0]
+        digests += found[1]
+        own += found[2]
+    return at, numbers, digests, own
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -159,7 +243,7 @@ def _near_in_runs(keys: np.ndarray, sims: np.ndarray) -> list[np.ndarray]:
     for at in np.nonzero(sizes > 8)[0]:
         own = np.unique(sims[starts[at]:starts[at + 1]])
         root = np.arange(len(own))
-        for i, j in near_pairs(own):
+        for i, j in near_pairs(own, RADIUS):
             root = root[roots_of(len(own), np.concatenate([i, np.arange(len(own))]), np.concatenate([j, root]))]
         far = np.nonzero(root != np.arange(len(own)))[0]
         found.append(np.stack([own[far], own[root[far]]]))
@@ -168,11 +252,9 @@ def _near_in_runs(keys: np.ndarray, sims: np.ndarray) -> list[np.ndarray]:
 
 def _families(distinct: DataFrame) -> DataFrame:
     """(sim, family) of fingerprints that are near another one; family is the smallest of them."""
-    bits = [((1 << n) - 1) << a for a, n in BLOCKS]
-    masks = [bits[i] | bits[j] for i, j in combinations(range(len(BLOCKS)), 2)]
-    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("sim").distinct().select("sim", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select(
-        F.xxhash64("mask", F.col("sim").bitwiseAND(F.col("mask"))).alias("key"), "sim")
+    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+    keyed = distinct.select("sim", "keys", band).select(
+        F.xxhash64("band", F.substring("keys", F.col("band") * 4 + 1, F.lit(4))).alias("key"), "sim")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_keys, last_sims = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -229,7 +311,7 @@ def tile_links(prints: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nda
         return x
 
     linked = []
-    for i, j in near_pairs(prints):
+    for i, j in near_pairs(prints, RADIUS):
         for at in range(0, len(i), 1 << 16):
             a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
             roots = np.array([root(x) for x in range(len(texts))])
@@ -275,10 +357,11 @@ def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, dropped array<int>): for texts that lose lines, the numbers of those, from 0."""
-    lines = saved(_occurrences(docs), "lines-all")
+    lines = _occurrences(docs)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th", "line")
     distinct = saved(
-        lines.groupBy("h").agg(F.min(place).alias("first"), F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n")), "lines-distinct")
+        _prints(docs).groupBy("h").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("keys").alias("keys"),
+                                       F.count(F.lit(1)).alias("n")), "lines-distinct")
     reached = components(_links(docs, distinct), "lines-components")
     grouped = (
         distinct.select("h", "first", "n").join(reached.withColumnRenamed("node", "h"), "h", "left")
@@ -294,8 +377,8 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs without repeated lines, and with n_lines and n_dropped.
 
     Lines are what newlines part. Lines that are equal when normalised (lower case, no ASCII
-    punctuation, single spaces) are one; others link if their SimHashes differ in at most RADIUS bits and
-    their edit similarity is SIMILARITY or more. Of each connected group the first occurrence stays, by
+    punctuation, single spaces) are one; others link if they share one of BANDS keys, or a chain of such lines
+    connects them, their SimHashes differ in at most RADIUS bits and their edit similarity is SIMILARITY or more. Of each connected group the first occurrence stays, by
     doc_id (unknown ones last), text and line; the rest go, also within one text. Lines without a word
     stay. A text may become empty; a null text stays null and has one line. Rows with equal doc_id and
     text are one document and get the same result. Empty table: no rows. Columns of docs other than text

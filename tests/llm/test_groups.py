@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from risetide.llm import embeddings, lines, simhash
 from risetide.llm.work import components
@@ -192,3 +193,53 @@ def test_lines(spark, odd_docs):
     assert odd.count() == odd_docs.count()
     assert told[0] is None and told[1] == "" and told[4] == "Same words here today again." and told[5] == "" and told[None] == ""
     assert lines.drop_repeated_lines(odd_docs.where("false")).count() == 0
+
+
+def edit_pairs(texts):
+    """All pairs with edit similarity lines.SIMILARITY or more; no fingerprint is asked."""
+    sizes = np.array([len(t) for t in texts])
+    letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), "<u4") & 63, minlength=64) for t in texts])
+    found = []
+    for i in range(len(texts)):
+        allowed = (0.2 * np.maximum(sizes[i], sizes[i + 1:]) + 1e-9).astype(int)
+        near = (np.abs(sizes[i + 1:] - sizes[i]) <= allowed) & (np.abs(letters[i + 1:] - letters[i]).sum(axis=1) <= 2 * allowed)
+        found += [(i, j) for j in (np.nonzero(near)[0] + i + 1).tolist() if lines.similar(texts[i], texts[j])]
+    return found
+
+
+def linked_share(spark, texts):
+    """Of the pairs with enough edit similarity, the share that ends in one group, with each text a line."""
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    distinct = lines._prints(frame).groupBy("h").agg({"doc_id": "min", "sim": "min", "keys": "min"}).selectExpr(
+        "h", "`min(sim)` as sim", "`min(keys)` as keys", "struct(`min(doc_id)` as doc_id, xxhash64('') as th, 0 as line) as first")
+    distinct = distinct.join(frame.selectExpr("doc_id as d", "xxhash64(text) as t"), distinct["first.doc_id"] == F.col("d")).selectExpr(
+        "h", "sim", "keys", "struct(d as doc_id, t as th, 0 as line) as first")
+    group = {r.node: r.component for r in components(lines._links(frame, distinct)).collect()}
+    names = [lines._words(t)[1][0] for t in texts]
+    pairs = edit_pairs(texts)
+    return sum(group.get(names[i], i) == group.get(names[j], j) for i, j in pairs) / len(pairs)
+
+
+def test_line_recall(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    texts = sorted({lines.normalised(x).decode() for r in docs for x in (r.text or "").split("\n")} - {""})
+    share = linked_share(spark, texts)
+    print(f"\nrecall on sf0.001: {share:.3f}")
+    assert share >= 0.95
+
+
+def test_lines_that_frequent_words_dominate(spark):
+    draw = random.Random(6)
+
+    def word():
+        return "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+
+    kinds, rows = ((8, 3), (14, 6), (12, 11), (30, 12)), []
+    for often, rest in kinds:
+        for _ in range(60):
+            own = [word() for _ in range(rest)]
+            rows += [(len(rows), " ".join(["the"] * often + own)), (len(rows) + 1, " ".join(["the"] * often + own[:-1] + [word()]))]
+    assert all(lines.similar(rows[i][1], rows[i + 1][1]) for i in range(0, len(rows), 2))
+    found = {r.doc_id: r.n_dropped for r in lines.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, kind in enumerate(kinds):
+        assert sum(found[i] for i in range(120 * n + 1, 120 * (n + 1), 2)) >= 57, kind
