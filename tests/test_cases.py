@@ -246,3 +246,13 @@ def test_display_formats(spark):
     assert one(spark, text.title_case(F.col("c")), "solar farm") == ["Solar Farm"]
     assert values(spark, text.signed_percent(F.col("v")), [(500.0,), (-2.5,)], "v double") == ["+500%", "-2%"]
     assert one(spark, text.ellipsis(F.col("c"), 3), "abcd", "abc") == ["abc...", "abc"]
+
+
+def test_communities_with_small_gains(spark):
+    # the loop holds nearly all weight, so each merge gains far less than 0.001 modularity
+    left, right = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
+    rows = [(a, b, 1) for words in (left, right) for i, a in enumerate(words) for b in words[i + 1:]] + [("z", "z", 100000)]
+    groups = {}
+    for r in graph.communities(spark.createDataFrame(rows, "src string, dst string, weight int")).collect():
+        groups.setdefault(r.comm, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [left, right, ["z"]]
