@@ -1,7 +1,7 @@
 """URL filters: host words by unigram Viterbi, then multinomial naive Bayes.
 
-Word frequencies come from all pages' urls and titles; the model holds the VOCABULARY most frequent
-words, which bounds what is broadcast, and other words share one token. A host's labels are split at dots,
+Word frequencies come from all pages' urls and titles, and all of them count; they stay a table, which is
+joined with the substrings of the distinct pieces. A host's labels are split at dots,
 hyphens and digits, and each piece into the words that are most likely together. Naive Bayes is trained
 on the distinct urls, so that a host with a third of all rows counts as its different pages do; a url that
 holds a seed word is taken as bad, others as good. Words that keep company with seeds become bad too.
@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from risetide.llm.work import saved
+from risetide.operators.joins import salted_lookup
 
-VOCABULARY = 50_000
+SALTS = 8
 LONGEST_WORD = 24
 _CACHED = 100_000
 _OTHER, _NUMBER = "<other>", "<number>"
@@ -140,18 +141,10 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return words.where(F.length("word") <= LONGEST_WORD).unionByName(seeds).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(pages: DataFrame, vocabulary: int = VOCABULARY) -> Model:
-    """Word counts and naive Bayes from all pages (url, html)."""
-    counts = saved(word_counts(pages), "url-words")
-    # the frequency from which on words fit the vocabulary, by eighths of a power of two
-    level = F.floor(F.log2("n") * 8).cast("int")
-    held, least = len(SEEDS), 1 << 20
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
-        held += r.words
-        if held > vocabulary:
-            break
-        least = r.level
-    common = counts.where((level >= least) | F.col("word").isin(*SEEDS)).collect()
+def fit(pages: DataFrame) -> Model:
+    """Word counts and naive Bayes from all pages (url, html), all brought to the driver: for tables whose
+    words fit there. judge() needs no such model."""
+    common = saved(word_counts(pages), "url-words").collect()
     model = Model(Words({r.word: r.n for r in common}))
     held = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -165,14 +158,81 @@ def fit(pages: DataFrame, vocabulary: int = VOCABULARY) -> Model:
             yield pd.DataFrame(rows, columns=["token", "bad"])
 
     # numbers in a path are one token, so they make no different urls here
-    distinct = pages.select(host_of(F.col("url")).alias("host"), F.regexp_replace(path_of(F.col("url")), r"\d+", "0").alias("path")).distinct()
+    distinct = _distinct_urls(pages)
     seen = saved(distinct.mapInPandas(counted, "token string, bad boolean").groupBy("token", "bad").agg(F.count(F.lit(1)).alias("n")), "url-tokens")
-    rows = seen.collect()      # two rows for each word held, at most
+    rows = seen.collect()
     model = Model(model.words)
     model.learn({(r.token, r.bad): r.n for r in rows if r.token}, {r.bad: r.n for r in rows if not r.token})
     return model
 
 
+def _distinct_urls(pages: DataFrame) -> DataFrame:
+    """(host, path), with one digit for each number."""
+    return pages.select(host_of(F.col("url")).alias("host"), F.regexp_replace(path_of(F.col("url")), r"\d+", "0").alias("path")).distinct()
+
+
+def _url_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(host, path, scope, piece): a number's piece is _NUMBER."""
+    for batch in batches:
+        rows = [(host, path, scope, _NUMBER if piece.isdigit() else piece)
+                for host, path in zip(batch.host, batch.path) for scope, text in (("h ", host), ("p ", path))
+                for piece in _PIECES.findall(text.lower())]
+        yield pd.DataFrame(rows, columns=["host", "path", "scope", "piece"])
+
+
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for piece in batch.piece:
+            found = {piece[i:j] for i in range(len(piece)) for j in range(i + 1, min(len(piece), i + LONGEST_WORD) + 1)}
+            yield pd.DataFrame({"piece": piece, "word": list(found)})
+
+
+def _split_pieces(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """(piece, tokens): the most likely words of each piece by all counts (word, n)."""
+    total = counts.agg(F.sum("n")).first()[0]
+    words = salted_lookup(pieces.where(F.col("piece") != _NUMBER).mapInPandas(_substrings, "piece string, word string"),
+                          counts, "word", F.col("piece"), "inner", SALTS)
+    held = words.groupBy("piece").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = []
+            for piece, own, ns in zip(batch.piece, batch.words, batch.ns):
+                model = Words({} if own is None else dict(zip(own, map(int, ns))))
+                model.total = total
+                tokens.append([_NUMBER] if piece == _NUMBER else [w if w in model.counts else _OTHER for w in model.split(piece)])
+            yield pd.DataFrame({"piece": batch.piece, "tokens": tokens})
+
+    return pieces.join(held, "piece", "left").mapInPandas(split, "piece string, tokens array<string>")
+
+
+def url_scores(pages: DataFrame) -> DataFrame:
+    """(host, path, score) of _distinct_urls(): what fit() and Model.score() give, without bringing words or
+    odds to the driver. One row of totals comes there."""
+    counts = saved(word_counts(pages), "url-words")
+    urls = saved(_distinct_urls(pages), "url-distinct")
+    pieces = saved(urls.mapInPandas(_url_pieces, "host string, path string, scope string, piece string"), "url-pieces")
+    splits = saved(_split_pieces(pieces.select("piece").distinct(), counts), "url-splits")
+    place = F.struct("host", "path")
+    met = salted_lookup(pieces, splits, "piece", place, "inner", SALTS)
+    # a row holds the tokens of one url
+    own = met.groupBy("host", "path").agg(F.flatten(F.collect_list(F.transform("tokens", lambda t: F.concat("scope", t)))).alias("tokens"))
+    own = saved(urls.join(own, ["host", "path"], "left").select(
+        "host", "path", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn(
+        "bad", F.exists("tokens", lambda t: F.substring(t, 3, LONGEST_WORD + 1).isin(*SEEDS))), "url-tokens")
+    token = own.select("host", "path", "bad", F.explode("tokens").alias("token"))
+    seen = saved(token.groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "url-seen")
+    sums = seen.agg(F.count(F.lit(1)).alias("names"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+    classes = own.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).first()
+    prior = math.log((classes.bad + 1) / (classes.good + 1))
+    odds = seen.select("token", (F.log((F.col("bad") + 1) / F.lit(sums.bad + sums.names + 1))
+                                 - F.log((F.col("good") + 1) / F.lit(sums.good + sums.names + 1))).alias("odds"))
+    rated = salted_lookup(token.select("host", "path", "token"), odds, "token", place, "inner", SALTS)
+    # in one order, so that the sum doesn't depend on partitions
+    total = rated.groupBy("host", "path").agg(F.aggregate(F.array_sort(F.collect_list("odds")), F.lit(0.0), lambda x, y: x + y).alias("odds"))
+    return urls.join(total, ["host", "path"], "left").select("host", "path", (F.coalesce("odds", F.lit(0.0)) + F.lit(prior)).alias("score"))
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, model: Model | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of pages (page_id, url, html).
 
@@ -181,16 +241,21 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, model: Mod
     and path, fits no rule and has the prior odds. Rows are judged one by one, so repeated rows and null
     ids stay. Empty table: no rows. Other columns are ignored.
     """
-    held = pages.sparkSession.sparkContext.broadcast(model or fit(pages))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = functools.lru_cache(_CACHED)(held.value.score)
-        for batch in batches:
-            scores = [score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["page_id", "host", "path", "score"])
-
     parts = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    scored = parts.mapInArrow(run, "page_id long, host string, path string, score double")
+    if model is None:
+        whole = F.struct(F.col("host"), F.regexp_replace("path", r"\d+", "0").alias("path"))
+        scores = url_scores(pages).select(F.struct("host", "path").alias("_url"), "score")
+        scored = salted_lookup(parts.withColumn("_url", whole), scores, "_url", F.struct("page_id", "path"), "left", SALTS)
+    else:
+        held = pages.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = functools.lru_cache(_CACHED)(held.value.score)
+            for batch in batches:
+                scores = [score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], ["page_id", "host", "path", "score"])
+
+        scored = parts.mapInArrow(run, "page_id long, host string, path string, score double")
     host, path = F.col("host"), F.col("path")
     return scored.select(
         "page_id", "host", "path", rule_of(host, path, rules, 0).alias("rule"),

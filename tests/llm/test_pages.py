@@ -87,3 +87,18 @@ def test_bad_hosts(spark):
     marked = {h for h in hosts if re.search("casino|adult|pills|bets|ads|spam", h)}
     assert bad == marked
     assert not model.bad("", "") and not model.bad("never-seen-words.example.org", "/en/1")
+
+
+def test_all_words_count(spark):
+    # 60,000 common words beside host words that are seen twice: no cap may drop the rare ones
+    words = ["".join(chr(97 + (i // 26 ** k) % 26) for k in range(4)) + "q" for i in range(60000)]
+    rows = [(i, f"http://site.org/{i}", "<title>" + " ".join(words[i * 600:(i + 1) * 600] * 3) + "</title>") for i in range(100)]
+    rows += [(1000, "http://zebrafish.org/", "<title>zebra fish casino</title>"), (1001, "http://casinozebra.org/", ""), (1002, None, None),
+             (1003, "http://zebra.org/" + "12/٣4/" * 3, "<title>zebra</title>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = urls.fit(pages)
+    assert model.tokens("zebrafish") == ("zebrafish",) and model.tokens("zebracasino") == ("zebra", "casino")
+    found = {r.page_id: r for r in urls.judge(pages, rules=()).collect()}
+    assert set(found) == {r[0] for r in rows}
+    for r in found.values():
+        assert r.score == pytest.approx(model.score(r.host, r.path), abs=1e-9)
