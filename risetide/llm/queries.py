@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risetide.llm import archives, bpe, decontaminate, embeddings, lines, pii, quality, secrets, simhash, urls
+from risetide.llm import archives, bpe, decontaminate, embeddings, lines, pieces, pii, quality, secrets, simhash, urls
 from risetide.llm.work import importable
 
 
@@ -55,6 +55,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.summary(_table(spark, folder, "documents"))
 
 
+def op11_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
+    "op11_sentencepiece_round_trip": op11_sentencepiece_round_trip,
 }
 
 ORACLES: dict[str, str] = {
