@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from risetide.llm import archives, bpe, decontaminate, embeddings, lines, pieces, pii, quality, secrets, simhash, urls
+from risetide.llm import archives, bpe, decontaminate, embeddings, lines, pieces, pii, quality, runs, secrets, simhash, urls
 from risetide.llm.work import importable
 
 
@@ -59,6 +59,10 @@ def op11_sentencepiece_round_trip(spark: SparkSession, folder: str) -> DataFrame
     return pieces.round_trip(_table(spark, folder, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.summary(_table(spark, folder, "documents"), runs.planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
     "op11_sentencepiece_round_trip": op11_sentencepiece_round_trip,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
