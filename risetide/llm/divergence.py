@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from risetide.llm.work import delete_table, saved
+from risetide.operators.joins import salted_lookup
 
 LEAST_DOCUMENTS = 10
 TOP = 10
@@ -190,10 +191,17 @@ def audit(docs: DataFrame) -> DataFrame:
             "lang", "source", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("group_total", "kept", "lang_total")), "source_blocks",
             F.pmod(F.xxhash64("source"), "source_blocks").cast("int").alias("block")), "divergence-groups")
     delete_table(counts)
-    priced = kept_counts.join(groups, ["lang", "source"])
+    priced = _looked_up(kept_counts, groups, ["lang", "source"], "term")
     return _pairs(priced, groups, terms).unionByName(_terms(priced))
 
 
+def _looked_up(left: DataFrame, right: DataFrame, on: list[str], spread_by: str) -> DataFrame:
+    """left with the columns of right's one row for each value of on, few of which may have most rows."""
+    key = F.struct(*on)
+    found = salted_lookup(left.withColumn("_key", key), right.withColumn("_key", key).drop(*on), "_key", F.col(spread_by), "inner")
+    return found.drop("_key")
+
+
 def _terms(priced: DataFrame) -> DataFrame:
     rated = priced.withColumns({"p": _price("n", "group_total", "kept"), "q": _price("total", "lang_total", "kept")}).where("p > q")
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
@@ -207,7 +215,7 @@ def _pairs(priced: DataFrame, groups: DataFrame, terms: DataFrame) -> DataFrame:
     bands = terms.withColumn("band", band).groupBy("lang", "band").agg(F.count(F.lit(1)).alias("terms")).select(
         "lang", "band", F.ceil(F.col("terms") / size).cast("int").alias("term_blocks"))
     columns = ["lang", "band", "term_block", "source", "term", "n", "group_total", "kept", "block", "source_blocks"]
-    counted = priced.withColumn("band", band).join(bands, ["lang", "band"]).withColumn(
+    counted = _looked_up(priced.withColumn("band", band), bands, ["lang", "band"], "term").withColumn(
         "term_block", F.pmod(F.xxhash64("term"), "term_blocks").cast("int")).select(*columns)
     # each cell knows all its sources, also those without any of its terms
     roster = groups.join(bands, "lang").withColumns({
