@@ -1,23 +1,22 @@
-"""Line dedup: fuzzy lines by bands of minima and SimHash, and a check of edit similarity.
-
-1. One pass over the texts gives each line the digest of its normalised form, the SimHash of its character
-   GRAM-grams and BANDS keys; lines equal when normalised become one distinct line, combined in the map
-   tasks. The k-th occurrence of a gram in a line is an element of its own, so frequency counts.
-2. A key is made of the least values of ROWS hash functions over a line's elements, so lines that share
-   most of their elements meet under one of the keys. What meets are distinct fingerprints of 8 bytes,
-   never texts, sorted by key and streamed; each key gives spanning links of its fingerprints within
-   RADIUS bits, and these the families: fingerprints that chains of near ones connect.
-3. Only the lines of families with more than one line are read again. A family is cut into tiles of at
-   most two blocks of about TILE lines each, so any two of its lines meet and no task holds more. A tile
-   checks the edit similarity of its pairs within RADIUS bits, but of no pair that checked ones already
-   connect, and returns spanning links. Groups are the connected components; a group's first occurrence
-   stays.
+"""Line dedup: SimHash of normalised lines, a join on pigeonhole blocks, and a check of edit similarity.
+
+1. One pass over the texts gives each line the digest of its normalised form and a SimHash of BLOCKS * 16
+   bits over its words, each occurrence a vote; lines equal when normalised become one distinct line,
+   combined in the map tasks.
+2. Prints that differ in fewer than BLOCKS bits share a block (pigeonhole), and nearer ones share many. A
+   block's number and value are a key. What meets under a key are prints and lengths, never texts, sorted by
+   length and streamed; a line stays that has a partner of a length that edit similarity allows, within
+   RADIUS bits of the first 128, and with this block the first that both share, so that a pair meets once.
+3. The texts of those lines alone are read again. Lines of a key meet in tiles of bounded bytes; a key with
+   more text is cut into blocks, and each two blocks are a tile. A tile checks the edit similarity of its
+   pairs, but of no pair that checked ones already connect, and returns spanning links. Groups are the
+   connected components; a group's first occurrence stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risetide.llm.roots import roots_of
-from risetide.llm.work import components, saved
+from risetide.llm.work import components, delete_table, saved
 
 SIMILARITY = 0.8
 #: Set by recall against edit similarity alone, see the README.
-GRAM = 4
-BANDS, ROWS = 12, 5
-RADIUS = 18
-TILE = 4096
-_BLOCK = 1 << 21
-_PART = 1 << 15
+BLOCKS = 12
+RADIUS = 26
+TILE_BYTES = 4 << 20
+_LONGS = BLOCKS // 4
+_SEEN = 8       # blocks in the 128 bits that travel with a key
+_ROWS = 1 << 17
+_PART = 1 << 16
 _PUNCTUATION = bytes(b if b >= 128 or b == 10 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -44,12 +43,6 @@ def normalised(line: str) -> bytes:
     return b" ".join(line.lower().encode("utf-8", "replace").translate(_PUNCTUATION).split())
 
 
-def line_prints(text: str) -> tuple[list[int], list[bytes], np.ndarray]:
-    """Number, digest and SimHash of each line that has a word."""
-    numbers, digests, own = _words(text)
-    return numbers, digests, features(own)[0] if own else np.zeros(0, np.int64)
-
-
 def _words(text: str) -> tuple[list[int], list[bytes], list[bytes]]:
     """Number, digest and normalised form of each line that has a word."""
     numbers, digests, own = [], [], []
@@ -61,63 +54,29 @@ def _words(text: str) -> tuple[list[int], list[bytes], list[bytes]]:
     return numbers, digests, own
 
 
-def features(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash, and BANDS keys, of each normalised line."""
-    prints, keys = [], []
+def prints_of(own: list[bytes]) -> np.ndarray:
+    """SimHash of each normalised line, lines x _LONGS: the bits that more than half of its words have."""
+    found = []
     at, held = 0, 0
     for end in range(1, len(own) + 1):      # parts that stay in the processor's cache
         held += len(own[end - 1])
         if held >= _PART or end == len(own):
-            elements, sizes = _elements(own[at:end])
-            prints.append(_majorities(elements, sizes))
-            keys.append(_band_keys(elements, np.cumsum(sizes) - sizes))
+            words = [line.split() for line in own[at:end]]
+            sizes = np.array([len(w) for w in words])
+            flat = list(chain.from_iterable(words))
+            kinds = dict.fromkeys(flat)
+            place = dict(zip(kinds, range(len(kinds))))
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in kinds], np.uint64)
+            where = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
+            parts = []
+            for k in range(_LONGS):
+                x = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                parts.append(_majorities((x ^ x >> np.uint64(29))[where], sizes))
+            found.append(np.stack(parts, axis=1))
             at, held = end, 0
-    return np.concatenate(prints), np.concatenate(keys)
-
-
-def _elements(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of (gram, how often it came before in the line), line after line, and their number for each
-    line. A line shorter than a gram is one."""
-    own = [x.ljust(GRAM, b"\0") for x in own]
-    lengths = np.array([len(x) for x in own])
-    sizes = lengths - GRAM + 1
-    data = np.frombuffer(b"".join(own), np.uint8).astype(np.uint64)
-    grams = data[:len(data) - GRAM + 1].copy()
-    for i in range(1, GRAM):
-        grams |= data[i:len(data) - GRAM + 1 + i] << np.uint64(8 * i)
-    inside = np.ones(len(grams), bool)
-    ends = np.cumsum(lengths)[:-1]
-    for i in range(1, GRAM):
-        inside[ends - i] = False
-    grams = grams[inside] | np.repeat(np.arange(len(own), dtype=np.uint64) << np.uint64(8 * GRAM), sizes)
-    grams.sort()
-    first = np.nonzero(np.concatenate(([True], grams[1:] != grams[:-1])))[0]
-    before = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
-    x = grams & np.uint64((1 << 8 * GRAM) - 1) | before.astype(np.uint64) << np.uint64(8 * GRAM)
-    for factor, shift in ((0x9E3779B97F4A7C15, 29), (0xBF58476D1CE4E5B9, 32)):
-        x *= np.uint64(factor)
-        x ^= x >> np.uint64(shift)
-    return x, sizes
-
-
-def _band_keys(elements: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For each run of elements, BANDS keys of 32 bits. A hash function is a lane of 16 bits of a product."""
-    least = []
-    for f in range(-(-BANDS * ROWS // 4)):
-        x = elements * np.uint64((0xD6E8FEB86659FD93 + 2 * f * 0x632BE59BD9B4E019) % (1 << 64))
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xA0761D6478BD642F)
-        x ^= x >> np.uint64(29)
-        lanes = x.view("<u2").reshape(-1, 4)
-        least += [np.minimum.reduceat(np.ascontiguousarray(lanes[:, i]), starts) for i in range(4)]
-    keys = np.empty((len(starts), BANDS), np.uint32)
-    for band in range(BANDS):
-        x = np.zeros(len(starts), np.uint64)
-        for row in least[band * ROWS:(band + 1) * ROWS]:
-            x = (x ^ row) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-        keys[:, band] = x >> np.uint64(32)
-    return keys
+    return np.concatenate(found) if found else np.zeros((0, _LONGS), np.int64)
 
 
 def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -135,13 +94,39 @@ def _majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(counts > sizes[:, None] // 2, axis=1, bitorder="little").copy().view("<i8")[:, 0]
 
 
-def near_pairs(prints: np.ndarray, radius: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of unsigned fingerprints within radius bits, in blocks of bounded size."""
-    step = max(1, _BLOCK // max(1, len(prints)))
-    for at in range(0, len(prints), step):
-        near = np.bitwise_count(prints[at:at + step, None] ^ prints[None, at:]) <= radius
-        i, j = np.nonzero(np.triu(near, 1))
-        yield i + at, j + at
+def _meet(x: np.ndarray, y: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Whether two prints of 128 bits (their exclusive or, in two halves) are within RADIUS bits, and share
+    none of the blocks before block."""
+    near = np.bitwise_count(x).astype(np.int16) + np.bitwise_count(y) <= RADIUS
+    at = np.nonzero(near)[0]
+    for k in range(_SEEN):
+        half = (x if k < 4 else y)[at] >> np.uint64(16 * (k % 4)) & np.uint64(0xFFFF)
+        at = at[(half != 0) | (block[at] <= k)]
+    near[:] = False
+    near[at] = True
+    return near
+
+
+def _partnered(key: np.ndarray, size: np.ndarray, p0: np.ndarray, p1: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by key and size, have a partner under their key."""
+    found = np.zeros(len(key), bool)
+    alive, shift = np.arange(len(key)), 0
+    while len(alive):
+        shift += 1
+        alive = alive[:np.searchsorted(alive, len(key) - shift)]
+        other = alive + shift
+        # sizes ascend: a pair too unequal ends its row's part
+        alive = alive[(key[alive] == key[other]) & (size[other] - size[alive] <= _allowed(size[other]))]
+        other = alive + shift
+        near = _meet(p0[alive] ^ p0[other], p1[alive] ^ p1[other], key[alive] >> 16)
+        found[alive[near]] = True
+        found[other[near]] = True
+    return found
+
+
+def _allowed(size: np.ndarray) -> np.ndarray:
+    """Edits that similarity allows for a longer text of that size."""
+    return ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -194,23 +179,24 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """The lines of _occurrences() with their sim and the BANDS keys, 4 bytes each."""
+    """The lines of _occurrences() with their size in characters and their print."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, numbers, digests, own = _lines_of(batch)
             # lines equal when normalised are looked at once
-            kinds = {h: x for h, x in zip(digests, own)}
-            place = {h: i for i, h in enumerate(kinds)}
-            sims, keys = features(list(kinds.values())) if own else (np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint32))
-            where = np.array([place[h] for h in digests], np.int64)
+            kinds = dict(zip(digests, own))
+            place = dict(zip(kinds, range(len(kinds))))
+            sizes = np.array([len(x) if x.isascii() else len(x.decode()) for x in kinds.values()], np.int32)
+            prints = prints_of(list(kinds.values()))
+            where = np.fromiter(map(place.__getitem__, digests), np.int64, len(digests))
             ids = batch.select(["doc_id", "th"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*ids.columns, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(sims[where]),
-                 pa.array([x.tobytes() for x in keys[where].astype(">u4")], pa.binary())],
-                ["doc_id", "th", "line", "h", "sim", "keys"])
+                [*ids.columns, pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes[where], pa.int32()),
+                 *(pa.array(prints[where, k]) for k in range(_LONGS))],
+                ["doc_id", "th", "line", "h", "size", *(f"p{k}" for k in range(_LONGS))])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, sim long, keys binary")
+    return _keyed(docs).mapInArrow(run, "doc_id long, th long, line int, h binary, size int, p0 long, p1 long, p2 long")
 
 
 def _lines_of(batch: pa.RecordBatch) -> tuple[list[int], list[int], list[bytes], list[bytes]]:
@@ -230,52 +216,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _near_in_runs(keys: np.ndarray, sims: np.ndarray) -> list[np.ndarray]:
-    """Near pairs among fingerprints that stand together under one key, enough to connect all of them."""
-    starts = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
-    sizes = np.diff(starts)
-    found = []
-    for size in np.unique(sizes[(sizes > 1) & (sizes <= 8)]):
-        at = starts[:-1][sizes == size]
-        for i, j in combinations(range(size), 2):
-            near = np.bitwise_count(sims[at + i] ^ sims[at + j]) <= RADIUS
-            found.append(np.stack([sims[at[near] + i], sims[at[near] + j]]))
-    for at in np.nonzero(sizes > 8)[0]:
-        own = np.unique(sims[starts[at]:starts[at + 1]])
-        root = np.arange(len(own))
-        for i, j in near_pairs(own, RADIUS):
-            root = root[roots_of(len(own), np.concatenate([i, np.arange(len(own))]), np.concatenate([j, root]))]
-        far = np.nonzero(root != np.arange(len(own)))[0]
-        found.append(np.stack([own[far], own[root[far]]]))
-    return found
-
-
-def _families(distinct: DataFrame) -> DataFrame:
-    """(sim, family) of fingerprints that are near another one; family is the smallest of them."""
-    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    keyed = distinct.select("sim", "keys", band).select(
-        F.xxhash64("band", F.substring("keys", F.col("band") * 4 + 1, F.lit(4))).alias("key"), "sim")
+def _members(distinct: DataFrame) -> DataFrame:
+    """(key, p0, p1) of prints that have a partner under a key."""
+    keys = [F.shiftrightunsigned(f"p{k // 4}", 16 * (k % 4)).bitwiseAND(0xFFFF).bitwiseOR(k << 16).cast("int") for k in range(BLOCKS)]
+    keyed = distinct.select(F.explode(F.array(*keys)).alias("key"), "size", "p0", "p1")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_keys, last_sims = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in chain(batches, [None]):
-            keys, sims = last_keys, last_sims
             if batch is not None:
-                keys = np.concatenate([keys, batch.column(0).to_numpy()])
-                sims = np.concatenate([sims, batch.column(1).to_numpy().view(np.uint64)])
-            if not len(keys):
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                rows += batch.num_rows
+                if rows < _ROWS:
+                    continue
+            if not rows:
                 continue
+            key, size, p0, p1 = map(np.concatenate, zip(*held))
             # the last key may go on in the next batch
-            end = int(np.searchsorted(keys, keys[-1])) if batch is not None else len(keys)
-            last_keys, last_sims = keys[end:], sims[end:]
-            found = _near_in_runs(keys[:end], sims[:end]) if end else []
-            if found:
-                a, b = np.concatenate(found, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            end = int(np.searchsorted(key, key[-1])) if batch is not None else len(key)
+            held, rows = [[x[end:] for x in (key, size, p0, p1)]], len(key) - end
+            if end:
+                found = _partnered(key[:end], size[:end].astype(np.int64), p0[:end].view(np.uint64), p1[:end].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(x[:end][found]) for x in (key, p0, p1)], ["key", "p0", "p1"])
 
-    sorted_keys = keyed.repartition("key").sortWithinPartitions("key")
-    return components(sorted_keys.mapInArrow(near, "a long, b long"), "lines-families").select(
-        F.col("node").alias("sim"), F.col("component").alias("family"))
+    return keyed.repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "key int, p0 long, p1 long").distinct()
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -298,12 +263,13 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "h binary, norm string").dropDuplicates(["h"])
 
 
-def tile_links(prints: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of near prints whose texts are similar. Half the difference of two texts' letter
-    counts is a lower bound of their edit distance, and discards pairs without an alignment."""
+def tile_links(block: int, p0: np.ndarray, p1: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+    """Spanning links of the tile's pairs that meet under the block and are similar. Half the difference of
+    two texts' letter counts is a lower bound of their edit distance, and discards pairs without an
+    alignment."""
     sizes = np.array([len(t) for t in texts])
     letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for t in texts], np.int32)
-    up = list(range(len(texts)))
+    up = np.arange(len(texts))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -311,48 +277,56 @@ def tile_links(prints: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.nda
         return x
 
     linked = []
-    for i, j in near_pairs(prints, RADIUS):
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-            roots = np.array([root(x) for x in range(len(texts))])
-            apart = roots[a] != roots[b]
-            a, b = a[apart], b[apart]
-            allowed = ((1 - SIMILARITY) * np.maximum(sizes[a], sizes[b]) + 1e-9).astype(int)
-            good = (np.abs(sizes[a] - sizes[b]) <= allowed) & (np.abs(letters[a] - letters[b]).sum(axis=1) <= 2 * allowed)
-            for x, y in zip(a[good].tolist(), b[good].tolist()):
-                p, q = root(x), root(y)
-                if p != q and similar(texts[x], texts[y]):
-                    up[max(p, q)] = min(p, q)
-                    linked.append((x, y))
-    pairs = np.array(linked, np.int64).reshape(-1, 2)
-    return pairs[:, 0], pairs[:, 1]
+    for i in range(len(texts) - 1):
+        j = np.arange(i + 1, len(texts))
+        up = up[up]
+        j = j[up[j] != up[i]]
+        allowed = _allowed(np.maximum(sizes[i], sizes[j]))
+        j, allowed = (x[np.abs(sizes[i] - sizes[j]) <= allowed] for x in (j, allowed))
+        near = _meet(p0[i] ^ p0[j], p1[i] ^ p1[j], np.full(len(j), block))
+        j, allowed = j[near], allowed[near]
+        j = j[np.abs(letters[i] - letters[j]).sum(axis=1) <= 2 * allowed]
+        for k in j.tolist():
+            a, b = root(i), root(k)
+            if a != b and similar(texts[i], texts[k]):
+                up[max(a, b)] = min(a, b)
+                linked.append((i, k))
+    return linked
 
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): digests of distinct lines that link, enough of them to connect all that do."""
-    families = _families(distinct)
-    lines = distinct.select("h", "sim", "first").join(families, "sim", "left").select(
-        "h", "sim", "first", F.coalesce("family", "sim").alias("family"))
-    sizes = lines.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = saved(lines.join(sizes, "family").select(
-        "h", "sim", "first", "family", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")), "lines-wanted")
-    texts = _line_texts(docs, wanted.select("h", "first"))
+    wanted = saved(distinct.select("h", "p0", "p1", "first", "size").join(_members(distinct), ["p0", "p1"]), "lines-wanted")
+    texts = _line_texts(docs, wanted.select("h", "first").dropDuplicates(["h"]))
+    blocks = wanted.groupBy("key").agg(F.ceil(F.sum("size") / TILE_BYTES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    met = wanted.select("h", "sim", "family", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).join(texts, "h")
-    tiles = met.groupBy("family", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(
-        F.collect_list("sim").alias("sims"), F.collect_list("h").alias("hs"), F.collect_list("norm").alias("norms")).select("sims", "hs", "norms")
+    met = wanted.join(blocks, "key").select(
+        "key", "h", "p0", "p1", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).join(texts, "h")
+    tiles = met.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "h", "p0", "p1", "norm")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, rows in _tiles(batches):
+            hs, p0, p1, texts = zip(*rows)
+            found = tile_links(tile[0] >> 16, np.array(p0).view(np.uint64), np.array(p1).view(np.uint64), list(texts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hs[i] for i, _ in found], pa.binary()), pa.array([hs[j] for _, j in found], pa.binary())], ["a", "b"])
+
+    by_tile = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "h")
+    return by_tile.mapInArrow(run, "a binary, b binary")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for sims, hs, norms in zip(*batch.columns):
-                own = hs.as_py()
-                i, j = tile_links(sims.values.to_numpy().view(np.uint64), norms.as_py())
-                a += [own[k] for k in i]
-                b += [own[k] for k in j]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return tiles.mapInArrow(linked, "a binary, b binary")
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[tuple]]]:
+    """((key, x, y), rows) of rows sorted by those three; a tile's rows may span batches."""
+    tile, rows = None, []
+    for batch in batches:
+        for own in zip(*(c.to_pylist() for c in batch.columns)):
+            if own[:3] != tile:
+                if len(rows) > 1:
+                    yield tile, rows
+                tile, rows = own[:3], []
+            rows.append(own[3:])
+    if len(rows) > 1:
+        yield tile, rows
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -360,7 +334,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = _occurrences(docs)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "th", "line")
     distinct = saved(
-        _prints(docs).groupBy("h").agg(F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("keys").alias("keys"),
+        _prints(docs).groupBy("h").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("size", "p0", "p1", "p2")),
                                        F.count(F.lit(1)).alias("n")), "lines-distinct")
     reached = components(_links(docs, distinct), "lines-components")
     grouped = (
@@ -368,7 +342,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .where("n > 1 or component is not null").select("h", "first", F.coalesce("component", "h").alias("label"))
     )
     kept = grouped.groupBy("label").agg(F.min("first").alias("kept"))
-    touched = grouped.join(kept, "label").select("h", "kept")
+    touched = saved(grouped.join(kept, "label").select("h", "kept"), "lines-touched")
+    delete_table(distinct)
     return lines.join(touched, "h").where(place != F.col("kept")).groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_set("line")).alias("dropped"))
 
@@ -377,9 +352,9 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs without repeated lines, and with n_lines and n_dropped.
 
     Lines are what newlines part. Lines that are equal when normalised (lower case, no ASCII
-    punctuation, single spaces) are one; others link if they share one of BANDS keys, or a chain of such lines
-    connects them, their SimHashes differ in at most RADIUS bits and their edit similarity is SIMILARITY or more. Of each connected group the first occurrence stays, by
-    doc_id (unknown ones last), text and line; the rest go, also within one text. Lines without a word
+    punctuation, single spaces) are one; others link if their SimHashes share one of BLOCKS blocks and differ in
+    at most RADIUS of the first 128 bits, and their edit similarity is SIMILARITY or more. Of each connected
+    group the first occurrence stays, by doc_id (unknown ones last), text and line; the rest go, also within one text. Lines without a word
     stay. A text may become empty; a null text stays null and has one line. Rows with equal doc_id and
     text are one document and get the same result. Empty table: no rows. Columns of docs other than text
     stay as they are; older columns named n_lines or n_dropped are replaced.
