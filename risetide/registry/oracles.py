@@ -467,6 +467,89 @@ _QUERIES["entity_keywords"] = f"""WITH title_content AS (SELECT seq, row_number(
     LEFT JOIN joined USING (seq)"""
 
 
+_TAG_VALUES = "(VALUES ('D', 0), ('A', 1), ('N', 2), ('V', 3), ('P', 4), ('X', 5)) AS tags(tag, k)"
+
+#: The best tags of each stretch of words (seq, s, path), and its words (seq, s, pos, w).
+_TAGGED = rf"""tag_pieces AS (SELECT seq, generate_subscripts(ps, 1) AS p, unnest(ps) AS piece FROM (SELECT seq,
+      regexp_split_to_array(trim(title || ' ' || body), '[.,;:!?()\[\]"]+') AS ps FROM posts)),
+    tag_words AS (SELECT seq, p * 100000 + (j - 1) // 64 AS s, (j - 1) % 64 + 1 AS pos, w FROM (SELECT seq, p,
+      generate_subscripts(ws, 1) AS j, unnest(ws) AS w FROM (SELECT seq, p, regexp_extract_all(piece, '{_WORD}') AS ws FROM tag_pieces))),
+    tag_scores AS (SELECT lower(term) AS term, tag, max(score) AS score FROM ({views.TAG_LEXICON}) GROUP BY ALL),
+    tag_options AS (SELECT w.seq, w.s, w.pos, t.tag, t.k,
+      coalesce(CASE WHEN w.term IS NULL THEN u.score ELSE e.score END, -1000000) AS score
+      FROM (SELECT o.*, n.term FROM tag_words o LEFT JOIN (SELECT DISTINCT term FROM tag_scores
+          WHERE term <> '' AND tag IN ('D', 'A', 'N', 'V', 'P', 'X')) n ON n.term = lower(o.w)) w
+      CROSS JOIN {_TAG_VALUES} LEFT JOIN tag_scores e ON e.term = w.term AND e.tag = t.tag
+      LEFT JOIN tag_scores u ON u.term = '' AND u.tag = t.tag),
+    moves AS (SELECT a.tag AS previous, b.tag, coalesce(max(m.score), -1000000) AS score
+      FROM (SELECT tag FROM {_TAG_VALUES} UNION ALL SELECT '') a CROSS JOIN {_TAG_VALUES.replace('tags(', 'b(')}
+      LEFT JOIN ({views.TAG_MOVES}) m ON m.previous = a.tag AND m.tag = b.tag GROUP BY ALL),
+    walk AS (
+      SELECT o.seq, o.s, o.pos, o.tag, o.k, o.score + m.score AS total, o.tag AS path
+      FROM tag_options o JOIN moves m ON m.previous = '' AND m.tag = o.tag WHERE o.pos = 1
+      UNION ALL
+      SELECT r.seq, r.s, r.pos + 1, o.tag, o.k, max(r.total + m.score) + any_value(o.score),
+        arg_max(r.path, (r.total + m.score) * 8 + 5 - r.k) || o.tag
+      FROM walk r JOIN tag_options o ON o.seq = r.seq AND o.s = r.s AND o.pos = r.pos + 1
+      JOIN moves m ON m.previous = r.tag AND m.tag = o.tag GROUP BY r.seq, r.s, r.pos, o.tag, o.k),
+    paths AS (SELECT seq, s, path FROM (SELECT *, row_number() OVER (PARTITION BY seq, s ORDER BY pos DESC, total DESC, k) AS best
+      FROM walk) WHERE best = 1),
+    spans AS (SELECT seq, s, path, sum(length(part)) OVER (PARTITION BY seq, s ORDER BY i) - length(part) AS begins, length(part) AS n, part
+      FROM (SELECT seq, s, path, generate_subscripts(ps, 1) AS i, unnest(ps) AS part
+        FROM (SELECT seq, s, path, regexp_extract_all(path, 'D?A*N+|.') AS ps FROM paths))),
+    chunk_texts AS (SELECT x.seq, x.s, x.begins, string_agg(w.w, ' ' ORDER BY w.pos) AS t FROM spans x JOIN tag_words w
+      ON w.seq = x.seq AND w.s = x.s AND w.pos > x.begins AND w.pos <= x.begins + x.n
+      WHERE x.n BETWEEN 2 AND 4 AND part LIKE '%N' GROUP BY x.seq, x.s, x.begins),
+    chunks AS (SELECT seq, t, min([s, begins]) AS ord FROM chunk_texts WHERE lower(t) NOT IN {_in(KEYWORD_STOPWORDS)} GROUP BY seq, t),
+    noun_words AS (SELECT seq, w AS t, min([s, pos]) AS ord FROM tag_words JOIN paths USING (seq, s)
+      WHERE substring(path, pos, 1) = 'N' AND length(w) > 2 AND w NOT IN {_in(KEYWORD_STOPWORDS)} GROUP BY seq, w)""".replace("t.tag, t.k", "tags.tag, tags.k").replace("= t.tag", "= tags.tag")
+
+_QUERIES["noun_chunks"] = f"""WITH RECURSIVE {_TAGGED}
+    SELECT url, coalesce(c.n, 0)::INTEGER AS n_chunks, md5(coalesce(c.t, '')) AS chunks_digest,
+      coalesce(n.n, 0)::INTEGER AS n_nouns, md5(coalesce(n.t, '')) AS nouns_digest FROM posts
+    LEFT JOIN (SELECT seq, count(*) AS n, string_agg(t, '|' ORDER BY ord) AS t FROM chunks GROUP BY seq) c USING (seq)
+    LEFT JOIN (SELECT seq, count(*) AS n, string_agg(t, '|' ORDER BY ord) AS t FROM noun_words GROUP BY seq) n USING (seq)"""
+
+_QUERIES["chunk_keywords"] = f"""WITH RECURSIVE {_TAGGED},
+    first_terms AS (SELECT seq, t, min(ord) AS ord FROM (SELECT seq, gram AS t, [1, n, j] AS ord FROM entity_order
+      UNION ALL SELECT seq, t, [2, ord[1], ord[2]] FROM chunks) GROUP BY seq, t),
+    chosen AS (SELECT seq, t, min(ord) AS ord FROM (SELECT * FROM first_terms UNION ALL
+      SELECT seq, t, [3, ord[1], ord[2]] FROM noun_words WHERE seq NOT IN (SELECT seq FROM first_terms GROUP BY seq HAVING count(*) >= 3)) GROUP BY seq, t),
+    joined AS (SELECT seq, string_agg(t, ' ' ORDER BY ord) AS t FROM (SELECT * FROM chosen
+      QUALIFY row_number() OVER (PARTITION BY seq ORDER BY ord) <= 3) GROUP BY seq)
+    SELECT url, coalesce(trim(substring(t, 1, 80)), keywords) AS keywords FROM posts JOIN keyworded USING (seq)
+    LEFT JOIN joined USING (seq)"""
+
+_QUERIES["classify_by_model"] = f"""SELECT url, CASE WHEN contains(t, 'zz') OR length(t) % 11 = 0 THEN 'general' ELSE
+      [{', '.join(f"'{c}'" for c in VALID_CATEGORIES)}][1 + (2 * length(t) - length(replace(t, 'e', ''))) % {len(VALID_CATEGORIES)}] END AS category
+    FROM (SELECT url, CASE WHEN trim(title) = '' THEN 'no title' ELSE title END AS t FROM posts)"""
+
+_QUERIES["shifted_sentiment"] = f"""WITH valued AS (SELECT lower(term) AS term, sum(valence) AS v FROM ({views.VALENCE_LEXICON}) GROUP BY 1),
+    shifting AS (SELECT lower(term) AS term, sum(weight) FILTER (kind = 'booster') AS boost, bool_or(kind = 'negation') AS negates,
+      bool_or(kind = 'turn') AS turns FROM ({views.SHIFTERS}) GROUP BY 1),
+    marks AS (SELECT seq, url, length(t) - length(replace(t, '!', '')) AS e, length(t) - length(replace(t, '?', '')) AS q
+      FROM (SELECT seq, url, trim(title || ' ' || body) AS t FROM posts)),
+    shouted AS (SELECT seq, i, lower(w) AS term, upper(w) = w AND lower(w) <> w AS caps FROM words),
+    mixing AS (SELECT seq, bool_or(caps) AND NOT bool_and(caps) AS mixed FROM shouted GROUP BY seq),
+    known AS (SELECT seq, i, coalesce(v, 0) AS v, coalesce(boost, 0) AS boost, coalesce(negates, false) AS negates,
+      coalesce(turns, false) AS turns, mixed AND caps AS loud
+      FROM shouted JOIN mixing USING (seq) LEFT JOIN valued USING (term) LEFT JOIN shifting USING (term)
+      WHERE valued.term IS NOT NULL OR shifting.term IS NOT NULL),
+    changed AS (SELECT a.seq, a.i, (a.v + sign(a.v) * (CASE WHEN a.loud THEN 0.733 ELSE 0 END + coalesce((SELECT
+        sum((b.boost + sign(b.boost) * CASE WHEN b.loud THEN 0.733 ELSE 0 END) * CASE a.i - b.i WHEN 1 THEN 1.0 WHEN 2 THEN 0.95 ELSE 0.9 END)
+        FROM known b WHERE b.seq = a.seq AND b.boost <> 0 AND a.i - b.i BETWEEN 1 AND 3), 0)))
+      * power(-0.74, (SELECT count(*) FROM known b WHERE b.seq = a.seq AND b.negates AND a.i - b.i BETWEEN 1 AND 3)) AS x
+      FROM known a WHERE a.v <> 0),
+    turned AS (SELECT seq, min(i) AS turn FROM known WHERE turns GROUP BY seq),
+    totals AS (SELECT seq, sum(x * CASE WHEN turn IS NULL THEN 1 WHEN i > turn THEN 1.5 ELSE 0.5 END) AS s
+      FROM changed LEFT JOIN turned USING (seq) GROUP BY seq),
+    emphatic AS (SELECT seq, url, coalesce(s + sign(s) * (least(e, 4) * 0.292
+      + CASE WHEN q < 2 THEN 0 WHEN q <= 3 THEN q * 0.18 ELSE 0.96 END), 0) AS s FROM marks LEFT JOIN totals USING (seq)),
+    scored_posts AS (SELECT url, round(s / sqrt(s * s + 15), 4) + 0 AS sentiment_score FROM emphatic)
+    SELECT url, sentiment_score, CASE WHEN sentiment_score >= 0.02 THEN 'positive' WHEN sentiment_score <= -0.02 THEN 'negative'
+      ELSE 'neutral' END AS sentiment_label FROM scored_posts"""
+
+
 def _merge_with(sql: str) -> str:
     """Merge a query's own leading WITH into the assembled one."""
     text = _assemble(sql)

@@ -19,6 +19,9 @@ from ..operators.history import (
     day_scores, growth_by_url, merge_history, refetched_scores, retain, score_runs, unique_scores,
 )
 from ..operators.keywords import add_keywords
+from ..operators.model import classify_with_model
+from ..operators.tagging import add_chunk_keywords, add_noun_chunks
+from ..operators.valence import add_shifted_sentiment
 from ..operators.lexicon import add_entities, add_sentiment, classify_posts, ensure_sentiment
 from ..operators.phrases import add_phrases, rake_phrases
 from ..operators.selection import post_table, top_per_bucket
@@ -96,6 +99,15 @@ class Tables:
     def valence_lexicon(self) -> DataFrame:
         return self.sql(views.VALENCE_LEXICON)
 
+    def shifters(self) -> DataFrame:
+        return self.sql(views.SHIFTERS)
+
+    def tag_lexicon(self) -> DataFrame:
+        return self.sql(views.TAG_LEXICON)
+
+    def tag_moves(self) -> DataFrame:
+        return self.sql(views.TAG_MOVES)
+
     def gazetteer(self) -> DataFrame:
         return self.sql(views.GAZETTEER)
 
@@ -379,6 +391,44 @@ def entity_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return add_keywords(add_entities(tables.clean(), tables.gazetteer())).select("url", "keywords")
 
 
+@query
+def noun_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    return add_noun_chunks(tables.clean(), tables.tag_lexicon(), tables.tag_moves()).select(
+        "url", F.size("noun_chunks").alias("n_chunks"), F.md5(F.array_join("noun_chunks", "|")).alias("chunks_digest"),
+        F.size("nouns").alias("n_nouns"), F.md5(F.array_join("nouns", "|")).alias("nouns_digest"))
+
+
+@query
+def chunk_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    posts = add_entities(tables.clean(), tables.gazetteer())
+    return add_chunk_keywords(posts, tables.tag_lexicon(), tables.tag_moves()).select("url", "keywords")
+
+
+def _counting_model() -> Callable[[list[str], list[str]], list[str]]:
+    """A model that can be told in SQL: by the title's length and letters; it fails on some titles and
+    knows a label that is no category."""
+    def choose(texts: list[str], categories: list[str]) -> list[str]:
+        if any("zz" in t for t in texts):
+            raise ValueError("a title that the model can't read")
+        return ["unknown" if len(t) % 11 == 0 else categories[(len(t) + t.count("e")) % len(categories)] for t in texts]
+
+    return choose
+
+
+@query
+def classify_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    return classify_with_model(Tables(spark, folder).clean(), _counting_model).select("url", "category")
+
+
+@query
+def shifted_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    scored = add_shifted_sentiment(tables.clean(), tables.valence_lexicon(), tables.shifters())
+    return scored.select("url", "sentiment_score", "sentiment_label")
+
+
 @query
 def entities(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)

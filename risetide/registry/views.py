@@ -105,6 +105,27 @@ _GAZETTEER_ROWS = [
     ("ertion", "PRODUCT"), ("queque", "PERSON"), ("ntre in onbleea of", "ORG"),
     ("and attion to thanedble the", "ORG"), ("The-And attion", "EVENT"), ("eriner", "DATE"),
 ]
+_TAG_ROWS = [
+    ("the", "D", -10), ("The", "D", -5), ("a", "D", -20), ("of", "P", -10), ("to", "P", -120), ("to", "X", -150), ("in", "P", -15),
+    ("and", "X", -10), ("is", "V", -10), ("was", "V", -12), ("be", "V", -14), ("it", "X", -30), ("that", "D", -210), ("that", "X", -190),
+    ("de", "P", -10), ("la", "D", -12), ("der", "D", -11), ("die", "D", -13), ("und", "X", -10), ("en", "P", -22), ("que", "X", -25),
+    ("le", "D", -17), ("les", "D", -18), ("el", "D", -19), ("los", "D", -21), ("for", "P", -33), ("on", "P", -27),
+    ("thtion", "N", -40), ("ertion", "A", -80), ("ertion", "N", -95), ("antion", "V", -60), ("antion", "N", -70), ("ontion", "A", -35),
+    ("", "N", -610), ("", "A", -840), ("", "V", -905), ("", "X", -1900), ("ha", "?", -1), ("ha", "V", None),
+]
+_MOVE_ROWS = [
+    ("", "D", -300), ("", "A", -700), ("", "N", -500), ("", "V", -1200), ("", "P", -800), ("", "X", -900),
+    ("D", "A", -420), ("D", "N", -130), ("D", "X", -2500), ("A", "A", -900), ("A", "N", -210), ("A", "X", -1500), ("A", "P", -1700),
+    ("N", "N", -950), ("N", "V", -480), ("N", "P", -520), ("N", "X", -610), ("N", "D", -1900), ("N", "A", -2100),
+    ("V", "D", -390), ("V", "A", -980), ("V", "N", -870), ("V", "P", -660), ("V", "X", -1010), ("V", "V", -1900),
+    ("P", "D", -310), ("P", "A", -900), ("P", "N", -560), ("P", "P", -2400), ("P", "X", -2300), ("P", "V", -1800),
+    ("X", "D", -520), ("X", "A", -910), ("X", "N", -700), ("X", "V", -640), ("X", "P", -1100), ("X", "X", -1300), ("X", "X", -1400),
+]
+_SHIFTER_ROWS = [
+    ("und", "booster", 0.293), ("in", "booster", -0.293), ("on", "booster", 0.293), ("In", "booster", 0.1), ("en", "booster", 0.2),
+    ("was", "negation", None), ("les", "negation", None), ("no", "negation", None), ("de", "negation", None), ("it", "turn", None),
+    ("un", "turn", None), ("ha", "other", 1.0),
+]
 
 
 def _values(rows: list[tuple], names: str, casts: str) -> str:
@@ -120,3 +141,6 @@ CATEGORY_LEXICON = _values(
 )
 VALENCE_LEXICON = _values(_VALENCE_ROWS, "term, valence", "term, CAST(valence AS DOUBLE) AS valence")
 GAZETTEER = _values(_GAZETTEER_ROWS, "entity, type", "entity, type")
+TAG_LEXICON = _values(_TAG_ROWS, "term, tag, score", "term, tag, CAST(score AS BIGINT) AS score")
+TAG_MOVES = _values(_MOVE_ROWS, "previous, tag, score", "previous, tag, CAST(score AS BIGINT) AS score")
+SHIFTERS = _values(_SHIFTER_ROWS, "term, kind, weight", "term, kind, CAST(weight AS DOUBLE) AS weight")
