@@ -120,24 +120,26 @@ def add_entities(
     """Add `entities`: the distinct word sequences of the text that are names of the wanted types in
     `gazetteer` (entity, type), lower-cased, of any length; ordered by length, then text position.
 
-    Places where a name's first word stands are joined to that name; the rest of the name is then
-    compared in the text. One row per first word carries all its names."""
+    Places where a name's first word stands learn how long the names are that begin so; the windows of these
+    lengths are looked up among the names, one name a row, so no row grows with the names that share a word."""
     text = join_text(F.col(title_col), F.col(body_col) if body_col in posts.columns else F.lit(""))
     posts, texts, key = _keyed(posts, text)
-    heads = _names(gazetteer).groupBy(F.get("ws", F.lit(0)).alias("term")).agg(
-        F.collect_list("ws").alias("names")
-    )
+    names = _names(gazetteer)
+    heads = names.groupBy(F.get("ws", F.lit(0)).alias("term")).agg(F.collect_set(F.size("ws")).alias("sizes"))
     tokens = texts.select(key, _lower_words(F.col("text")).alias("ws"))
     placed = tokens.select(key, F.posexplode_outer("ws").alias("pos", "term")).where("term is not null")
     hits = salted_lookup(placed, heads, "term", F.col(key), how="inner").groupBy(key).agg(
-        F.collect_list(F.struct("pos", "names")).alias("hits")
-    )
-    candidates = F.flatten(F.transform("hits", lambda h: F.transform(
-        h["names"], lambda name: F.struct(F.size(name).alias("n"), h["pos"].alias("pos"), name.alias("name")))))
-    true = F.filter(candidates, lambda c: F.slice(F.col("ws"), c["pos"] + 1, c["n"]) == c["name"])
-    found = tokens.join(hits, key).select(
-        key, F.array_distinct(F.transform(F.array_sort(true), lambda c: F.array_join(c["name"], " "))).alias("entities")
+        F.collect_list(F.struct("pos", "sizes")).alias("hits")
     )
+    windows = F.flatten(F.transform("hits", lambda h: F.transform(
+        F.filter(h["sizes"], lambda n: h["pos"] + n <= F.size("ws")),
+        lambda n: F.struct(
+            n.alias("n"), h["pos"].alias("pos"), F.array_join(F.slice("ws", h["pos"] + 1, n), " ").alias("term")))))
+    met = explode_once(tokens.join(hits, key), [key], windows, "w").groupBy(key, "w.term").agg(
+        F.min(F.struct("w.n", "w.pos")).alias("first"))
+    found = salted_lookup(met, names.select("term"), "term", F.col(key), how="inner").groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("first", "term"))).alias("found"))
+    found = found.select(key, F.col("found.term").alias("entities"))
     return posts.drop("entities").join(found, key, "left").withColumn(
         "entities", F.coalesce("entities", F.array().cast("array<string>"))
     ).drop(_TEXT_KEY)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from risetide.operators.lexicon import add_entities
 from risetide.operators.model import classify_with_model, labelled
 from risetide.operators.tagging import IMPOSSIBLE, TAGS, add_chunk_keywords, add_noun_chunks, best_path
 from risetide.operators.valence import add_shifted_sentiment
@@ -135,3 +136,11 @@ def test_shifted_sentiment(spark):
     found = {r.title: (r.sentiment_score, r.sentiment_label) for r in done.collect()}
     assert found == {t: (squashed(x), "positive" if x > 0 else "negative" if x < 0 else "neutral") for t, x in cases.items()}
     assert done.columns == batch.columns + ["sentiment_score", "sentiment_label"]
+
+
+def test_entities_with_one_first_word(spark):
+    names = spark.range(100_000).selectExpr("concat('acme ', id, if(id % 3 = 0, ' works', '')) as entity", "'ORG' as type")
+    batch = posts(spark, "Acme 7 met acme 9 works, not Acme 9; acme 7.", "acme", "the acme 100001", " ".join(f"acme {i}" for i in range(3000)))
+    found = {r.id: r.entities for r in add_entities(batch, names).collect()}
+    assert found[0] == ["acme 7", "acme 9 works"] and found[1] == [] and found[2] == []
+    assert found[3] == [f"acme {i}" for i in range(3000) if i % 3]
