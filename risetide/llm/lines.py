@@ -7,9 +7,10 @@
    block's number and value are a key. What meets under a key are prints and lengths, never texts, sorted by
    length and streamed; a line stays that has a partner of a length that edit similarity allows, within
    RADIUS bits of the first 128, and with this block the first that both share, so that a pair meets once.
+   (Of the blocks behind the first 128 bits, which don't travel with a key, several may meet.)
 3. The texts of those lines alone are read again. Lines of a key meet in tiles of bounded bytes; a key with
    more text is cut into blocks, and each two blocks are a tile. A tile checks the edit similarity of its
-   pairs, but of no pair that checked ones already connect, and returns spanning links. Groups are the
+   pairs within RADIUS_OF_ALL bits, but of no pair that checked ones already connect, and returns spanning links. Groups are the
    connected components; a group's first occurrence stays.
 """
 
@@ -29,7 +30,7 @@ from risetide.llm.work import components, delete_table, saved
 SIMILARITY = 0.8
 #: Set by recall against edit similarity alone, see the README.
 BLOCKS = 12
-RADIUS = 26
+RADIUS, RADIUS_OF_ALL = 20, 30
 TILE_BYTES = 4 << 20
 _LONGS = BLOCKS // 4
 _SEEN = 8       # blocks in the 128 bits that travel with a key
@@ -263,7 +264,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "h binary, norm string").dropDuplicates(["h"])
 
 
-def tile_links(block: int, p0: np.ndarray, p1: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+def tile_links(block: int, prints: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
     """Spanning links of the tile's pairs that meet under the block and are similar. Half the difference of
     two texts' letter counts is a lower bound of their edit distance, and discards pairs without an
     alignment."""
@@ -283,7 +284,8 @@ def tile_links(block: int, p0: np.ndarray, p1: np.ndarray, texts: list[str]) ->
         j = j[up[j] != up[i]]
         allowed = _allowed(np.maximum(sizes[i], sizes[j]))
         j, allowed = (x[np.abs(sizes[i] - sizes[j]) <= allowed] for x in (j, allowed))
-        near = _meet(p0[i] ^ p0[j], p1[i] ^ p1[j], np.full(len(j), block))
+        x = prints[i] ^ prints[j]
+        near = _meet(x[:, 0], x[:, 1], np.full(len(j), block)) & (np.bitwise_count(x).sum(axis=1) <= RADIUS_OF_ALL)
         j, allowed = j[near], allowed[near]
         j = j[np.abs(letters[i] - letters[j]).sum(axis=1) <= 2 * allowed]
         for k in j.tolist():
@@ -296,18 +298,18 @@ def tile_links(block: int, p0: np.ndarray, p1: np.ndarray, texts: list[str]) ->
 
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): digests of distinct lines that link, enough of them to connect all that do."""
-    wanted = saved(distinct.select("h", "p0", "p1", "first", "size").join(_members(distinct), ["p0", "p1"]), "lines-wanted")
+    wanted = saved(distinct.select("h", "p0", "p1", "p2", "first", "size").join(_members(distinct), ["p0", "p1"]), "lines-wanted")
     texts = _line_texts(docs, wanted.select("h", "first").dropDuplicates(["h"]))
     blocks = wanted.groupBy("key").agg(F.ceil(F.sum("size") / TILE_BYTES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     met = wanted.join(blocks, "key").select(
-        "key", "h", "p0", "p1", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).join(texts, "h")
-    tiles = met.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "h", "p0", "p1", "norm")
+        "key", "h", "p0", "p1", "p2", block.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")).join(texts, "h")
+    tiles = met.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "h", "p0", "p1", "p2", "norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile, rows in _tiles(batches):
-            hs, p0, p1, texts = zip(*rows)
-            found = tile_links(tile[0] >> 16, np.array(p0).view(np.uint64), np.array(p1).view(np.uint64), list(texts))
+            hs, *prints, texts = zip(*rows)
+            found = tile_links(tile[0] >> 16, np.array(prints).T.copy().view(np.uint64), list(texts))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([hs[i] for i, _ in found], pa.binary()), pa.array([hs[j] for _, j in found], pa.binary())], ["a", "b"])
 
@@ -353,7 +355,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Lines are what newlines part. Lines that are equal when normalised (lower case, no ASCII
     punctuation, single spaces) are one; others link if their SimHashes share one of BLOCKS blocks and differ in
-    at most RADIUS of the first 128 bits, and their edit similarity is SIMILARITY or more. Of each connected
+    at most RADIUS of the first 128 bits and RADIUS_OF_ALL of all, and their edit similarity is SIMILARITY or more. Of each connected
     group the first occurrence stays, by doc_id (unknown ones last), text and line; the rest go, also within one text. Lines without a word
     stay. A text may become empty; a null text stays null and has one line. Rows with equal doc_id and
     text are one document and get the same result. Empty table: no rows. Columns of docs other than text

@@ -166,7 +166,8 @@ def candidate(a, b):
     """Whether two prints share a block and are near in their first 128 bits."""
     x = [p ^ q for p, q in zip(a, b)]
     blocks = [v >> 16 * k & 0xFFFF for v in x for k in range(4)]
-    return not all(blocks) and x[0].bit_count() + x[1].bit_count() <= lines.RADIUS
+    return (not all(blocks) and x[0].bit_count() + x[1].bit_count() <= lines.RADIUS
+            and sum(v.bit_count() for v in x) <= lines.RADIUS_OF_ALL)
 
 
 def signed(x):
