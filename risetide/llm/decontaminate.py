@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +64,25 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(parts[:-1]), parts[-1]
 
 
+def question_terms(text: str | None) -> np.ndarray:
+    """Hashes of the runs of words of an item's question; a short question is one run."""
+    question = word_hashes(question_and_answer(text or "")[0])
+    return runs(question, min(WORDS, len(question))) if len(question) else np.zeros(0, np.uint64)
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Over all items: how many there are, their mean number of distinct terms, and in how many a term is."""
+
+    items: int
+    mean: float
+    held: dict[int, int]
+
+
 class Index:
-    """Inverted index of one shard of items."""
+    """Inverted index of one shard of items; statistics are those of all shards, by default of these items."""
 
-    def __init__(self, items: list[tuple[int | None, str]]):
+    def __init__(self, items: list[tuple[int | None, str]], statistics: Statistics | None = None):
         self.ids: list[int | None] = []
         self.questions: list[np.ndarray] = []
         self.answers: list[tuple[int, np.ndarray]] = []
@@ -84,16 +100,16 @@ class Index:
             self.questions.append(np.unique(grams))
             self.answers.append((min(WORDS, len(answer)), np.unique(runs(answer, min(WORDS, len(answer))))))
             self.longest = max(self.longest, len(word_hashes(text)))
-        self._build(bags)
+        self._build(bags, statistics or Statistics(
+            len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(t for bag in bags for t in bag)))
 
-    def _build(self, bags: list[Counter]) -> None:
-        held = Counter(t for bag in bags for t in bag)
-        mean = sum(map(len, bags)) / max(1, len(bags))
+    def _build(self, bags: list[Counter], statistics: Statistics) -> None:
+        held, mean = statistics.held, statistics.mean
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         self.least = []
         for number, bag in enumerate(bags):
             weights = {
-                t: math.log(1 + (len(bags) - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1)
+                t: math.log(1 + (statistics.items - held[t] + 0.5) / (held[t] + 0.5)) * n * (K1 + 1)
                 / (n + K1 * (1 - B + B * len(bag) / mean)) for t, n in bag.items()}
             needed = math.ceil(OVERLAP * len(bag) - _SLACK)
             least = sum(sorted(weights.values())[:needed])
@@ -202,16 +218,41 @@ class Index:
         return best
 
 
+def _terms_of(items: DataFrame) -> DataFrame:
+    """(shard, term, n): n distinct terms an item in a row without term, and a row for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                terms = np.unique(question_terms(text)).view(np.int64)
+                if len(terms):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard] * (len(terms) + 1), pa.int64()), pa.array([None, *terms.tolist()], pa.int64()),
+                         pa.array([len(terms)] + [1] * len(terms), pa.int64())], ["shard", "term", "n"])
+
+    return items.select(F.col("shard").cast("long"), "text").mapInArrow(run, "shard long, term long, n long")
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index for each shard of the items; each is of bounded size."""
+    """One index for each shard of the items; each is of bounded size. Scores don't depend on the shards: the
+    statistics are counted over all items, and a shard is told those of its own terms."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     number, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, -(-number // SHARD_ITEMS), -(-size // SHARD_CHARS))
     if shards > 1:
         items = saved(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "benchmark-items")
+        terms = saved(_terms_of(items), "benchmark-terms")
+        lengths = terms.where("term is null").agg(F.count(F.lit(1)).alias("items"), F.avg("n").alias("mean")).first()
+        frequency = terms.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+        own_terms = terms.where("term is not null").select("shard", "term").distinct()
+        held = saved(own_terms.join(frequency, "term"), "benchmark-frequencies")
     for shard in range(shards):
         rows = (items.where(F.col("shard") == shard) if shards > 1 else items).select("item_id", "text").collect()
-        index = Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
+        statistics = None
+        if shards > 1:      # as many rows as the shard's items have terms
+            known = held.where(F.col("shard") == shard).select("term", "n").collect()
+            statistics = Statistics(lengths["items"], lengths["mean"] or 0.0, {r.term & (1 << 64) - 1: r.n for r in known})
+        index = Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), statistics)
         if index.ids:
             yield index
 
@@ -255,7 +296,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs whose text holds no item, with all their columns; a map over the rows."""
+    """The rows of docs whose text holds no item, with all their columns; a map over the rows, so repeated
+    rows and null ids stay as they are. Null and empty texts hold nothing and stay; without items all rows
+    stay; an empty table gives no rows."""
     names = [f"`{c}`" for c in docs.columns]
     for index in indexes(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(index)

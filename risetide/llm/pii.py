@@ -50,6 +50,7 @@ LABELERS = 7
 ACCEPT = 0.5
 PRIOR = 0.1
 _ROUNDS, _STEPS = 200, 400
+_PART = 256
 
 
 def _pieces(text: Column, pattern: str, possible: Column) -> Column:
@@ -58,19 +59,41 @@ def _pieces(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(possible, F.split(marked, _MARK, -1))
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(lengths: Column) -> Column:
+    """Sums of the lengths before each place, in parts of _PART: a fold copies what it has gathered at every
+    step, so none gathers more than a part or a number for each part."""
+    def gathered(values: Column, begin: Column) -> Column:
+        empty = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, empty, lambda acc, x: F.struct(
+            (acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def part(k: Column) -> Column:
+        return F.slice(lengths, k * _PART + 1, F.lit(_PART))
+
+    parts = F.sequence(F.lit(0), ((F.size(lengths) - 1) / _PART).cast("int"))
+    sums = F.transform(parts, lambda k: F.aggregate(part(k), F.lit(0), lambda total, x: total + x))
+    return F.flatten(F.transform(gathered(sums, F.lit(0)), lambda begin, k: gathered(part(k), begin)))
+
+
 def _spans(pieces: Column, order: int, loose: bool) -> Column:
     """array<struct(start, ord, end, loose, value, before)> of a text's pieces; null pieces: none."""
     kind = "array<struct<start:int,ord:int,end:int,loose:boolean,value:string,before:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        span = F.struct(acc["at"].alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(loose).alias("loose"),
-                        piece.alias("value"), acc["last"].alias("before"))
-        out = F.when(acc["odd"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.right(piece, F.lit(40)).alias("last"), out.alias("out"))
+    def told(ps: Column, starts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(ps) - 1, F.lit(2)), lambda i: F.struct(
+            F.get(starts, i).alias("start"), F.lit(order).alias("ord"), (F.get(starts, i) + F.length(F.get(ps, i))).alias("end"),
+            F.lit(loose).alias("loose"), F.get(ps, i).alias("value"), F.right(F.get(ps, i - 1), F.lit(40)).alias("before")))
+
+    def of(ps: Column) -> Column:
+        lengths = F.transform(ps, lambda p: F.length(p))
+        return _let(lengths, lambda n: _let(_starts(n), lambda starts: told(ps, starts)))
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    return F.when(F.size(pieces) > 1, _let(pieces, of)).otherwise(F.array().cast(kind))
 
 
 def _digits(value: Column) -> Column:

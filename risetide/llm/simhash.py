@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from risetide.llm.roots import roots_of
 from risetide.llm.work import components, saved, text_bytes
@@ -73,14 +74,16 @@ def fingerprint_of(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row; a null text counts as empty."""
+    """(doc_id, fp long) for every row; a null text counts as empty. A doc_id that is a struct stays one."""
+    own = docs.schema["doc_id"].dataType
+    kind = own.simpleString() if isinstance(own, StructType) else "long"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_signed(fingerprint_of(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast(kind), text_bytes()).mapInArrow(of, f"doc_id {kind}, fp long")
 
 
 def _with_tables(distinct: DataFrame) -> DataFrame:
@@ -144,6 +147,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return cells.mapInArrow(linked, "a long, b long").distinct()
 
 
+def _components_of(printed: DataFrame) -> DataFrame:
+    """(fp, component_id) of every fingerprint of printed (doc_id, fp)."""
+    distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    reached = components(links(distinct.select("fp")), "simhash-links")
+    placed = (
+        distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left")
+        .select("fp", "first", F.coalesce("component", "fp").alias("label"))
+    )
+    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
+    return placed.join(smallest, "label").select("fp", "component_id", "label")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept) for every row of docs (doc_id, text).
 
@@ -153,22 +168,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is kept only if none of its component has a doc_id. Empty table: no rows. Other columns are ignored.
     """
     printed = saved(fingerprints(docs), "simhash-fingerprints")
-    distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    reached = components(links(distinct.select("fp")), "simhash-links")
-    placed = (
-        distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    )
-    smallest = placed.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = placed.join(smallest, "label").select("fp", "component_id")
-    return printed.join(named, "fp").select(
+    return printed.join(_components_of(printed), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs with one document of each component: that with the smallest doc_id. Rows that
-    share a doc_id are one document, of which one row stays; rows without doc_id all stay, as nothing
-    names the ones to drop. Columns stay as they are."""
-    kept = near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """The rows of docs with one document of each component: that with the smallest doc_id, and of several
+    with that doc_id the one with the smallest digest of its text. Rows equal in doc_id and text are one
+    document, of which one row stays. Rows without doc_id all stay, as nothing names the ones to drop. A null
+    or empty text is like any other; an empty table gives no rows; columns stay as they are."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.where("doc_id is not null")
+    place = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    packed = named.select(place.alias("doc_id"), text.alias("text"))
+    printed = saved(fingerprints(packed), "simhash-fingerprints")
+    groups = _components_of(printed)
+    kept = printed.join(groups, "fp").groupBy("label").agg(F.min("doc_id").alias("kept")).select("kept")
+    names = [f"`{c}`" for c in docs.columns]
+    row = F.struct(*names)
+    found = named.select(place.alias("place"), row.alias("row")).join(kept, F.col("place") == F.col("kept"), "left_semi")
+    # rows equal in doc_id and text: the smallest of those that the others tell apart
+    return found.groupBy("place").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*").unionByName(docs.where("doc_id is null"))

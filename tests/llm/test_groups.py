@@ -73,6 +73,15 @@ def test_simhash(spark, odd_docs):
     assert simhash.near_duplicates(odd_docs.where("false")).count() == 0
 
 
+def test_one_row_of_a_component_stays(spark):
+    rows = [(1, "one text of its own here"), (1, "another text that is not near it"), (2, "another text that is not near it"),
+            (1, "one text of its own here"), (3, "ANOTHER text that is not near it"), (None, "one text of its own here")]
+    frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, extra int")
+    for parts in (1, 5):
+        found = sorted(map(tuple, simhash.drop_near_duplicates(frame.repartition(parts)).collect()), key=str)
+        assert found == sorted([(1, rows[0][1], 0), (1, rows[1][1], 1), (None, rows[5][1], 5)], key=str)
+
+
 def test_linked_fingerprints(spark):
     draw = random.Random(2)
     prints = set()

@@ -233,6 +233,25 @@ def test_contaminated(spark, docs, odd_docs, texts):
 
 def test_shards_do_not_change_results(spark, docs, monkeypatch):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
-    want = {tuple(r)[:2] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    want = {tuple(r)[:2]: tuple(r)[2:] for r in decontaminate.contaminated(docs, benchmark).collect()}
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 3)
-    assert {tuple(r)[:2] for r in decontaminate.contaminated(docs, benchmark).collect()} == want
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert found.keys() == want.keys() and want
+    assert all(a == pytest.approx(b, abs=1e-9) for k in want for a, b in zip(found[k], want[k]))
+
+
+def test_personal_data_in_one_text_many_times(spark):
+    from time import monotonic
+
+    text = "".join(f"a{i}@b.org 10.0.{i % 256}.1, " for i in range(50_000))
+    frame = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    begun = monotonic()
+    row = pii.find(frame).where("doc_id = 1").first()
+    assert monotonic() - begun < 120
+    spans, at = [], 0
+    for i in range(50_000):
+        for kind, value, gap in (("email", f"a{i}@b.org", 1), ("ip", f"10.0.{i % 256}.1", 2)):
+            spans.append(f"{kind}:{at}:{at + len(value)}")
+            at += len(value) + gap
+    assert (row.n_email, row.n_ip) == (50_000, 50_000)
+    assert row.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
