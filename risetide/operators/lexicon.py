@@ -1,9 +1,8 @@
 """Lexicon-driven text operators: category, sentiment and entities.
 
-Each takes its lexicon as a table of any size. Tokens are exploded, counted per post, and joined to the
-lexicon with a salt, as common words are hot keys; Spark broadcasts a lexicon if its measured size is
-small. Lexicon terms are lower-cased like the tokens; weights of a repeated term add up and null
-weights add nothing.
+Each takes its lexicon as a table of any size. Tokens are exploded and joined to the lexicon with a salt, as
+common words are hot keys; Spark broadcasts a lexicon if its measured size is small. Lexicon terms are
+lower-cased like the tokens; weights of a repeated term add up and null weights add nothing.
 """
 
 from __future__ import annotations
@@ -33,11 +32,11 @@ def _keyed(posts: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, str]:
     return hashed, hashed.select(_TEXT_KEY, text.alias("text")).dropDuplicates([_TEXT_KEY]), _TEXT_KEY
 
 
-def _token_counts(texts: DataFrame, key: str) -> DataFrame:
-    """(key, term, n). Texts partitioned by the key need no shuffle for this."""
-    return explode_once(texts, [key], _lower_words(F.col("text")), "term").groupBy(key, "term").agg(
-        F.count("*").alias("n")
-    )
+def _known_tokens(texts: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+    """(key, lexicon columns) for each token that the lexicon (term, ...) has. Few tokens are in a lexicon,
+    so they are joined before anything is counted."""
+    tokens = explode_once(texts, [key], _lower_words(F.col("text")), "term")
+    return salted_lookup(tokens, lexicon, "term", F.col(key), how="inner")
 
 
 def _argmax_category(weights: Column, categories: list[str]) -> Column:
@@ -67,9 +66,8 @@ def classify_posts(
             for i, c in enumerate(categories)
         ]
     )
-    joined = salted_lookup(_token_counts(texts, key), per_term, "term", F.col(key), how="inner")
-    sums = joined.groupBy(key).agg(
-        F.array(*[F.sum(F.col(f"w{i}") * F.col("n")) for i in range(len(categories))]).alias("_weights")
+    sums = _known_tokens(texts, key, per_term).groupBy(key).agg(
+        F.array(*[F.sum(f"w{i}") for i in range(len(categories))]).alias("_weights")
     )
     labelled = sums.select(key, _argmax_category(F.col("_weights"), categories).alias("category"))
     return posts.drop("category").join(labelled, key, "left").withColumn(
@@ -89,9 +87,7 @@ def add_sentiment(
     body = F.col(body_col) if body_col in posts.columns else F.lit("")
     posts, texts, key = _keyed(posts, join_text(F.col(title_col), body))
     valence = lexicon.groupBy(F.lower("term").alias("term")).agg(F.sum("valence").alias("valence"))
-    sums = salted_lookup(_token_counts(texts, key), valence, "term", F.col(key), how="inner").groupBy(key).agg(
-        F.sum(F.col("valence") * F.col("n")).alias("_valence")
-    )
+    sums = _known_tokens(texts, key, valence).groupBy(key).agg(F.sum("valence").alias("_valence"))
     score = compound(F.coalesce("_valence", F.lit(0.0)))
     return posts.join(sums, key, "left").withColumn("sentiment_score", score).withColumn(
         "sentiment_label", sentiment_label(F.col("sentiment_score"))

@@ -96,6 +96,8 @@ def process_day(
     if not day_ready(lake.raw(), day, require_all):
         return FAILED
 
+    today_utc = (as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc)).date()
+    lake.begin(today_utc)
     tracked = lake.tracked_before(day)
     refetched = lake.scores().limit(0)
     if inputs.snapshots is not None:
@@ -120,13 +122,13 @@ def process_day(
     updated = update_tracked(tracked, today, window, day)
     lake.write(updated.withColumn("version", day), TRACKED, "version")
 
-    today_utc = (as_of if as_of.tzinfo is None else as_of.astimezone(timezone.utc)).date()
     lake.drop_before(SCORES, "date", today_utc - timedelta(days=SCORE_RETENTION_DAYS))
     lake.drop_before(KEYWORDS, "date", today_utc - timedelta(days=KEYWORD_RETENTION_DAYS))
     # a rerun of this day needs the newest version before it, however old
     older = [v for v in lake.partitions(TRACKED, "version") if v < today_utc]
     if older:
         lake.drop_before(TRACKED, "version", min(max(older), today_utc - timedelta(days=KEYWORD_RETENTION_DAYS)))
+    lake.commit()
     return OK
 
 

@@ -550,6 +550,26 @@ _QUERIES["shifted_sentiment"] = f"""WITH valued AS (SELECT lower(term) AS term,
       ELSE 'neutral' END AS sentiment_label FROM scored_posts"""
 
 
+_DAY_STATE = f"""WITH title_sums AS (SELECT seq, category, round(sum(weight), 9) AS weight
+      FROM title_words JOIN category_lexicon ON lower(w) = lower(term) GROUP BY ALL),
+    title_category AS (SELECT seq, category AS of_title FROM title_sums WHERE weight > 0
+      QUALIFY row_number() OVER (PARTITION BY seq ORDER BY weight DESC, {_RANKED_CATEGORIES}) = 1)
+    SELECT 'posts' AS kind, url, coalesce(of_title, 'general') || '|' || keywords || '|' || sentiment_label AS value,
+      round(trend_score, 6) AS number FROM scored_velocity JOIN keyworded USING (seq) JOIN labels_of USING (seq)
+      LEFT JOIN title_category USING (seq)
+    UNION ALL SELECT 'scores', url, '{views.AS_OF[:10]}', CAST(score AS DOUBLE) FROM posts"""
+_QUERIES["process_day_twice"] = _DAY_STATE
+_QUERIES["day_after_a_dead_run"] = _DAY_STATE
+_QUERIES["day_list"] = """SELECT DISTINCT CAST(CAST(created AS DATE) AS VARCHAR) AS date, 1 AS has_folder FROM timed
+    WHERE created IS NOT NULL"""
+_QUERIES["kept_partitions"] = """SELECT CAST(date AS VARCHAR) AS date, count(*) AS n, CAST(sum(score) AS BIGINT) AS score
+    FROM history WHERE date >= DATE '2024-01-10' GROUP BY 1"""
+_QUERIES["stale_days"] = """SELECT DISTINCT substring(created_at, 1, 10) AS date,
+    CAST(CAST(substring(created_at, 9, 2) AS INTEGER) % 2 = 1 OR CAST(substring(created_at, 9, 2) AS INTEGER) % 3 = 0 AS INTEGER) AS stale
+    FROM raw_posts WHERE created_at <> 'n/a'"""
+_QUERIES["losing_stale_incremental"] = _QUERIES["losing_stale"]
+
+
 def _merge_with(sql: str) -> str:
     """Merge a query's own leading WITH into the assembled one."""
     text = _assemble(sql)

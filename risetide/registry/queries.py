@@ -24,6 +24,7 @@ from ..operators.tagging import add_chunk_keywords, add_noun_chunks
 from ..operators.valence import add_shifted_sentiment
 from ..operators.lexicon import add_entities, add_sentiment, classify_posts, ensure_sentiment
 from ..operators.phrases import add_phrases, rake_phrases
+from ..operators import runs
 from ..operators.selection import post_table, top_per_bucket
 from ..operators.topics import diversify, drop_supersets, ranked_topics
 from ..operators.tracking import curated_posts, update_tracked
@@ -32,9 +33,10 @@ from ..functions.text import join_text
 from ..plans import daily
 from ..schema import POST_COLUMNS, SCORE_RETENTION_DAYS, conform
 from ..sources.landing import feed_posts, forum_posts, news_articles, with_fallback
+from ..sources.commit import DayLake
 from ..sources.scratch import Scratch, ensure_checkpoint_dir
 from ..sources.tables import (
-    Lake, keyword_history_from_json, read_raw_csv, write_csv, keyword_history_to_json, readiness, tracked_from_json, tracked_to_json,
+    POSTS, RAW, SCORES, TRACKED, Lake, land_raw, listed_days, stale_days as days_to_process, keyword_history_from_json, read_raw_csv, write_csv, keyword_history_to_json, readiness, tracked_from_json, tracked_to_json,
 )
 from . import views
 
@@ -549,6 +551,114 @@ def land_day_again(spark: SparkSession, folder: str) -> DataFrame:
     return lake.raw().select("source", "url", "created_at", "seq", "pos")
 
 
+def _new_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/lake-{uuid.uuid4().hex}"
+
+
+def _landed(tables: Tables, lake: Lake) -> Lake:
+    """The lake with all raw posts as one day's rows."""
+    land_raw(lake, [tables.raw_posts().drop("landing_rank").withColumn("id", F.col("url"))], NOW, ["reddit", "news", "blog"])
+    return lake
+
+
+def _state(lake: Lake) -> DataFrame:
+    """The posts and scores of a lake, as text rows."""
+    posts = lake.posts().select(
+        F.lit("posts").alias("kind"), "url", F.concat_ws("|", "category", "keywords", "sentiment_label").alias("value"),
+        F.round("trend_score", DIGITS).alias("number"))
+    scores = lake.scores().select(F.lit("scores").alias("kind"), "url", F.col("date").cast("string").alias("value"),
+                                  F.col("score").cast("double").alias("number"))
+    return posts.unionByName(scores)
+
+
+def _inputs(tables: Tables) -> daily.Inputs:
+    return daily.Inputs(categories=tables.category_lexicon(), valence=tables.valence_lexicon())
+
+
+@query
+def process_day_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored posts and scores of a day that was processed twice."""
+    tables = Tables(spark, folder)
+    lake = _landed(tables, Lake(spark, _new_root(spark)))
+    for _ in range(2):
+        if daily.process_day(lake, NOW, _inputs(tables)) != daily.OK:
+            raise RuntimeError("the day was not processed")
+    return _state(lake)
+
+
+class _Dies(DayLake):
+    """A lake whose run dies when it writes a table."""
+
+    fatal: str | None = None
+
+    def write(self, df: DataFrame, table: str, *partition_by: str) -> None:
+        if table == self.fatal:
+            raise ConnectionError(f"lost at {table}")
+        super().write(df, table, *partition_by)
+
+
+@query
+def day_after_a_dead_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored posts and scores of a day, after a second run with other inputs died between two tables."""
+    tables = Tables(spark, folder)
+    lake = _Dies(spark, _new_root(spark))
+    _landed(tables, lake)
+    daily.process_day(lake, NOW, _inputs(tables))
+    lake.fatal = TRACKED
+    try:
+        daily.process_day(lake, NOW, daily.Inputs())
+    except ConnectionError:
+        return _state(DayLake(spark, lake.root))
+    raise RuntimeError("the run did not die")
+
+
+@query
+def day_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The days of a stored table, by the time their files were written, and whether its folders tell the same."""
+    tables = Tables(spark, folder)
+    lake = Lake(spark, _new_root(spark))
+    posts = tables.clean().withColumn("date", F.to_date(parse_time(F.col("created_at")))).where("date is not null")
+    lake.write(posts.select("url", "date"), POSTS, "date")
+    days = lake.partitions(POSTS, "date")
+    listed = listed_days(spark.read.parquet(lake.path(POSTS)))
+    return listed.select(F.col("date").cast("string").alias("date"), F.col("date").isin(days).cast("int").alias("has_folder"))
+
+
+@query
+def kept_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Score rows of a table after its days before a date were dropped."""
+    tables = Tables(spark, folder)
+    lake = Lake(spark, _new_root(spark))
+    lake.write(tables.history(), SCORES, "date")
+    lake.drop_before(SCORES, "date", datetime(2024, 1, 10).date())
+    return lake.scores().groupBy(F.col("date").cast("string").alias("date")).agg(
+        F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query
+def stale_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Days whose posts are missing or older than their raw rows: those that were never processed, and
+    those that landed again."""
+    tables = Tables(spark, folder)
+    lake = Lake(spark, _new_root(spark))
+    rows = tables.raw_posts().withColumn("date", F.to_date(parse_time(F.substring("created_at", 1, 10)))).where("date is not null")
+    rows = rows.select("url", "date")
+    lake.write(rows, RAW, "date")
+    lake.write(rows.where("day(date) % 2 = 0"), POSTS, "date")
+    lake.write(rows.where("day(date) % 3 = 0"), RAW, "date")
+    found = days_to_process(*(spark.read.parquet(lake.path(t)) for t in (RAW, POSTS)))
+    return found.select(F.col("date").cast("string").alias("date"), F.col("stale").cast("int").alias("stale"))
+
+
+@query
+def losing_stale_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """losing_stale from summaries of weeks, merged in an order that is not that of time."""
+    days = Scratch(spark).save(runs.one_day(Tables(spark, folder).history()).withColumn(
+        "week", F.floor(F.datediff("summary.first_date", F.lit("2023-01-02").cast("date")) / 7) % 4))
+    weeks = [days.where(F.col("week") == w).drop("week") for w in range(4)]
+    return runs.days_of(runs.merged(*(weeks[w] for w in (2, 0, 3, 1))))
+
+
 @query
 def ensured_sentiment(spark: SparkSession, folder: str) -> DataFrame:
     """Sentiment for a batch that has none and whose urls are partly null."""

@@ -66,6 +66,12 @@ class Lake:
         found = [n.partition("=")[2] for n in names if n.startswith(f"{key}=")]
         return sorted((date.fromisoformat(v) for v in found if v[:1].isdigit()), reverse=True)
 
+    def begin(self, day: date) -> None:
+        """A run of a day starts. Here its tables change one by one; DayLake changes them together."""
+
+    def commit(self) -> None:
+        """A run of a day has written all its tables."""
+
     def drop_partition(self, table: str, *folders: str) -> None:
         fs, folder = _file_system(self.spark, "/".join([self.path(table), *folders]))
         fs.delete(folder, True)
@@ -210,6 +216,20 @@ def _newest_file(df: DataFrame, day: Column):
     return newest.first()["t"]
 
 
+def listed_days(df: DataFrame) -> DataFrame:
+    """(date, written): the days of a stored table, by the time of their newest file, newest first."""
+    return df.groupBy("date").agg(F.max("_metadata.file_modification_time").alias("written")).orderBy(
+        F.col("written").desc(), F.col("date").desc())
+
+
+def stale_days(raw: DataFrame, posts: DataFrame) -> DataFrame:
+    """(date, stale) of every day with raw rows: whether its posts are missing or older than these."""
+    landed = raw.groupBy("date").agg(F.max("_metadata.file_modification_time").alias("landed"))
+    done = posts.groupBy("date").agg(F.max("_metadata.file_modification_time").alias("done"))
+    return landed.join(done, "date", "left").select(
+        "date", (F.col("done").isNull() | (F.col("landed") > F.col("done"))).alias("stale"))
+
+
 def is_stale(raw: DataFrame, posts: DataFrame, day: Column) -> bool:
     """True when the day's posts are missing or older than its raw rows."""
     processed = _newest_file(posts, day)
