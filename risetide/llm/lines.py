@@ -10,8 +10,9 @@
    (Of the blocks behind the first 128 bits, which don't travel with a key, several may meet.)
 3. The texts of those lines alone are read again. Lines of a key meet in tiles of bounded bytes; a key with
    more text is cut into blocks, and each two blocks are a tile. A tile checks the edit similarity of its
-   pairs within RADIUS_OF_ALL bits, but of no pair that checked ones already connect, and returns spanning links. Groups are the
-   connected components; a group's first occurrence stays.
+   pairs that are within RADIUS_OF_ALL bits and share SHARED of the longer line's distinct words, as near
+   prints say they do, but of no pair that checked ones already connect, and returns spanning links. Groups
+   are the connected components; a group's first occurrence stays.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ SIMILARITY = 0.8
 #: Set by recall against edit similarity alone, see the README.
 BLOCKS = 12
 RADIUS, RADIUS_OF_ALL = 20, 30
+SHARED = 0.5
 TILE_BYTES = 4 << 20
 _LONGS = BLOCKS // 4
 _SEEN = 8       # blocks in the 128 bits that travel with a key
@@ -265,11 +267,10 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def tile_links(block: int, prints: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
-    """Spanning links of the tile's pairs that meet under the block and are similar. Half the difference of
-    two texts' letter counts is a lower bound of their edit distance, and discards pairs without an
-    alignment."""
+    """Spanning links of the tile's pairs that meet under the block, share SHARED of their words, and are
+    similar."""
     sizes = np.array([len(t) for t in texts])
-    letters = np.array([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") & 63, minlength=64) for t in texts], np.int32)
+    words = [frozenset(t.split()) for t in texts]
     up = np.arange(len(texts))
 
     def root(x: int) -> int:
@@ -282,15 +283,12 @@ def tile_links(block: int, prints: np.ndarray, texts: list[str]) -> list[tuple[i
         j = np.arange(i + 1, len(texts))
         up = up[up]
         j = j[up[j] != up[i]]
-        allowed = _allowed(np.maximum(sizes[i], sizes[j]))
-        j, allowed = (x[np.abs(sizes[i] - sizes[j]) <= allowed] for x in (j, allowed))
+        j = j[np.abs(sizes[i] - sizes[j]) <= _allowed(np.maximum(sizes[i], sizes[j]))]
         x = prints[i] ^ prints[j]
         near = _meet(x[:, 0], x[:, 1], np.full(len(j), block)) & (np.bitwise_count(x).sum(axis=1) <= RADIUS_OF_ALL)
-        j, allowed = j[near], allowed[near]
-        j = j[np.abs(letters[i] - letters[j]).sum(axis=1) <= 2 * allowed]
-        for k in j.tolist():
+        for k in j[near].tolist():
             a, b = root(i), root(k)
-            if a != b and similar(texts[i], texts[k]):
+            if a != b and len(words[i] & words[k]) >= SHARED * max(len(words[i]), len(words[k])) and similar(texts[i], texts[k]):
                 up[max(a, b)] = min(a, b)
                 linked.append((i, k))
     return linked
@@ -355,8 +353,8 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Lines are what newlines part. Lines that are equal when normalised (lower case, no ASCII
     punctuation, single spaces) are one; others link if their SimHashes share one of BLOCKS blocks and differ in
-    at most RADIUS of the first 128 bits and RADIUS_OF_ALL of all, and their edit similarity is SIMILARITY or more. Of each connected
-    group the first occurrence stays, by doc_id (unknown ones last), text and line; the rest go, also within one text. Lines without a word
+    at most RADIUS of the first 128 bits and RADIUS_OF_ALL of all, SHARED of the longer one's distinct words
+    or more are common, and their edit similarity is SIMILARITY or more. Of each connected group the first occurrence stays, by doc_id (unknown ones last), text and line; the rest go, also within one text. Lines without a word
     stay. A text may become empty; a null text stays null and has one line. Rows with equal doc_id and
     text are one document and get the same result. Empty table: no rows. Columns of docs other than text
     stay as they are; older columns named n_lines or n_dropped are replaced.

@@ -221,7 +221,8 @@ def lines_brute(rows):
     prints = {t: plain_print(t.encode()) for t in keys}
     for i, a in enumerate(keys):
         for b in keys[i + 1:]:
-            if candidate(prints[a], prints[b]) and lines.similar(a, b):
+            common, longer = len({*a.split()} & {*b.split()}), max(len({*a.split()}), len({*b.split()}))
+            if candidate(prints[a], prints[b]) and 2 * common >= longer and lines.similar(a, b):
                 forest.join(a, b)
     kept = {}
     for t in keys:
