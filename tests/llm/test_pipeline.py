@@ -32,3 +32,19 @@ def test_stages_keep_the_columns(spark):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.where("false"), SMALL).columns == docs.columns
+
+
+def test_odd_rows(spark, odd_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = odd_docs.withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long"), "h": F.col("source")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.columns == docs.columns, name
+        assert done.count() <= docs.count()
+    assert corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path)).count() == docs.count()
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id for r in found.collect()} <= {None, *range(10)}
