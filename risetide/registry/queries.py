@@ -14,7 +14,7 @@ from ..functions.text import ellipsis, signed_percent, strip_markup, title_case
 from ..operators import report
 from ..operators.burst import burst_topics, keyword_counts
 from ..operators.clean import KEY, clean_posts, union_sources
-from ..operators.graph import cluster_report, cooccurrence_edges, node_degrees, topic_clusters
+from ..operators.graph import cluster_report, communities, cooccurrence_edges, modularity, node_degrees, topic_clusters
 from ..operators.history import (
     day_scores, growth_by_url, merge_history, refetched_scores, retain, score_runs, unique_scores,
 )
@@ -65,6 +65,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._held: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several parts of a plan read, written once as the daily run has it."""
+        if name not in self._held:
+            self._held[name] = Scratch(self.spark).save(make())
+        return self._held[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -80,15 +87,17 @@ class Tables:
     def clean(self) -> DataFrame:
         return clean_posts(self.raw_posts())
 
+    def cleaned(self) -> DataFrame:
+        return self._once("cleaned", self.clean)
+
     def history(self) -> DataFrame:
-        rows = self.sql(
+        return self._once("history", lambda: unique_scores(self.sql(
             views.POST_SCORES, raw_posts=self.raw_posts().select("url", "seq", "source"),
             events=self.table("events"),
-        )
-        return unique_scores(rows)
+        )))
 
     def interest(self) -> DataFrame:
-        news = add_keywords(self.clean().where(F.col("source") == "news"))
+        news = add_keywords(self.cleaned().where(F.col("source") == "news"))
         series = self.sql(
             views.SEARCH_INTEREST, news_keywords=news.select("keywords", "seq"),
             events=self.table("events"),
@@ -124,7 +133,8 @@ class Tables:
 
     def scored(self) -> DataFrame:
         """Classified posts with keywords and trend score (growth and velocity; news flat)."""
-        return score_trends(self.classified(), self.history(), _now())
+        posts = classify_posts(self.cleaned(), self.category_lexicon(), ("title", "body"))
+        return score_trends(posts, self.history(), _now())
 
     def posts(self) -> DataFrame:
         """Fully enriched posts."""
@@ -229,7 +239,7 @@ def day_readiness(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def velocity_trend(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    scored = score_trends(tables.clean(), tables.history().limit(0), _now(), keywords=False)
+    scored = score_trends(tables.cleaned(), tables.history().limit(0), _now(), keywords=False)
     return scored.select("url", "source", *_rounded("trend_score"))
 
 
@@ -246,7 +256,7 @@ def interest_trend(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def trend_score(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    scored = score_trends(tables.clean(), tables.history(), _now(), tables.interest())
+    scored = score_trends(tables.cleaned(), tables.history(), _now(), tables.interest())
     return scored.select("url", "source", "keywords", *_rounded("trend_score"))
 
 
@@ -693,6 +703,18 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.length(F.coalesce("title", F.lit(""))).cast("bigint").alias("title_length"), F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"))
 
 
+@query
+def cluster_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the communities of the word graph: nodes, members and distinct members, and whether modularity is
+    at least that of single words."""
+    edges = Scratch(spark).save(cooccurrence_edges(Tables(spark, folder).phrased()))
+    members = communities(edges)
+    alone = node_degrees(edges).select(F.col("word").alias("node"), F.col("word").alias("comm"))
+    better = modularity(edges, members) >= modularity(edges, alone) - 1e-9
+    return members.agg(F.count("*").alias("members"), F.countDistinct("node").alias("nodes"),
+                       F.lit(int(better)).alias("no_worse_than_single"))
+
+
 @query
 def topic_cluster_words(spark: SparkSession, folder: str) -> DataFrame:
     found = topic_clusters(Tables(spark, folder).phrased())

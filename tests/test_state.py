@@ -12,7 +12,7 @@ from risetide.operators.history import score_runs
 from risetide.plans import daily
 from risetide.sources import tables
 from risetide.sources.commit import DayLake
-from risetide.sources.tables import KEYWORDS, POSTS, SCORES, TRACKED, Lake
+from risetide.sources.tables import POSTS, SCORES, TRACKED, Lake
 
 from test_daily import inputs, snapshot, submissions  # noqa: F401  (inputs is a fixture)
 
@@ -23,7 +23,7 @@ def land(spark, lake, title):
     daily.collect_day(lake, NOW, submissions=submissions(spark, [(1, title, "solar great", 9), (2, "vote " + title, None, 4)]))
 
 
-@pytest.mark.parametrize("fatal", [POSTS, SCORES, KEYWORDS, TRACKED])
+@pytest.mark.parametrize("fatal", [SCORES, TRACKED])
 def test_a_run_that_dies_changes_nothing(spark, tmp_path, inputs, fatal):  # noqa: F811
     class Dies(DayLake):
         def write(self, df, table, *partition_by):
@@ -52,13 +52,13 @@ def test_a_run_that_dies_changes_nothing(spark, tmp_path, inputs, fatal):  # noq
 def test_whole_days_tell_what_partitions_tell(spark, tmp_path, inputs):  # noqa: F811
     lakes = Lake(spark, str(tmp_path / "a")), DayLake(spark, str(tmp_path / "b"))
     for lake in lakes:
-        for days in (40, 3, 0, 0):
+        for days in (40, 0):
             now = NOW - dt.timedelta(days=days)
             daily.collect_day(lake, now, submissions=submissions(spark, [(days + 1, "solar", None, 9), (99, "vote", None, 50 - days)]))
             assert daily.process_day(lake, now, inputs) == daily.OK
     told = [{k: sorted(sorted(map(str, row)) for row in rows) for k, rows in snapshot(lake).items()} for lake in lakes]
     assert told[0] == told[1]
-    assert [lake.partitions(SCORES, "date") for lake in lakes] == [[dt.date(2024, 1, 31), dt.date(2024, 1, 28)]] * 2
+    assert [lake.partitions(SCORES, "date") for lake in lakes] == [[dt.date(2024, 1, 31)]] * 2
 
 
 def test_empty_lake_of_days(spark, tmp_path):
