@@ -25,7 +25,9 @@ from risetide.llm.work import saved
 from risetide.operators.joins import salted_lookup
 
 SALTS = 8
-LONGEST_WORD = 24
+#: Words up to this length are looked up as substrings of a piece, longer ones by their first letters.
+HEAD = 24
+_ROWS = 100_000
 _CACHED = 100_000
 _OTHER, _NUMBER = "<other>", "<number>"
 #: Words that mark unwanted hosts.
@@ -63,23 +65,28 @@ class Words:
 
     counts: dict[str, int]
     total: int = field(init=False)
+    sizes: list[int] = field(init=False)
 
     def __post_init__(self):
         self.total = sum(self.counts.values()) or 1
-
-    def cost(self, word: str) -> float:
-        if (count := self.counts.get(word)) is not None:
-            return -math.log(count / self.total)
-        # an unknown string: less likely with each letter
-        return math.log(self.total) + len(word) * math.log(10)
+        self.sizes = sorted({len(w) for w in self.counts}, reverse=True)
 
     def split(self, text: str) -> list[str]:
-        """The most likely words that make up the text; of equal ones, the fewest letters first."""
+        """The most likely words that make up the text; of equal ones, the fewest letters first. A string that
+        is no word, of any length, is less likely with each letter."""
+        whole, letter = math.log(self.total), math.log(10)
         best, begin = [0.0], [0]
+        # the cheapest place to begin an unknown string at, whose cost grows evenly
+        low, at = 0.0, 0
         for end in range(1, len(text) + 1):
-            low, at = min((best[i] + self.cost(text[i:end]), i) for i in range(max(0, end - LONGEST_WORD), end))
-            best.append(low)
-            begin.append(at)
+            found = (low + whole + end * letter, at)
+            for size in self.sizes:
+                if size <= end and (count := self.counts.get(text[end - size:end])) is not None:
+                    found = min(found, (best[end - size] + whole - math.log(count), end - size))
+            best.append(found[0])
+            begin.append(found[1])
+            if found[0] - end * letter < low:
+                low, at = found[0] - end * letter, end
         words, end = [], len(text)
         while end:
             words.append(text[begin[end]:end])
@@ -138,7 +145,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
     text = F.lower(F.concat_ws(" ", host_of(F.col("url")), path_of(F.col("url")), title))
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     seeds = pages.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("word"))
-    return words.where(F.length("word") <= LONGEST_WORD).unionByName(seeds).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.unionByName(seeds).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(pages: DataFrame) -> Model:
@@ -181,17 +188,28 @@ def _url_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(piece, word): the distinct substrings of each piece, of HEAD letters at most."""
+    pieces, words = [], []
     for batch in batches:
         for piece in batch.piece:
-            found = {piece[i:j] for i in range(len(piece)) for j in range(i + 1, min(len(piece), i + LONGEST_WORD) + 1)}
-            yield pd.DataFrame({"piece": piece, "word": list(found)})
+            found = {piece[i:j] for i in range(len(piece)) for j in range(i + 1, min(len(piece), i + HEAD) + 1)}
+            pieces += [piece] * len(found)
+            words += found
+            if len(words) >= _ROWS:
+                yield pd.DataFrame({"piece": pieces, "word": words})
+                pieces, words = [], []
+    yield pd.DataFrame({"piece": pieces, "word": words}, dtype=object)
 
 
 def _split_pieces(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """(piece, tokens): the most likely words of each piece by all counts (word, n)."""
     total = counts.agg(F.sum("n")).first()[0]
-    words = salted_lookup(pieces.where(F.col("piece") != _NUMBER).mapInPandas(_substrings, "piece string, word string"),
-                          counts, "word", F.col("piece"), "inner", SALTS)
+    parts = pieces.where(F.col("piece") != _NUMBER).mapInPandas(_substrings, "piece string, word string")
+    words = salted_lookup(parts, counts, "word", F.col("piece"), "inner", SALTS).select("piece", "word", "n")
+    # a longer word is met at its first letters, and is one of the piece's if the rest follows
+    long = counts.where(F.length("word") > HEAD).select(F.left("word", F.lit(HEAD)).alias("word"), F.col("word").alias("whole"), "n")
+    met = parts.where(F.length("word") == HEAD).join(long, "word").where(F.col("piece").contains(F.col("whole")))
+    words = words.unionByName(met.select("piece", F.col("whole").alias("word"), "n").distinct())
     held = words.groupBy("piece").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("ns"))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +237,7 @@ def url_scores(pages: DataFrame) -> DataFrame:
     own = met.groupBy("host", "path").agg(F.flatten(F.collect_list(F.transform("tokens", lambda t: F.concat("scope", t)))).alias("tokens"))
     own = saved(urls.join(own, ["host", "path"], "left").select(
         "host", "path", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).withColumn(
-        "bad", F.exists("tokens", lambda t: F.substring(t, 3, LONGEST_WORD + 1).isin(*SEEDS))), "url-tokens")
+        "bad", F.exists("tokens", lambda t: t.isin(*(scope + s for scope in ("h ", "p ") for s in SEEDS)))), "url-tokens")
     token = own.select("host", "path", "bad", F.explode("tokens").alias("token"))
     seen = saved(token.groupBy("token").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "url-seen")
     sums = seen.agg(F.count(F.lit(1)).alias("names"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
