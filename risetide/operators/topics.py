@@ -12,11 +12,13 @@ from ..schema import (
     ENTITY_BOOST, MMR_LAMBDA, RISING_THRESHOLD, TOPICS_OVERALL, TOPICS_PER_CATEGORY,
     TOPICS_PER_SOURCE,
 )
+from ..sources.scratch import Scratch
 from .joins import salted_lookup
 from .phrases import valid_phrases
 
 ALL, CATEGORY, SOURCE = "all", "category", "source"
 CANDIDATE_FACTOR = 3   # fixed value: candidates looked at per wanted topic
+LOOKED_AT = 10_000     # terms of a scope that are counted in all posts first; no bound on the result
 
 
 @dataclass(frozen=True)
@@ -54,13 +56,31 @@ def rising_totals(posts: DataFrame, threshold: float = RISING_THRESHOLD) -> Data
     ).agg(F.count("*").alias("n_rising"))
 
 
-def term_statistics(posts: DataFrame, options: TopicOptions = TopicOptions()) -> DataFrame:
-    """(scope, scope_key, term, rise, everywhere, is_entity) for all scopes.
+def _by_scope(terms: DataFrame, *sums: Column) -> DataFrame:
+    """Rows of (category, source, term, ...) summed up for each term in each scope."""
+    grouped = terms.groupingSets(
+        [["term"], ["category", "term"], ["source", "term"]], "category", "source", "term"
+    ).agg(*sums, F.grouping("category").alias("_no_category"), F.grouping("source").alias("_no_source"))
+    scope = (
+        F.when(F.col("_no_category") == 0, F.lit(CATEGORY))
+        .when(F.col("_no_source") == 0, F.lit(SOURCE))
+        .otherwise(F.lit(ALL))
+    )
+    key = F.when(F.col("_no_category") == 0, F.col("category")).when(
+        F.col("_no_source") == 0, F.col("source")
+    ).otherwise(F.lit(""))
+    return grouped.withColumns({"scope": scope, "scope_key": key}).drop(
+        "category", "source", "_no_category", "_no_source"
+    ).where(F.col("scope_key").isNotNull())
+
+
+def rising_statistics(posts: DataFrame, options: TopicOptions = TopicOptions()) -> DataFrame:
+    """(scope, scope_key, term, rise, seen, is_entity) of the rising posts' terms, for all scopes; `seen`
+    counts their occurrences in rising posts. Terms below a scope's least count are left out.
 
     Grouping sets expand in the map task and combine there before the only shuffle.
     """
     trend = F.col("trend_score")
-    rising = trend >= options.threshold
     weight = rising_weight(trend, options.threshold) if options.trend_weight else F.lit(1.0)
     # A rising post's entities ride along as rows that count nowhere but mark their term.
     occurrences = F.concat(
@@ -68,35 +88,38 @@ def term_statistics(posts: DataFrame, options: TopicOptions = TopicOptions()) ->
             valid_phrases("phrases", options.block_substrings),
             lambda p: F.struct(p.alias("term"), F.lit(0).alias("entity")),
         ),
-        F.when(
-            rising,
-            F.transform("entities", lambda e: F.struct(e.alias("term"), F.lit(1).alias("entity"))),
-        ).otherwise(F.array().cast("array<struct<term:string,entity:int>>")),
+        F.transform("entities", lambda e: F.struct(e.alias("term"), F.lit(1).alias("entity"))),
     )
-    rise = F.when(rising, weight).otherwise(F.lit(0.0)).alias("_rise")
-    seen = explode_once(posts, ["category", "source", rise], occurrences, "s").select(
+    rising = posts.where(trend >= options.threshold)
+    seen = explode_once(rising, ["category", "source", weight.alias("_rise")], occurrences, "s").select(
         "category", "source", "_rise", "s.term", "s.entity"
     )
-    grouped = seen.groupingSets(
-        [["term"], ["category", "term"], ["source", "term"]], "category", "source", "term"
-    ).agg(
+    return _by_scope(
+        seen,
         F.sum(F.when(F.col("entity") == 0, F.col("_rise")).otherwise(0.0)).alias("rise"),
-        F.count_if(F.col("entity") == 0).alias("everywhere"),
+        F.count_if(F.col("entity") == 0).alias("seen"),
         (F.max("entity") == 1).alias("is_entity"),
-        F.grouping("category").alias("_no_category"),
-        F.grouping("source").alias("_no_source"),
+    ).where((F.col("rise") > 0) & (F.col("rise") >= _per_scope(options, "min_count")))
+
+
+def _occurrences(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(category, source, term, n): how often all posts have the terms, which are valid phrases."""
+    said = explode_once(posts, ["category", "source"], F.col("phrases"), "phrase").select(
+        "category", "source", F.trim(F.lower("phrase")).alias("term")
     )
-    scope = (
-        F.when(F.col("_no_category") == 0, F.lit(CATEGORY))
-        .when(F.col("_no_source") == 0, F.lit(SOURCE))
-        .otherwise(F.lit(ALL))
+    return said.join(terms.select("term").distinct(), "term", "left_semi").groupBy(
+        "category", "source", "term"
+    ).agg(F.count("*").alias("n"))
+
+
+def _score(everywhere: str, options: TopicOptions) -> Column:
+    n_rising = F.coalesce("n_rising", F.lit(0))
+    return F.round(
+        topic_score(
+            F.col("rise"), F.col(everywhere), n_rising, F.col("is_entity"), options.damping, options.entity_boost,
+        ),
+        9,
     )
-    key = F.when(F.col("_no_category") == 0, F.col("category")).when(
-        F.col("_no_source") == 0, F.col("source")
-    ).otherwise(F.lit(""))
-    return grouped.select(
-        scope.alias("scope"), key.alias("scope_key"), "term", "rise", "everywhere", "is_entity"
-    ).where(F.col("scope_key").isNotNull())
 
 
 def length_preference(term: Column) -> Column:
@@ -105,38 +128,56 @@ def length_preference(term: Column) -> Column:
     return F.when(n.between(2, 3), F.lit(0)).otherwise(F.lit(4) - n)
 
 
+def _by_rank(score: str) -> Window:
+    return Window.partitionBy("scope", "scope_key").orderBy(
+        F.col(score).desc(), length_preference(F.col("term")), "term"
+    )
+
+
+def _ranked(candidates: DataFrame, occurrences: DataFrame, options: TopicOptions) -> DataFrame:
+    """The top 3 x N of the candidates of each scope. The rank filter is applied in each task before rows
+    of one scope meet."""
+    everywhere = _by_scope(occurrences, F.sum("n").alias("everywhere"))
+    scored = candidates.join(everywhere, ["scope", "scope_key", "term"]).withColumn("score", _score("everywhere", options))
+    widest = CANDIDATE_FACTOR * max(options.top_n, options.top_n_category, options.top_n_source)
+    return scored.withColumn("rank", F.row_number().over(_by_rank("score"))).where(
+        (F.col("rank") <= widest) & (F.col("rank") <= CANDIDATE_FACTOR * _per_scope(options, "top_n"))
+    ).select("scope", "scope_key", "rank", "term", "score")
+
+
 def ranked_topics(
-    posts: DataFrame, options: TopicOptions = TopicOptions(),
+    posts: DataFrame, options: TopicOptions = TopicOptions(), looked_at: int = LOOKED_AT,
 ) -> DataFrame:
     """(scope, scope_key, rank, term, score): the top 3 x N candidate topics of each scope.
 
-    The rank filter is applied in each task before rows of one scope meet.
+    A term's occurrences in rising posts bound its score, as those in other posts only damp it. So all
+    terms are rated in rising posts alone; of all posts those terms are counted whose bound is among the
+    `looked_at` highest of their scope. If a term below may still reach the top, all are counted whose bound
+    is not below the last score of the top. The result is that of counting every term.
     """
-    n_rising = F.coalesce("n_rising", F.lit(0))
-    stats = term_statistics(posts, options).where(
-        (F.col("rise") > 0) & (F.col("rise") >= _per_scope(options, "min_count"))
-    )
+    scratch = Scratch(posts.sparkSession)
     # few totals, each for very many terms
     where = F.concat_ws(":", "scope", "scope_key").alias("_where")
     totals = rising_totals(posts, options.threshold).select(where, "n_rising")
-    stats = salted_lookup(stats.withColumn("_where", where), totals, "_where", F.col("term")).drop("_where")
-    scored = stats.withColumn(
-        "score",
-        F.round(
-            topic_score(
-                F.col("rise"), F.col("everywhere"), n_rising, F.col("is_entity"),
-                options.damping, options.entity_boost,
-            ),
-            9,
-        ),
+    stats = rising_statistics(posts, options).withColumn("_where", where)
+    bounded = salted_lookup(stats, totals, "_where", F.col("term")).drop("_where").withColumn(
+        "bound", _score("seen", options)
     )
-    order = Window.partitionBy("scope", "scope_key").orderBy(
-        F.col("score").desc(), length_preference(F.col("term")), "term"
+    least = max(looked_at, CANDIDATE_FACTOR * max(options.top_n, options.top_n_category, options.top_n_source))
+    place = F.row_number().over(_by_rank("bound"))
+    first = scratch.save(bounded.withColumn("place", place).where(F.col("place") <= least + 1))
+    occurrences = scratch.save(_occurrences(posts, first))
+    top = _ranked(first, occurrences, options)
+    last = top.where(F.col("rank") == CANDIDATE_FACTOR * _per_scope(options, "top_n")).select(
+        "scope", "scope_key", F.col("score").alias("last")
     )
-    widest = CANDIDATE_FACTOR * max(options.top_n, options.top_n_category, options.top_n_source)
-    return scored.withColumn("rank", F.row_number().over(order)).where(
-        (F.col("rank") <= widest) & (F.col("rank") <= CANDIDATE_FACTOR * _per_scope(options, "top_n"))
-    ).select("scope", "scope_key", "rank", "term", "score")
+    last = scratch.save(last)   # one row a scope
+    below = first.where(F.col("place") == least + 1).join(last, ["scope", "scope_key"], "left")
+    if below.where(F.coalesce(F.col("bound") >= F.col("last"), F.lit(True))).isEmpty():
+        return top
+    enough = F.coalesce(F.col("bound") >= F.col("last"), F.lit(True))
+    candidates = scratch.save(bounded.join(last, ["scope", "scope_key"], "left").where(enough).drop("last"))
+    return _ranked(candidates, scratch.save(_occurrences(posts, candidates)), options)
 
 
 def _candidate_lists(ranked: DataFrame) -> DataFrame:
