@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import join_text, words
+from ..functions.text import explode_once, join_text, let, words
 from ..vocab import KEYWORD_STOPWORDS
 from .joins import salted_lookup
 from .keywords import KEYWORD_CHARS, KEYWORD_TERMS, simple_keywords
@@ -93,12 +93,14 @@ def tag_words(posts: DataFrame, lexicon: DataFrame, transitions: DataFrame, text
     known = _emissions(lexicon)
     unknown = known.where("term = ''").select("scores").first()
     lacking = list(unknown["scores"]) if unknown else [IMPOSSIBLE] * (len(TAGS) - 1) + [0]
-    stretches = texts.select(key, F.posexplode(_stretches(F.col("text"))).alias("stretch", "ws"))
-    placed = stretches.select(key, "stretch", F.posexplode("ws").alias("pos", "w")).withColumn("term", F.lower("w"))
-    scored = salted_lookup(placed, known.where("term <> ''"), "term", F.col(key)).withColumn(
-        "scores", F.coalesce("scores", F.array(*[F.lit(x).cast("long") for x in lacking])))
-    rows = scored.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("pos", "w", "scores"))).alias("rows"))
-    return posts, rows.select(key, "stretch", F.col("rows.w").alias("ws"), best_path(F.col("rows.scores"), moves).alias("tags")), key
+    # only what the lexicon says about a text's distinct words is brought back to the text, not its words
+    terms = F.array_distinct(F.transform(F.flatten(_stretches(F.col("text"))), lambda w: F.lower(w)))
+    met = salted_lookup(explode_once(texts, [key], terms, "term"), known.where("term <> ''"), "term", F.col(key), how="inner")
+    scored = met.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "scores"))).alias("known"))
+    placed = texts.join(scored, key, "left").select(key, "known", F.posexplode(_stretches(F.col("text"))).alias("stretch", "ws"))
+    other = F.array(*[F.lit(x).cast("long") for x in lacking])
+    scores = F.transform("ws", lambda w: F.coalesce(F.try_element_at("known", F.lower(w)), other))
+    return posts, placed.select(key, "stretch", "ws", let(scores, lambda rows: best_path(rows, moves)).alias("tags")), key
 
 
 def _spans(tags: Column, grammar: str) -> Column:
@@ -131,7 +133,7 @@ def add_noun_chunks(
         key, "stretch",
         F.transform(spans, lambda s: F.array_join(F.slice("ws", s["at"] + 1, s["n"]), " ")).alias("chunks"),
         F.filter("ws", lambda w, i: (tag_of(i) == "N") & (F.length(w) > 2) & ~w.isin(KEYWORD_STOPWORDS)).alias("nouns"))
-    ordered = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("stretch", "chunks", "nouns"))).alias("_found"))
+    ordered = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("stretch", "chunks", "nouns"))).alias("_found"))
     none = F.array().cast("array<string>")
     return posts.drop("noun_chunks", "nouns").join(ordered, key, "left").withColumns({
         "noun_chunks": F.coalesce(F.array_distinct(F.filter(
