@@ -112,12 +112,12 @@ def add_shifted_sentiment(
     own = texts.select(key, words(F.col("text")).alias("ws"), _emphasis(F.col("text")).alias("emphasis"))
     shout = F.size(F.filter("ws", _in_capitals))
     own = own.withColumn("mixed", (shout > 0) & (shout < F.size("ws")))
-    placed = own.select(key, "mixed", "emphasis", F.posexplode("ws").alias("pos", "w")).select(
-        key, "mixed", "emphasis", "pos", F.lower("w").alias("term"), _in_capitals(F.col("w")).alias("capitals"))
+    placed = own.select(key, "mixed", "emphasis", F.posexplode("ws").alias("pos", "w")).withColumn("term", F.lower("w"))
     found = salted_lookup(placed, _known_words(valence, shifters), "term", F.col(key), how="inner")
     known = found.groupBy(key).agg(
         F.first("mixed").alias("mixed"), F.first("emphasis").alias("emphasis"),
-        F.array_sort(F.collect_list(F.struct("pos", "valence", "boost", "negates", "turns", "capitals"))).alias("known"))
+        F.sort_array(F.collect_list(F.struct(
+            "pos", "valence", "boost", "negates", "turns", _in_capitals(F.col("w")).alias("capitals")))).alias("known"))
     total = known.select(key, "emphasis", _folded(F.col("known"), F.col("mixed")).alias("_total")).select(
         key, (F.col("_total") + F.signum("_total") * F.col("emphasis")).alias("_total"))
     return posts.join(total, key, "left").withColumn(
