@@ -12,7 +12,7 @@ from ..operators.burst import keyword_counts
 from ..operators.clean import KEY, LANDED, clean_posts, url_key
 from ..operators.history import day_scores, merge_history, refetched_scores, retain
 from ..operators.lexicon import add_entities, add_sentiment, classify_posts, no_entities
-from ..operators.phrases import add_phrases
+from ..operators.phrases import add_phrases, spread_by_text
 from ..operators.tracking import update_tracked
 from ..operators.trend import interest_scores, score_trends
 from ..schema import (
@@ -133,17 +133,16 @@ def process_day(
 
 
 def phrase_posts(posts: DataFrame, inputs: Inputs = Inputs()) -> DataFrame:
-    """Posts of a stored day with `phrases` and `entities`, partitioned by url key once so that the
-    key-phrase steps need no further shuffle of the texts."""
+    """Posts of a stored day with `phrases` and `entities`, dealt over tasks by their text."""
     narrow = posts.select(
         url_key(F.col("url")).alias(KEY), "title", "body", "keywords", "category", "source",
         "trend_score",
-    ).repartition(F.col(KEY))
+    )
     if inputs.gazetteer is not None:
         narrow = add_entities(narrow, inputs.gazetteer)
     else:
         narrow = no_entities(narrow)
-    return add_phrases(narrow)
+    return add_phrases(spread_by_text(narrow, posts))
 
 
 def refresh_day(

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from risetide.functions import text
 from risetide.operators import phrases, tagging, topics
+from risetide.plans import daily
 from risetide.registry.queries import Tables
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(driver.SMOKE_DIR), reason="needs the driver's tables")
@@ -70,3 +72,29 @@ def test_rising_posts_have_the_phrases_that_all_have(spark):
     rising = Tables(spark, driver.SMOKE_DIR).rising_phrased().collect()
     key = lambda r: (r.url, r.category, tuple(r.phrases), tuple(r.entities))     # noqa: E731
     assert every and sorted(map(key, every)) == sorted(map(key, rising))
+
+
+def test_phrases_are_made_in_tasks_of_bounded_text(spark, monkeypatch):
+    posts = spark.range(100).selectExpr(
+        "concat('u', id) url", "concat('solar wind park ', id) title", "if(id % 2 = 0, null, 'sea level rise') body",
+        "'' keywords", "'tech' category", "'news' source", "90D trend_score")
+    monkeypatch.setattr(phrases, "TASK_CHARS", 50)
+    found = daily.phrase_posts(posts)
+    assert found.rdd.getNumPartitions() == -(-(90 * 18 + 10 * 17 + 50 * 14) // 50)
+    assert found.count() == 100 and {"solar wind park", "solar wind"} <= set(found.first().phrases)
+    assert daily.phrase_posts(posts.limit(0)).count() == 0
+
+
+def test_single_spaces_are_not_replaced(spark):
+    plain = spark.createDataFrame([("the sun and the sea",)], "t string")
+    counts = plain.select(*(F.regexp_count("t", F.lit(p)) for p in (text._SPACE, text._NON_WORD))).first()
+    assert tuple(counts) == (0, 0)
+
+
+def test_space_and_other_signs_part_as_before(spark):
+    signs = ["a", "\u00e9", "7", "_", " ", " ", "\t", "\n", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "-", "\u2013", "\u200b", "\U0001f600"]
+    rows = [("".join(signs[(i * k + k * k) % len(signs)] for k in range(i % 13)),) for i in range(700)]
+    found = spark.createDataFrame(rows, "t string").select(
+        F.regexp_replace("t", text._SPACE, " "), F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+", " "),
+        F.regexp_replace("t", text._NON_WORD, " "), F.regexp_replace("t", r"[^\p{L}\p{N}_]+", " ")).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in found) and any(r[0] != r[2] for r in found)
