@@ -19,6 +19,7 @@ from ..schema import (
     DEFAULT_CATEGORY, KEYWORD_RETENTION_DAYS, POST_TYPES, RISING_THRESHOLD, SCORE_RETENTION_DAYS,
 )
 from ..sources.landing import feed_posts, forum_posts, news_articles, with_fallback
+from ..sources.scratch import Scratch
 from ..sources.tables import KEYWORDS, POSTS, SCORES, TRACKED, Lake, day_ready, is_stale, land_raw
 
 OK, FAILED = 0, 1
@@ -67,9 +68,15 @@ def collect_day(
 def enrich(
     raw: DataFrame, history: DataFrame, inputs: Inputs, as_of: datetime,
 ) -> DataFrame:
-    """Raw rows to enriched posts in one lazy plan. The posts are shuffled once, by url key; the
-    history and interest joins bring narrow rows to that partitioning."""
-    posts = clean_posts(raw)
+    """Raw rows to enriched posts in one lazy plan."""
+    return enrich_cleaned(clean_posts(raw), history, inputs, as_of)
+
+
+def enrich_cleaned(
+    posts: DataFrame, history: DataFrame, inputs: Inputs, as_of: datetime,
+) -> DataFrame:
+    """Cleaned to enriched posts. The posts are shuffled once, by url key; the history and interest joins
+    bring narrow rows to that partitioning."""
     if inputs.categories is not None:
         posts = classify_posts(posts, inputs.categories)
     else:
@@ -105,10 +112,16 @@ def process_day(
     stored = lake.scores().where(F.col("date") < day)
     history = merge_history(stored, day, SCORE_RETENTION_DAYS, refetched=refetched)
 
-    posts = enrich(raw, history, inputs, as_of)
-    lake.write(
-        posts.select(*POST_TYPES, *LANDED, day.alias("date")), POSTS, "date"
-    )
+    # categories, trend and sentiment each read the posts: they are cleaned once
+    scratch = Scratch(lake.spark, lake.path("scratch"))
+    cleaned = scratch.save(clean_posts(raw))
+    try:
+        posts = enrich_cleaned(cleaned, history, inputs, as_of)
+        lake.write(
+            posts.select(*POST_TYPES, *LANDED, day.alias("date")), POSTS, "date"
+        )
+    finally:
+        scratch.forget(cleaned)
     # Everything below starts from the written partition, not from the plan above.
     today = lake.posts().where(F.col("date") == day)
 

@@ -267,6 +267,23 @@ def test_results_do_not_depend_on_partitioning(spark, inputs):
     assert run(raw.repartition(1)) == run(raw.repartition(7).orderBy(F.rand(3)))
 
 
+def test_a_day_is_cleaned_once(spark, inputs, tmp_path):
+    plans = []
+
+    class Seen(Lake):
+        def write(self, df, table, *partition_by):
+            plans.append((table, df._jdf.queryExecution().optimizedPlan().toString()))
+            super().write(df, table, *partition_by)
+
+    lake = Seen(spark, str(tmp_path / "lake"))
+    assert daily.collect_day(lake, NOW, submissions(spark, [(1, "solar", "<b>great</b>", 5)]), articles(spark, ["http://a"])) == daily.OK
+    assert daily.process_day(lake, NOW, inputs) == daily.OK
+    # tags are stripped in the job before, not in each branch of the posts' plan
+    assert "<[^>]+>" not in dict(plans)[tables.POSTS]
+    assert sorted((r.title, r.body) for r in lake.posts().collect()) == [("Title http://a", "text"), ("solar", "great")]
+    assert not any((tmp_path / "lake" / "scratch").iterdir())
+
+
 def test_filters(spark):
     posts = spark.createDataFrame([("tech", "news"), ("tech", "reddit")], "category string, source string")
     assert filter_posts(posts, category="All", source="news", sentiment="positive").count() == 1
