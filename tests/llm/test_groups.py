@@ -154,6 +154,106 @@ def test_edit_distance():
         assert lines.similar(a, b) == (row[-1] <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_edit_distance_that_ends_early():
+    draw = random.Random(11)
+    for _ in range(300):
+        a = "".join(draw.choice("abcd ") for _ in range(draw.randint(0, 150)))
+        b = "".join(draw.choice("abcd ") if draw.random() < 0.3 else c for c in a if draw.random() < 0.95)
+        exact = lines.edit_distance(a, b)
+        for most in (0, exact - 1, exact, exact + 1, 200):
+            found = lines.edit_distance(a, b, most)
+            assert found == exact if exact <= most else found > most
+
+
+def test_word_hashes():
+    import xxhash
+
+    draw = random.Random(12)
+    words = [bytes(draw.choice(b"abz09\xc3\xa9\xff") for _ in range(n)) for n in [*range(1, 70)] * 5]
+    for mark in (b" ", b"\n"):
+        assert lines._word_hashes(mark.join(words)).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+
+
+def test_replaced_words_need_no_exact_distance(monkeypatch):
+    def exact(*_):
+        raise AssertionError("asked for the exact distance")
+
+    draw = random.Random(13)
+    words = [f"w{draw.randrange(900)}" for _ in range(120)]
+    replaced, moved = words[:], words[3:60] + ["new", "words"] + words[60:]
+    for k in (5, 50, 51, 90):
+        replaced[k] = "other"
+    with monkeypatch.context() as patch:
+        patch.setattr(lines, "edit_distance", exact)
+        assert lines.similar(" ".join(words), " ".join(replaced))
+        assert lines.similar(" ".join(words), " ".join(moved)) and lines.similar(" ".join(moved), " ".join(words))
+    for _ in range(300):    # what words prove holds by letters
+        a = [draw.choice(["a", "bc", "def", "", "gh"]) for _ in range(draw.randint(1, 14))]
+        b = [draw.choice(["a", "bc", "def", "", "gh"]) if draw.random() < 0.3 else w for w in a if draw.random() < 0.9] or ["a"]
+        exact = lines.edit_distance(" ".join(a), " ".join(b))
+        for allowed in range(exact):
+            assert not lines._provably_similar(a, b, allowed)
+        assert lines._provably_similar(a, b, 100)
+
+
+def test_tiles_of_many_batches():
+    import pyarrow as pa
+
+    draw = np.random.default_rng(14)
+    tiles = np.sort(draw.integers(0, 12, 500))
+    rows = pa.record_batch({"key": tiles // 4, "x": tiles % 4 // 2, "y": tiles % 2, "n": np.arange(500)})
+    for cuts in ([], [1], [0, 0, 7], sorted(draw.integers(0, 500, 60).tolist())):
+        ends = [0, *cuts, 500]
+        found = list(lines._whole_tiles(rows.slice(i, j - i) for i, j in zip(ends, ends[1:])))
+        assert [n for batch, _ in found for n in batch.column("n").to_pylist()] == list(range(500))
+        seen = [set(tiles[batch.column("n").to_numpy()].tolist()) for batch, _ in found]
+        assert sum(map(len, seen)) == len(set(tiles.tolist()))
+        for batch, own in found:
+            assert (np.diff(own) == (np.diff(tiles[batch.column("n").to_numpy()]) != 0)).all()
+
+
+def test_links_of_tiles():
+    draw = random.Random(15)
+    texts, tile = [], []
+    for k in range(9):
+        base = [f"w{draw.randrange(900)}" for _ in range(30)]
+        for _ in range(draw.choice([1, 2, 15])):
+            base[draw.randrange(30)] = f"w{draw.randrange(900)}"
+            texts.append(" ".join(base))
+            tile.append(k // 2)
+    prints = lines.prints_of([t.encode() for t in texts]).view(np.uint64)
+    for block in (0, 3, 9):
+        forest, found = Forest(), Forest()
+        for i in range(len(texts)):
+            for j in range(i + 1, len(texts)):
+                x = [int(a ^ b) for a, b in zip(prints[i], prints[j])]
+                common, longer = len({*texts[i].split()} & {*texts[j].split()}), max(len({*texts[i].split()}), len({*texts[j].split()}))
+                if (tile[i] == tile[j] and all([v >> 16 * k & 0xFFFF for v in x for k in range(4)][:min(block, 8)]) and 2 * common >= longer
+                        and x[0].bit_count() + x[1].bit_count() <= 20 and sum(v.bit_count() for v in x) <= 30 and lines.similar(texts[i], texts[j])):
+                    forest.join(i, j)
+        links = lines.tile_links(np.array(tile), np.full(len(texts), block), prints, texts)
+        for i, j in links:
+            assert tile[i] == tile[j] and found.find(i) != found.find(j)
+            found.join(i, j)
+        assert [found.find(i) for i in range(len(texts))] == [forest.find(i) for i in range(len(texts))]
+
+
+def test_partners_by_all_bits():
+    draw = np.random.default_rng(16)
+    p = draw.integers(0, 1 << 63, (20, 3), dtype=np.uint64)[draw.integers(0, 20, 300)]
+    for _ in range(12):
+        p ^= np.uint64(1) << draw.integers(0, 64, p.shape).astype(np.uint64) * draw.integers(0, 2, p.shape).astype(np.uint64)
+    key, size = np.sort(draw.integers(0, 3, 300)), np.full(300, 80)
+    want = np.zeros(300, bool)
+    for i in range(300):
+        for j in range(i + 1, 300):
+            x = [int(a ^ b) for a, b in zip(p[i], p[j])]
+            if key[i] == key[j] and x[0].bit_count() + x[1].bit_count() <= 20 and sum(v.bit_count() for v in x) <= 30:
+                want[i] = want[j] = True
+    found = lines._partnered(key, size, p[:, 0], p[:, 1], p[:, 2])
+    assert found.tolist() == want.tolist() and found.sum() < lines._partnered(key, size, p[:, 0], p[:, 1]).sum()
+
+
 def plain_print(line):
     """The 64-bit words of a line's print, as Python integers."""
     import xxhash
