@@ -390,7 +390,7 @@ def tile_links(tile: np.ndarray, block: np.ndarray, prints: np.ndarray, texts: l
 def _links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): digests of distinct lines that link, enough of them to connect all that do."""
     members = _members(distinct).withColumn("size", F.col("at").bitwiseAND(0xFFFFFFFF).cast("int"))
-    keyed = distinct.join(members, ["p0", "p1", "size"]).select("at", "p0", "p1", "p2", "h", "first")
+    keyed = distinct.join(members.hint("shuffle_hash"), ["p0", "p1", "size"]).select("at", "p0", "p1", "p2", "h", "first")
     wanted = saved(_with_partners(keyed).select(
         F.shiftright("at", 32).cast("int").alias("key"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("size"), "p0", "p1", "p2", "h", "first"),
         "lines-wanted")
@@ -444,13 +444,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                                        F.count(F.lit(1)).alias("n")), "lines-distinct")
     reached = components(_links(docs, distinct), "lines-components")
     grouped = (
-        distinct.select("h", "first", "n").join(reached.withColumnRenamed("node", "h"), "h", "left")
+        distinct.select("h", "first", "n").join(reached.withColumnRenamed("node", "h").hint("shuffle_hash"), "h", "left")
         .where("n > 1 or component is not null").select("h", "first", F.coalesce("component", "h").alias("label"))
     )
     kept = grouped.groupBy("label").agg(F.min("first").alias("kept"))
     touched = saved(grouped.join(kept, "label").select("h", "kept"), "lines-touched")
     delete_table(distinct)
-    return lines.select("doc_id", "th", "line", "h").join(touched, "h").where(place != F.col("kept")).groupBy("doc_id", "th").agg(
+    return lines.select("doc_id", "th", "line", "h").join(touched.hint("shuffle_hash"), "h").where(place != F.col("kept")).groupBy("doc_id", "th").agg(
         F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
@@ -474,5 +474,5 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     left = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("_dropped", i)), "\n")
     return joined.select(
         *[(F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(f"`{c}`")) for c in rest],
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
+        (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
         F.when(F.col("_dropped").isNull(), 0).otherwise(F.size("_dropped")).alias("n_dropped"))
