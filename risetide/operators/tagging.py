@@ -1,22 +1,28 @@
 """Noun chunks: words are tagged by the best path through a tag lexicon and a transition table, and chunks
 are read off the tags by a small grammar.
 
-Both tables are the user's. The lexicon may be of any size: it is joined word by word with a salt. The
-transitions have at most one row for two tags, so they become literals. Scores are whole numbers (such as
-thousandths of a log probability), so that sums are exact and ties are real ones.
+Both tables are the user's. The lexicon may be of any size: a small one goes to the tasks whole, a larger one is
+joined word by word with a salt. The transitions have at most one row for two tags. Scores are whole numbers (such
+as thousandths of a log probability), so that sums are exact and ties are real ones.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import explode_once, join_text, let, words
+from ..functions.text import explode_once, join_text, text_or_empty, words
+from ..sources.workers import importable
 from ..vocab import KEYWORD_STOPWORDS
+from . import paths
 from .joins import salted_lookup
 from .keywords import KEYWORD_CHARS, KEYWORD_TERMS, simple_keywords
 from .lexicon import _TEXT_KEY, _keyed
+from .paths import Tagger
 
 #: Determiner, adjective, noun, verb, preposition, other; earlier ones win ties.
 TAGS = ("D", "A", "N", "V", "P", "X")
@@ -26,19 +32,19 @@ CHUNK = "D?A*N+"
 IMPOSSIBLE = -1_000_000
 #: Words are tagged in stretches between punctuation, and of at most this many words.
 STRETCH = 64
-_BREAK = r'[.,;:!?()\[\]"]+'
-_BITS = 3
+_BREAKS = '.,;:!?()[]"'
+#: A lexicon of no more characters, with ROW_CHARS for a row's scores, goes to the tasks whole.
+HELD_CHARS = 8_000_000
+ROW_CHARS = 80
+#: Grammars that mean the same to Python; what others match is left to Spark's expressions.
+_PLAIN = re.compile(r"[A-Z?*+|]+")
+_STOP = frozenset(KEYWORD_STOPWORDS)
 
 
-def _stretches(text: Column) -> Column:
-    """Array of word arrays."""
-
-    def cut(ws: Column) -> Column:
-        parts = F.ceil(F.size(ws) / F.lit(STRETCH)).cast("int")
-        return F.transform(F.sequence(F.lit(1), parts), lambda k: F.slice(ws, (k - 1) * STRETCH + 1, F.lit(STRETCH)))
-
-    pieces = F.transform(F.split(text, _BREAK), lambda p: words(p))
-    return F.flatten(F.transform(F.filter(pieces, lambda ws: F.size(ws) > 0), cut))
+def _marked(text: Column) -> Column:
+    """The words of a text, spaces between them and line ends in the place of punctuation."""
+    lines = F.translate(text_or_empty(text), "\n" + _BREAKS, " " + "\n" * len(_BREAKS))
+    return F.regexp_replace(lines, r"[^\p{L}\p{N}_ \n][^\p{L}\p{N}_\n]*| [^\p{L}\p{N}_\n]+", " ")
 
 
 def _emissions(lexicon: DataFrame) -> DataFrame:
@@ -54,53 +60,75 @@ def _transition_scores(transitions: DataFrame) -> dict[tuple[str, str], int]:
     return {(r.previous, r.tag): int(r.score) for r in best}
 
 
+def _tagger(lacking: list[int], moves: dict[tuple[str, str], int], held: dict[str, list[int]] = {}) -> Tagger:
+    def row(before: str) -> list[int]:
+        return [moves.get((before, t), IMPOSSIBLE) for t in TAGS]
+
+    tables = ([lacking, *held.values()], row(""), [row(t) for t in TAGS])
+    return Tagger("".join(TAGS), {t: i for i, t in enumerate(held, 1)}, *(np.array(x, np.int64) for x in tables), STRETCH)
+
+
 def best_path(scores: Column, moves: dict[tuple[str, str], int]) -> Column:
     """Letters of the best tags for an array of the words' tag scores, which is not empty."""
-    last = len(TAGS) - 1
+    tagger = _tagger([0] * len(TAGS), moves)
+
+    @F.arrow_udf("string")
+    def path(rows: pa.Array) -> pa.Array:
+        words = rows.flatten()
+        own = words.flatten().to_numpy(zero_copy_only=False).reshape(len(words), len(TAGS))
+        lengths = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        tags = paths.best_tags(np.arange(len(own)), lengths, own, tagger.first, tagger.moves)
+        letters, ends = "".join(map(tagger.tags.__getitem__, tags)), np.cumsum(lengths)
+        return pa.array([letters[e - n:e] for n, e in zip(lengths.tolist(), ends.tolist())], pa.string())
 
-    def ranked(values: list[Column]) -> Column:
-        """The greatest value with, below it, how early its tag comes."""
-        return F.greatest(*[F.shiftleft(v, _BITS) + F.lit(last - i) for i, v in enumerate(values)])
+    return path(scores)
 
-    def state(values: list[Column], paths: list[Column]) -> Column:
-        return F.struct(*[v.alias(f"s{i}") for i, v in enumerate(values)], *[p.alias(f"p{i}") for i, p in enumerate(paths)])
 
-    def step(held: Column, own: Column) -> Column:
-        values, paths = [], []
-        for j, tag in enumerate(TAGS):
-            best = ranked([held[f"s{i}"] + F.lit(moves.get((t, tag), IMPOSSIBLE)).cast("long") for i, t in enumerate(TAGS)])
-            values.append(F.shiftright(best, _BITS) + F.get(own, F.lit(j)))
-            came = F.lit(last) - best.bitwiseAND((1 << _BITS) - 1)
-            paths.append(F.concat(F.get(F.array(*[held[f"p{i}"] for i in range(len(TAGS))]), came.cast("int")), F.lit(tag)))
-        return state(values, paths)
+def _known(posts: DataFrame, lexicon: DataFrame, transitions: DataFrame, text: Column) -> tuple[DataFrame, Tagger, Column | None]:
+    """(posts, tagger, what each post's words are known as). A lexicon of no more than HELD_CHARS goes to the
+    tasks with the tagger; of a larger one each post gets the rows (term, scores) of its distinct words."""
+    moves = _transition_scores(transitions)
+    known = _emissions(lexicon)
+    unknown = known.where("term = ''").select("scores").first()
+    lacking = list(unknown["scores"]) if unknown else [IMPOSSIBLE] * (len(TAGS) - 1) + [0]
+    known = known.where("term <> ''")
+    importable(posts.sparkSession)
+    if known.agg(F.coalesce(F.sum(F.length("term") + ROW_CHARS), F.lit(0))).first()[0] <= HELD_CHARS:
+        return posts, _tagger(lacking, moves, {r.term: list(r.scores) for r in known.collect()}), None
+    posts, texts, key = _keyed(posts, text)
+    # only what the lexicon says about a text's distinct words is brought back to the text, not its words
+    terms = F.array_distinct(F.transform(F.array_distinct(words(F.col("text"))), lambda w: F.lower(w)))
+    met = salted_lookup(explode_once(texts, [key], terms, "term"), known, "term", F.col(key), how="inner")
+    scored = met.groupBy(key).agg(F.collect_set(F.struct("term", "scores")).alias("_known"))
+    none = F.array().cast("array<struct<term:string,scores:array<bigint>>>")
+    return posts.join(scored, key, "left"), _tagger(lacking, moves), F.coalesce("_known", none)
 
-    def ended(held: Column) -> Column:
-        best = ranked([held[f"s{i}"] for i in range(len(TAGS))])
-        came = F.lit(last) - best.bitwiseAND((1 << _BITS) - 1)
-        return F.get(F.array(*[held[f"p{i}"] for i in range(len(TAGS))]), came.cast("int"))
 
-    first = F.get(scores, F.lit(0))
-    begin = state([F.get(first, F.lit(j)) + F.lit(moves.get(("", t), IMPOSSIBLE)).cast("long") for j, t in enumerate(TAGS)],
-                  [F.lit(t) for t in TAGS])
-    return F.aggregate(F.slice(scores, F.lit(2), F.greatest(F.size(scores) - 1, F.lit(0))), begin, step, ended)
+def _read(posts: DataFrame, lexicon: DataFrame, transitions: DataFrame, text: Column, read: Callable[..., pa.Array], kind: str) -> DataFrame:
+    """Add `_read`: what `read` (marked texts, the lower-cased ones, what is known of them, tagger) makes of the texts."""
+    posts, tagger, known = _known(posts, lexicon, transitions, text)
+
+    @F.arrow_udf(kind)
+    def told(marked: pa.Array, lowered: pa.Array) -> pa.Array:
+        return read(marked, lowered, None, tagger)
+
+    @F.arrow_udf(kind)
+    def told_with(marked: pa.Array, lowered: pa.Array, rows: pa.Array) -> pa.Array:
+        return read(marked, lowered, rows, tagger)
+
+    posts = posts.withColumn("_marked", _marked(text))
+    # of a marked text's words, as spaces and line ends part them
+    both = ("_marked", F.lower("_marked"))
+    return posts.withColumn("_read", told(*both) if known is None else told_with(*both, known)).drop("_marked", "_known")
 
 
 def tag_words(posts: DataFrame, lexicon: DataFrame, transitions: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, str]:
     """(posts, their tagged stretches (key, stretch, ws, tags), key). Lexicon rows with an empty term score
     the words that the lexicon lacks; without such rows these are 'other'."""
     posts, texts, key = _keyed(posts, text)
-    moves = _transition_scores(transitions)
-    known = _emissions(lexicon)
-    unknown = known.where("term = ''").select("scores").first()
-    lacking = list(unknown["scores"]) if unknown else [IMPOSSIBLE] * (len(TAGS) - 1) + [0]
-    # only what the lexicon says about a text's distinct words is brought back to the text, not its words
-    terms = F.array_distinct(F.transform(F.flatten(_stretches(F.col("text"))), lambda w: F.lower(w)))
-    met = salted_lookup(explode_once(texts, [key], terms, "term"), known.where("term <> ''"), "term", F.col(key), how="inner")
-    scored = met.groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("term", "scores"))).alias("known"))
-    placed = texts.join(scored, key, "left").select(key, "known", F.posexplode(_stretches(F.col("text"))).alias("stretch", "ws"))
-    other = F.array(*[F.lit(x).cast("long") for x in lacking])
-    scores = F.transform("ws", lambda w: F.coalesce(F.try_element_at("known", F.lower(w)), other))
-    return posts, placed.select(key, "stretch", "ws", let(scores, lambda rows: best_path(rows, moves)).alias("tags")), key
+    kind = "array<struct<ws:array<string>,tags:string>>"
+    tagged = _read(texts, lexicon, transitions, F.col("text"), paths.tagged_stretches, kind)
+    return posts, tagged.select(key, F.posexplode("_read").alias("stretch", "s")).select(key, "stretch", "s.ws", "s.tags"), key
 
 
 def _spans(tags: Column, grammar: str) -> Column:
@@ -126,6 +154,14 @@ def add_noun_chunks(
 
     Chunks don't cross punctuation. A post without words has none of either."""
     text = join_text(F.col(title_col), F.col(body_col) if body_col in posts.columns else F.lit(""))
+    none = F.array().cast("array<string>")
+    if _PLAIN.fullmatch(grammar) and not re.fullmatch(grammar, ""):
+        def read(marked: pa.Array, lowered: pa.Array, known: pa.Array | None, tagger: Tagger) -> pa.Array:
+            return paths.chunks_and_nouns(marked, lowered, known, tagger, grammar, low, high, _STOP)
+
+        kind = "struct<noun_chunks:array<string>,nouns:array<string>>"
+        done = _read(posts.drop("noun_chunks", "nouns"), lexicon, transitions, text, read, kind)
+        return done.withColumns({n: F.coalesce(F.col("_read")[n], none) for n in ("noun_chunks", "nouns")}).drop("_read", _TEXT_KEY)
     posts, tagged, key = tag_words(posts, lexicon, transitions, text)
     spans = F.filter(_spans(F.col("tags"), grammar), lambda s: s["chunk"] & s["n"].between(low, high))
     tag_of: Callable[[Column], Column] = lambda i: F.substring("tags", i + 1, F.lit(1))     # noqa: E731
@@ -134,7 +170,6 @@ def add_noun_chunks(
         F.transform(spans, lambda s: F.array_join(F.slice("ws", s["at"] + 1, s["n"]), " ")).alias("chunks"),
         F.filter("ws", lambda w, i: (tag_of(i) == "N") & (F.length(w) > 2) & ~w.isin(KEYWORD_STOPWORDS)).alias("nouns"))
     ordered = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("stretch", "chunks", "nouns"))).alias("_found"))
-    none = F.array().cast("array<string>")
     return posts.drop("noun_chunks", "nouns").join(ordered, key, "left").withColumns({
         "noun_chunks": F.coalesce(F.array_distinct(F.filter(
             F.flatten("_found.chunks"), lambda c: ~F.lower(c).isin(KEYWORD_STOPWORDS))), none),

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from risetide.operators import tagging
 from risetide.operators.lexicon import add_entities
 from risetide.operators.model import classify_with_model, labelled
 from risetide.operators.tagging import IMPOSSIBLE, TAGS, add_chunk_keywords, add_noun_chunks, best_path
@@ -144,3 +145,26 @@ def test_entities_with_one_first_word(spark):
     found = {r.id: r.entities for r in add_entities(batch, names).collect()}
     assert found[0] == ["acme 7", "acme 9 works"] and found[1] == [] and found[2] == []
     assert found[3] == [f"acme {i}" for i in range(3000) if i % 3]
+
+
+def test_chunks_are_the_same_however_lexicon_and_grammar_reach_them(spark, tables, monkeypatch):
+    draw = random.Random(4)
+    signs = ["the", "The", "big", "RED", "dog", "house", "runs", "to", "garden", "Ünde", "İst", "ΟΣ", "x9", "_a", "it's", "a,b", "dog.", "?!", "\n", "\t", " ", "(red", "nan"]
+    texts = [" ".join(draw.choice(signs) for _ in range(draw.choice([0, 3, 30, 200]))) for _ in range(60)] + [None, "the dog", "the dog"]
+    batch = posts(spark, *texts)
+    found = {}
+    for held in (tagging.HELD_CHARS, 0):
+        monkeypatch.setattr(tagging, "HELD_CHARS", held)
+        for grammar in ("D?A*N+", "(?:D?A*N+)"):    # Spark's expressions match the second one
+            for n in (200_000, 50):
+                monkeypatch.setattr(tagging.paths, "WORDS", n)
+                done = add_noun_chunks(batch, *tables, low=1, grammar=grammar)
+                found[held, grammar, n] = sorted((r.id, r.noun_chunks, r.nouns) for r in done.collect())
+    first, *others = found.values()
+    assert all(x == first for x in others) and sum(len(r[1]) for r in first) > 100
+
+
+def test_paths_need_no_expression_a_word_nor_shuffle(spark, tables):
+    batch = spark.createDataFrame([("k", "the dog", "")], "post_key string, title string, body string")
+    plan = add_noun_chunks(batch, *tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "aggregate(" not in plan and "Exchange" not in plan
