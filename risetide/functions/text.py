@@ -65,10 +65,14 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(text_or_empty(c), _NON_WORD, " "), " "), "")
 
 
-def content_words(tokens: Column, min_length: int, stopwords: Iterable[str]) -> Column:
+def lower_words(c: Column) -> Column:
+    """`words`, lower-cased all at once: the spaces between them end what a letter's lower case may depend on."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text_or_empty(c), _NON_WORD, " ")), " "), "")
+
+
+def content_words(lowered: Column, min_length: int, stopwords: Iterable[str]) -> Column:
     """Lower-cased tokens of at least `min_length` characters that are no stop words."""
     stop = list(stopwords)
-    lowered = F.transform(tokens, lambda w: F.lower(w))
     return F.filter(lowered, lambda w: (F.length(w) >= min_length) & ~w.isin(stop))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import content_words, longest_words, ngrams, text_or_empty, words
+from ..functions.text import content_words, longest_words, lower_words, ngrams, text_or_empty
 from ..vocab import KEYWORD_STOPWORDS
 
 # --- fixed values ---
@@ -28,7 +28,7 @@ def simple_keywords(title: Column, body: Column) -> Column:
 def phrase_keywords(title: Column, body: Column, entities: Column) -> Column:
     """Entities first, then 2-4-word title phrases, the first three joined and cut at 80
     characters; `simple_keywords` when there are neither."""
-    phrases = ngrams(content_words(words(title), 3, KEYWORD_STOPWORDS), 2, 4)
+    phrases = ngrams(content_words(lower_words(title), 3, KEYWORD_STOPWORDS), 2, 4)
     terms = F.slice(F.array_distinct(F.concat(entities, phrases)), 1, KEYWORD_TERMS)
     joined = F.trim(F.substring(F.array_join(terms, " "), 1, KEYWORD_CHARS))
     return F.when(F.size(terms) > 0, joined).otherwise(simple_keywords(title, body))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scoring import sentiment_label
-from ..functions.text import explode_once, join_text, text_or_empty, words
+from ..functions.text import explode_once, join_text, lower_words, text_or_empty
 from ..schema import DEFAULT_CATEGORY, ENTITY_TYPES, VALID_CATEGORIES
 from ..vocab import KEYWORD_STOPWORDS
 from .clean import KEY
@@ -19,10 +19,6 @@ from .joins import salted_lookup
 _TEXT_KEY = "_text_key"
 
 
-def _lower_words(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.lower(w))
-
-
 def _keyed(posts: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, str]:
     """(posts, distinct texts, their common key). Cleaned posts have a key and are partitioned by it;
     for other batches the text's digest is the key, so rows with equal texts share a result."""
@@ -35,7 +31,7 @@ def _keyed(posts: DataFrame, text: Column) -> tuple[DataFrame, DataFrame, str]:
 def _known_tokens(texts: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """(key, lexicon columns) for each token that the lexicon (term, ...) has. Few tokens are in a lexicon,
     so they are joined before anything is counted."""
-    tokens = explode_once(texts, [key], _lower_words(F.col("text")), "term")
+    tokens = explode_once(texts, [key], lower_words(F.col("text")), "term")
     return salted_lookup(tokens, lexicon, "term", F.col(key), how="inner")
 
 
@@ -103,7 +99,7 @@ def ensure_sentiment(posts: DataFrame, lexicon: DataFrame, **options) -> DataFra
 
 def _names(gazetteer: DataFrame) -> DataFrame:
     """(term, ws): the names of the wanted types as the words a text would show."""
-    ws = _lower_words(F.col("entity"))
+    ws = lower_words(F.col("entity"))
     named = gazetteer.where(F.col("type").isin(ENTITY_TYPES)).select(
         F.array_join(ws, " ").alias("term"), ws.alias("ws")
     )
@@ -122,7 +118,7 @@ def add_entities(
     posts, texts, key = _keyed(posts, text)
     names = _names(gazetteer)
     heads = names.groupBy(F.get("ws", F.lit(0)).alias("term")).agg(F.collect_set(F.size("ws")).alias("sizes"))
-    tokens = texts.select(key, _lower_words(F.col("text")).alias("ws"))
+    tokens = texts.select(key, lower_words(F.col("text")).alias("ws"))
     placed = tokens.select(key, F.posexplode_outer("ws").alias("pos", "term")).where("term is not null")
     hits = salted_lookup(placed, heads, "term", F.col(key), how="inner").groupBy(key).agg(
         F.collect_list(F.struct("pos", "sizes")).alias("hits")

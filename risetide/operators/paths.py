@@ -117,7 +117,7 @@ def tagged_stretches(marked: pa.Array, lowered: pa.Array, known: pa.Array | None
 def chunks_and_nouns(
     marked: pa.Array, lowered: pa.Array, known: pa.Array | None, tagger: Tagger, grammar: str, low: int, high: int, stop: frozenset[str],
 ) -> pa.Array:
-    """Of each text its distinct chunks and nouns, in text order."""
+    """Of each text the two arrays of its distinct chunks and nouns, in text order."""
     tagger = known_to(tagger, known)
     chunk = re.compile(grammar)
     letters = np.frombuffer(tagger.tags.encode(), np.uint8)
@@ -152,5 +152,4 @@ def chunks_and_nouns(
                 if k > longest_stop or " ".join(lower[b:b + k]) not in stop)))
             all_nouns.append([w for w in dict.fromkeys(map(ws.__getitem__, nouns[n:n_end])) if len(w) > 2 and w not in stop])
             c, n = c_end, n_end
-    strings = pa.list_(pa.string())
-    return pa.StructArray.from_arrays([pa.array(all_chunks, strings), pa.array(all_nouns, strings)], ["noun_chunks", "nouns"])
+    return pa.array(list(zip(all_chunks, all_nouns)), pa.list_(pa.list_(pa.string())))

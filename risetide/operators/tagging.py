@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import explode_once, join_text, text_or_empty, words
+from ..functions.text import explode_once, join_text, lower_words, text_or_empty
 from ..sources.workers import importable
 from ..vocab import KEYWORD_STOPWORDS
 from . import paths
@@ -32,7 +32,7 @@ CHUNK = "D?A*N+"
 IMPOSSIBLE = -1_000_000
 #: Words are tagged in stretches between punctuation, and of at most this many words.
 STRETCH = 64
-_BREAKS = '.,;:!?()[]"'
+_BREAK = r'[.,;:!?()\[\]"]+'
 #: A lexicon of no more characters, with ROW_CHARS for a row's scores, goes to the tasks whole.
 HELD_CHARS = 8_000_000
 ROW_CHARS = 80
@@ -43,7 +43,7 @@ _STOP = frozenset(KEYWORD_STOPWORDS)
 
 def _marked(text: Column) -> Column:
     """The words of a text, spaces between them and line ends in the place of punctuation."""
-    lines = F.translate(text_or_empty(text), "\n" + _BREAKS, " " + "\n" * len(_BREAKS))
+    lines = F.regexp_replace(F.replace(text_or_empty(text), F.lit("\n"), F.lit(" ")), _BREAK, "\n")
     return F.regexp_replace(lines, r"[^\p{L}\p{N}_ \n][^\p{L}\p{N}_\n]*| [^\p{L}\p{N}_\n]+", " ")
 
 
@@ -97,7 +97,7 @@ def _known(posts: DataFrame, lexicon: DataFrame, transitions: DataFrame, text: C
         return posts, _tagger(lacking, moves, {r.term: list(r.scores) for r in known.collect()}), None
     posts, texts, key = _keyed(posts, text)
     # only what the lexicon says about a text's distinct words is brought back to the text, not its words
-    terms = F.array_distinct(F.transform(F.array_distinct(words(F.col("text"))), lambda w: F.lower(w)))
+    terms = F.array_distinct(lower_words(F.col("text")))
     met = salted_lookup(explode_once(texts, [key], terms, "term"), known, "term", F.col(key), how="inner")
     scored = met.groupBy(key).agg(F.collect_set(F.struct("term", "scores")).alias("_known"))
     none = F.array().cast("array<struct<term:string,scores:array<bigint>>>")
@@ -159,9 +159,9 @@ def add_noun_chunks(
         def read(marked: pa.Array, lowered: pa.Array, known: pa.Array | None, tagger: Tagger) -> pa.Array:
             return paths.chunks_and_nouns(marked, lowered, known, tagger, grammar, low, high, _STOP)
 
-        kind = "struct<noun_chunks:array<string>,nouns:array<string>>"
-        done = _read(posts.drop("noun_chunks", "nouns"), lexicon, transitions, text, read, kind)
-        return done.withColumns({n: F.coalesce(F.col("_read")[n], none) for n in ("noun_chunks", "nouns")}).drop("_read", _TEXT_KEY)
+        done = _read(posts.drop("noun_chunks", "nouns"), lexicon, transitions, text, read, "array<array<string>>")
+        return done.withColumns({
+            n: F.coalesce(F.get("_read", F.lit(i)), none) for i, n in enumerate(("noun_chunks", "nouns"))}).drop("_read", _TEXT_KEY)
     posts, tagged, key = tag_words(posts, lexicon, transitions, text)
     spans = F.filter(_spans(F.col("tags"), grammar), lambda s: s["chunk"] & s["n"].between(low, high))
     tag_of: Callable[[Column], Column] = lambda i: F.substring("tags", i + 1, F.lit(1))     # noqa: E731

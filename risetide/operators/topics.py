@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -19,6 +20,10 @@ from .phrases import valid_phrases
 ALL, CATEGORY, SOURCE = "all", "category", "source"
 CANDIDATE_FACTOR = 3   # fixed value: candidates looked at per wanted topic
 LOOKED_AT = 10_000     # terms of a scope that are counted in all posts first; no bound on the result
+HELD_CHARS = 16_000_000   # terms of no more characters, with ROW_CHARS for each, go to the tasks that make phrases
+ROW_CHARS = 50
+
+Among = Callable[[list[str]], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -102,8 +107,12 @@ def rising_statistics(posts: DataFrame, options: TopicOptions = TopicOptions())
     ).where((F.col("rise") > 0) & (F.col("rise") >= _per_scope(options, "min_count")))
 
 
-def _occurrences(posts: DataFrame, terms: DataFrame) -> DataFrame:
+def _occurrences(posts: DataFrame, terms: DataFrame, among: Among | None = None) -> DataFrame:
     """(category, source, term, n): how often all posts have the terms, which are valid phrases."""
+    if among is not None:
+        wanted = terms.select("term").distinct()
+        if wanted.agg(F.coalesce(F.sum(F.length("term") + ROW_CHARS), F.lit(0))).first()[0] <= HELD_CHARS:
+            posts = among([r.term for r in wanted.collect()])
     said = explode_once(posts, ["category", "source"], F.col("phrases"), "phrase").select(
         "category", "source", F.trim(F.lower("phrase")).alias("term")
     )
@@ -146,7 +155,7 @@ def _ranked(candidates: DataFrame, occurrences: DataFrame, options: TopicOptions
 
 
 def ranked_topics(
-    posts: DataFrame, options: TopicOptions = TopicOptions(), looked_at: int = LOOKED_AT,
+    posts: DataFrame, options: TopicOptions = TopicOptions(), looked_at: int = LOOKED_AT, among: Among | None = None,
 ) -> DataFrame:
     """(scope, scope_key, rank, term, score): the top 3 x N candidate topics of each scope.
 
@@ -154,6 +163,8 @@ def ranked_topics(
     terms are rated in rising posts alone; of all posts those terms are counted whose bound is among the
     `looked_at` highest of their scope. If a term below may still reach the top, all are counted whose bound
     is not below the last score of the top. The result is that of counting every term.
+
+    `among` tells the posts with phrases that may lack all but given terms, where that is cheaper than `posts`.
     """
     scratch = Scratch(posts.sparkSession)
     # few totals, each for very many terms
@@ -166,7 +177,7 @@ def ranked_topics(
     least = max(looked_at, CANDIDATE_FACTOR * max(options.top_n, options.top_n_category, options.top_n_source))
     place = F.row_number().over(_by_rank("bound"))
     first = scratch.save(bounded.withColumn("place", place).where(F.col("place") <= least + 1))
-    occurrences = scratch.save(_occurrences(posts, first))
+    occurrences = scratch.save(_occurrences(posts, first, among))
     top = _ranked(first, occurrences, options)
     last = top.where(F.col("rank") == CANDIDATE_FACTOR * _per_scope(options, "top_n")).select(
         "scope", "scope_key", F.col("score").alias("last")
@@ -177,7 +188,7 @@ def ranked_topics(
         return top
     enough = F.coalesce(F.col("bound") >= F.col("last"), F.lit(True))
     candidates = scratch.save(bounded.join(last, ["scope", "scope_key"], "left").where(enough).drop("last"))
-    return _ranked(candidates, scratch.save(_occurrences(posts, candidates)), options)
+    return _ranked(candidates, scratch.save(_occurrences(posts, candidates, among)), options)
 
 
 def _candidate_lists(ranked: DataFrame) -> DataFrame:

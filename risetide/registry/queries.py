@@ -23,7 +23,7 @@ from ..operators.model import classify_with_model
 from ..operators.tagging import add_chunk_keywords, add_noun_chunks
 from ..operators.valence import add_shifted_sentiment
 from ..operators.lexicon import add_entities, add_sentiment, classify_posts, ensure_sentiment
-from ..operators.phrases import add_phrases, rake_phrases, spread_by_text
+from ..operators.phrases import add_phrases, add_phrases_among, rake_phrases, spread_by_text
 from ..operators import runs
 from ..operators.selection import post_table, top_per_bucket
 from ..operators.topics import diversify, drop_supersets, ranked_topics
@@ -45,6 +45,7 @@ QUERIES: dict[str, Query] = {}
 
 NOW = datetime.fromisoformat(views.AS_OF)
 DIGITS = 6
+_PHRASED = ("url", "category", "source", "created_at", "trend_score", "phrases", "entities")
 
 
 def query(fn: Query) -> Query:
@@ -145,9 +146,15 @@ class Tables:
     def phrased(self) -> DataFrame:
         """What topics need of the scored posts. Phrases are many times the text, so they are computed where
         they are read, from posts that are written once."""
-        known = add_entities(self.scored(), self.gazetteer())
-        return self._phrases_of(Scratch(self.spark).save(known.select(
-            "url", "category", "source", "created_at", "trend_score", "title", "body", "keywords", "entities")))
+        return self._phrases_of(self._with_entities())
+
+    def phrased_among(self, terms: list[str]) -> DataFrame:
+        """`phrased`, but phrases that are none of the terms may be missing."""
+        return add_phrases_among(self._with_entities(), terms).select(*_PHRASED)
+
+    def _with_entities(self) -> DataFrame:
+        return self._once("with_entities", lambda: add_entities(self.scored(), self.gazetteer()).select(
+            "url", "category", "source", "created_at", "trend_score", "title", "body", "keywords", "entities"))
 
     def rising_phrased(self) -> DataFrame:
         """`phrased` of the rising posts alone."""
@@ -157,7 +164,7 @@ class Tables:
         return self._phrases_of(spread_by_text(add_entities(known, self.gazetteer()), rising))
 
     def _phrases_of(self, posts: DataFrame) -> DataFrame:
-        return add_phrases(posts).select("url", "category", "source", "created_at", "trend_score", "phrases", "entities")
+        return add_phrases(posts).select(*_PHRASED)
 
 
 def _rounded(*names: str) -> list[Column]:
@@ -479,19 +486,23 @@ def ranked_key_phrases(spark: SparkSession, folder: str) -> DataFrame:
 # --- topics -----------------------------------------------------------------------------------
 
 
+def _ranked_topics(tables: Tables) -> DataFrame:
+    return ranked_topics(tables.phrased(), among=tables.phrased_among)
+
+
 @query
 def emerging_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked_topics(Tables(spark, folder).phrased())
+    return _ranked_topics(Tables(spark, folder))
 
 
 @query
 def emerging_topics_deduped(spark: SparkSession, folder: str) -> DataFrame:
-    return drop_supersets(ranked_topics(Tables(spark, folder).phrased()))
+    return drop_supersets(_ranked_topics(Tables(spark, folder)))
 
 
 @query
 def mmr_topics(spark: SparkSession, folder: str) -> DataFrame:
-    return diversify(ranked_topics(Tables(spark, folder).phrased()))
+    return diversify(_ranked_topics(Tables(spark, folder)))
 
 
 def _keyword_history(tables: Tables) -> DataFrame:

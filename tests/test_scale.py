@@ -1,6 +1,7 @@
 """What must not grow faster than the texts: shuffles of phrases and words, and texts that no result needs."""
 
 import os
+import random
 import re
 
 import pytest
@@ -98,3 +99,33 @@ def test_space_and_other_signs_part_as_before(spark):
         F.regexp_replace("t", text._SPACE, " "), F.regexp_replace("t", r"(?U)[\s\x1c-\x1f]+", " "),
         F.regexp_replace("t", text._NON_WORD, " "), F.regexp_replace("t", r"[^\p{L}\p{N}_]+", " ")).collect()
     assert all(r[0] == r[1] and r[2] == r[3] for r in found) and any(r[0] != r[2] for r in found)
+
+
+def test_phrases_among_terms_are_those_of_all_phrases(spark, monkeypatch, tmp_path):
+    draw = random.Random(5)
+    signs = ["Solar", "wind", "PARK", "the", "of", "nan", "sea,", "level.", "rise", "it", "Über", "İstanbul", "ΟΔΟΣ", "ΟΔΟΣ's", "ẋ", "a\nb", "Ɤa", "\U0001f600"]
+    rows = [(i, draw.choice(["", "Sea level", "it is", None, "wind wind wind wind"]), " ".join(draw.choice(signs) for _ in range(draw.choice([0, 1, 2, 3, 4, 40]))),
+             draw.choice(["", "nan", "wind park sea", None]), draw.choice([[], ["Solar Wind", "solar wind"], ["acme"]]),
+             "tech", "news", float(60 + i % 30)) for i in range(200)]
+    posts = spark.createDataFrame(
+        rows, "id int, title string, body string, keywords string, entities array<string>, category string, source string, trend_score double")
+    posts.write.parquet(f"{tmp_path}/posts")
+    posts = spark.read.parquet(f"{tmp_path}/posts")
+    full = phrases.add_phrases(posts)
+    low = lambda p: F.trim(F.lower(p))      # noqa: E731
+    every = [r.t for r in full.select(F.explode(F.transform("phrases", low)).alias("t")).distinct().collect()]
+    for terms in (sorted(every)[::3], every, []):
+        kept = lambda df: sorted((r.id, sorted(p for p, t in zip(r.phrases, r.t) if t in terms)) for r in df.select(
+            "id", "phrases", F.transform("phrases", low).alias("t")).collect())
+        some = phrases.add_phrases_among(posts, terms)
+        assert kept(some) == kept(full) and some.columns == full.columns
+    # not all phrases are made for what is counted in all posts
+    asked = []
+    def among(terms):
+        asked.append(set(terms))
+        return phrases.add_phrases_among(posts, terms)
+    found = sorted(map(tuple, topics.ranked_topics(full, among=among).collect()))
+    assert asked and found == sorted(map(tuple, topics.ranked_topics(full).collect()))
+    monkeypatch.setattr(topics, "HELD_CHARS", 0)
+    asked.clear()
+    assert found == sorted(map(tuple, topics.ranked_topics(full, among=among).collect())) and not asked
